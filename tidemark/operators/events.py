@@ -22,7 +22,7 @@ def with_extrema(sig: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     w = ordered(keys)
     sign = turning(F.col("d1"), keys)
     amplitude = F.abs(F.col("d1") - (F.lag("d1").over(w) + F.lead("d1").over(w)) / 2)
-    return sig.withColumn("ext_sign", sign).withColumn("ext_amplitude", F.when(F.col("ext_sign").isNotNull(), F.round(amplitude, 9)))
+    return sig.withColumn("ext_sign", sign).withColumn("ext_amplitude", F.when(F.col("ext_sign").isNotNull(), amplitude))
 
 
 def extrema(sig: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -63,11 +63,11 @@ def with_peaks(sig: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     prominence = F.when(top, s - F.greatest("left_base", "right_base")).when(F.col("peak_sign").isNotNull(), F.least("left_base", "right_base") - s)
     return out.withColumns(
         {
-            "prominence": F.round(F.greatest(prominence, F.when(F.col("peak_sign").isNotNull(), F.lit(0.0))), 9),
+            "prominence": F.greatest(prominence, F.when(F.col("peak_sign").isNotNull(), F.lit(0.0))),
             "width": F.greatest(F.col("right_idx") - F.col("left_idx"), F.when(F.col("peak_sign").isNotNull(), F.lit(1))).cast("double"),
-            "rise_slope": F.round(F.abs((s - F.col("left_base")) / rise), 9),
-            "fall_slope": F.round(F.abs((s - F.col("right_base")) / fall), 9),
-            "asymmetry": F.when(F.col("peak_sign").isNotNull(), F.round(rise / fall, 9)),
+            "rise_slope": F.abs((s - F.col("left_base")) / rise),
+            "fall_slope": F.abs((s - F.col("right_base")) / fall),
+            "asymmetry": F.when(F.col("peak_sign").isNotNull(), rise / fall),
         }
     )
 

@@ -1,8 +1,8 @@
 """The long signal table: one row per series, channel and step.
 
 Columns: the keys, idx (step from 0), ts, x (raw), s (smoothed), d1 and d2 (first and second difference).
-Windows are partitioned by the keys, so series and channels run in parallel; smoothed values are rounded
-to 9 places, so that comparing neighbours doesn't depend on the order of a sum.
+Windows are partitioned by the keys, so series and channels run in parallel; values are rounded to 8
+places and smoothed ones to 10, so that comparing neighbours doesn't depend on the order of a sum.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def hourly_grid(events: DataFrame, channel: str = "event_type", value: str = "va
     span = hours.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.sort_array(F.collect_set("channel")).alias("channels"))
     dense = span.select("t0", F.explode("channels").alias("channel"), F.expr("sequence(t0, t1, interval 1 hour)").alias("all"))
     dense = dense.select("channel", F.posexplode("all").alias("idx", "ts"))
-    return dense.join(hours, ["channel", "ts"], "left").select("channel", F.col("idx").cast("long").alias("idx"), "ts", F.round("x", 9).alias("x"))
+    return dense.join(hours, ["channel", "ts"], "left").select("channel", F.col("idx").cast("long").alias("idx"), "ts", F.round("x", 8).alias("x"))
 
 
 def quality_masked(wide: DataFrame, pairs: Sequence[tuple[str, str]], highest: int = 2) -> DataFrame:
@@ -63,7 +63,7 @@ def to_wide(long: DataFrame, channels: Sequence[str], value: str = "x", by: Sequ
 
 def rolling_mean(x: Column, width: int = 5, keys: Sequence[str] = KEYS) -> Column:
     """Centred mean of the values that are there."""
-    return F.round(F.avg(x).over(ordered(keys).rowsBetween(-(width // 2), (width - 1) // 2)), 9)
+    return F.round(F.avg(x).over(ordered(keys).rowsBetween(-(width // 2), (width - 1) // 2)), 10)
 
 
 #: Weights of the 7-point quadratic Savitzky-Golay filter, times 21.
@@ -99,7 +99,7 @@ def savgol(grid: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         return p0 + p1 * u + p2 * u * u
 
     s = F.when(F.col("_n") < 7, F.col("_f")).when(F.col("idx") < 3, quadratic("_a")).when(F.col("idx") >= F.col("_n") - 3, quadratic("_z")).otherwise(middle)
-    return filled.withColumn("s", F.round(s, 9)).drop("_f", "_n", "_a", "_z")
+    return filled.withColumn("s", F.round(s, 10)).drop("_f", "_n", "_a", "_z")
 
 
 def signal(grid: DataFrame, method: str = "rolling_mean", width: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -111,5 +111,5 @@ def signal(grid: DataFrame, method: str = "rolling_mean", width: int = 5, keys:
     else:
         raise ValueError(f"unknown smoothing method: {method}")
     w = ordered(keys)
-    out = out.withColumn("d1", F.round(F.col("s") - F.lag("s").over(w), 9))
-    return out.withColumn("d2", F.round(F.col("d1") - F.lag("d1").over(w), 9))
+    out = out.withColumn("d1", F.round(F.col("s") - F.lag("s").over(w), 10))
+    return out.withColumn("d2", F.round(F.col("d1") - F.lag("d1").over(w), 10))

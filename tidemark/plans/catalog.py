@@ -179,11 +179,11 @@ def _backtest(spark, d):
 
 
 def persistence_backtest(spark, d):
-    return rounded(_backtest(spark, d))
+    return rounded(_backtest(spark, d).withColumn("horizon", F.coalesce("horizon", F.lit(0))))  # 0: all
 
 
 def hourly_scoreboard(spark, d):
-    return rounded(metrics.hourly_scoreboard(_backtest(spark, d)))
+    return rounded(metrics.hourly_scoreboard(_backtest(spark, d)).withColumn("horizon", F.coalesce("horizon", F.lit(0))))
 
 
 def boundary_union(spark, d):

@@ -7,15 +7,15 @@ hours AS (SELECT event_type AS channel, date_trunc('hour', ts) AS ts, avg(value)
 span AS (SELECT min(ts) AS t0, max(ts) AS t1 FROM hours),
 calendar AS (SELECT unnest(generate_series(t0, t1, INTERVAL 1 HOUR)) AS ts, t0 FROM span),
 grid AS (
-  SELECT n.channel, CAST(date_diff('hour', c.t0, c.ts) AS BIGINT) AS idx, c.ts, round(h.x, 9) AS x
+  SELECT n.channel, CAST(date_diff('hour', c.t0, c.ts) AS BIGINT) AS idx, c.ts, round(h.x, 8) AS x
   FROM calendar c CROSS JOIN (SELECT DISTINCT channel FROM hours) n LEFT JOIN hours h ON h.channel = n.channel AND h.ts = c.ts)
 """
 SIGNAL = (
     GRID
     + """,
-smooth AS (SELECT *, round(avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 9) AS s FROM grid),
-first_d AS (SELECT *, round(s - lag(s) OVER (PARTITION BY channel ORDER BY idx), 9) AS d1 FROM smooth),
-sig AS (SELECT *, round(d1 - lag(d1) OVER (PARTITION BY channel ORDER BY idx), 9) AS d2 FROM first_d)
+smooth AS (SELECT *, round(avg(x) OVER (PARTITION BY channel ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 10) AS s FROM grid),
+first_d AS (SELECT *, round(s - lag(s) OVER (PARTITION BY channel ORDER BY idx), 10) AS d1 FROM smooth),
+sig AS (SELECT *, round(d1 - lag(d1) OVER (PARTITION BY channel ORDER BY idx), 10) AS d2 FROM first_d)
 """
 )
 EXTREMA = (
@@ -23,7 +23,7 @@ EXTREMA = (
     + """,
 near_d AS (SELECT *, lag(d1) OVER w AS p, lead(d1) OVER w AS n FROM sig WINDOW w AS (PARTITION BY channel ORDER BY idx)),
 extrema AS (
-  SELECT channel, idx, CASE WHEN p < d1 THEN 'max' ELSE 'min' END AS sign, round(abs(d1 - (p + n) / 2), 9) AS amplitude, s AS value, d1 AS first_diff, d2 AS second_diff
+  SELECT channel, idx, CASE WHEN p < d1 THEN 'max' ELSE 'min' END AS sign, abs(d1 - (p + n) / 2) AS amplitude, s AS value, d1 AS first_diff, d2 AS second_diff
   FROM near_d WHERE (p < d1 AND d1 >= n) OR (p > d1 AND d1 <= n))
 """
 )
@@ -41,9 +41,9 @@ walks AS (
 feet AS (SELECT channel, idx, s, sign, CASE sign WHEN 'max' THEN up_l ELSE dn_l END AS left_idx, CASE sign WHEN 'max' THEN up_r ELSE dn_r END AS right_idx FROM walks WHERE sign IS NOT NULL),
 peaks AS (
   SELECT f.channel, f.idx, f.sign, f.s AS value,
-    round(greatest(CASE f.sign WHEN 'max' THEN f.s - greatest(l.s, r.s) ELSE least(l.s, r.s) - f.s END, 0.0), 9) AS prominence, CAST(greatest(right_idx - left_idx, 1) AS DOUBLE) AS width,
-    round(abs((f.s - l.s) / greatest(f.idx - left_idx, 1)), 9) AS rise_slope, round(abs((f.s - r.s) / greatest(right_idx - f.idx, 1)), 9) AS fall_slope,
-    round(greatest(f.idx - left_idx, 1) / greatest(right_idx - f.idx, 1), 9) AS asymmetry, l.s AS left_base, r.s AS right_base, left_idx, right_idx
+    greatest(CASE f.sign WHEN 'max' THEN f.s - greatest(l.s, r.s) ELSE least(l.s, r.s) - f.s END, 0.0) AS prominence, CAST(greatest(right_idx - left_idx, 1) AS DOUBLE) AS width,
+    abs((f.s - l.s) / greatest(f.idx - left_idx, 1)) AS rise_slope, abs((f.s - r.s) / greatest(right_idx - f.idx, 1)) AS fall_slope,
+    greatest(f.idx - left_idx, 1) / greatest(right_idx - f.idx, 1) AS asymmetry, l.s AS left_base, r.s AS right_base, left_idx, right_idx
   FROM feet f JOIN sig l ON l.channel = f.channel AND l.idx = f.left_idx JOIN sig r ON r.channel = f.channel AND r.idx = f.right_idx)
 """
 )
@@ -210,8 +210,8 @@ def oracle_sql() -> dict[str, str]:
     q["chronological_split"] = f"""WITH {GRID} {WINDOWS} {ONE}, p AS (SELECT window_id, row_number() OVER (ORDER BY start_idx) - 1 AS pos, count(*) OVER () AS n FROM one),
       c AS (SELECT *, greatest(1, least(n - 1, floor(n * 0.7))) AS a, greatest(1, least(n - 1, floor(n * 0.85))) AS z FROM p)
       SELECT window_id, pos, CASE WHEN pos < a THEN 'train' WHEN pos < (CASE WHEN z <= a THEN least(n - 1, a + 1) ELSE z END) THEN 'validation' ELSE 'test' END AS split FROM c"""
-    q["persistence_backtest"] = f"WITH {BACKTEST} SELECT channel, horizon, n, {rs('mae rmse')}, baseline_n, {rs('baseline_mae baseline_rmse')} FROM stats"
-    q["hourly_scoreboard"] = f"WITH {BACKTEST} SELECT horizon, count(*) AS n_channels, {r('mae', 6, 'avg(mae)')}, {r('rmse', 6, 'avg(rmse)')} FROM stats WHERE n > 0 GROUP BY 1"
+    q["persistence_backtest"] = f"WITH {BACKTEST} SELECT channel, coalesce(horizon, 0) AS horizon, n, {rs('mae rmse')}, baseline_n, {rs('baseline_mae baseline_rmse')} FROM stats"
+    q["hourly_scoreboard"] = f"WITH {BACKTEST} SELECT coalesce(horizon, 0) AS horizon, count(*) AS n_channels, {r('mae', 6, 'avg(mae)')}, {r('rmse', 6, 'avg(rmse)')} FROM stats WHERE n > 0 GROUP BY 1"
     q["boundary_union"] = f"""WITH {EXTREMA}, b AS (SELECT DISTINCT channel, unnest([idx, idx + 1]) AS idx FROM extrema WHERE channel IN ('click', 'error', 'purchase')) SELECT idx, count(*) AS n_tables FROM b GROUP BY 1"""
     q["index_intersection"] = f"WITH {GRID} SELECT idx FROM grid WHERE x IS NOT NULL AND channel = 'click' INTERSECT SELECT idx FROM grid WHERE x IS NOT NULL AND channel = 'error'"
     q["ensemble_stitch"] = f"""WITH {GRID}, th AS (SELECT channel, coalesce(quantile_cont(x, 0.9), 0) AS u, coalesce(quantile_cont(x, 0.1), 0) AS l FROM grid GROUP BY 1)
