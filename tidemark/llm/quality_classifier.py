@@ -2,7 +2,7 @@
 
 Class means and covariances come from one aggregation over all labelled training rows (sums and
 outer products per task, then summed). Each covariance is shrunk towards the pooled one and that
-towards its mean variance, and factored once by Cholesky. A document's margin is the difference
+towards the pooled variances alone, and factored once by Cholesky. A document's margin is the difference
 of the two log densities, taken from Mahalanobis distances by triangular solves, plus the
 log ratio of priors. A logistic curve, fitted on the margins' histogram, turns margins into scores.
 """
@@ -99,15 +99,19 @@ def _moments(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def discriminant(n: np.ndarray, s: np.ndarray, ss: np.ndarray, to_pooled: float = 0.3, to_round: float = 0.05) -> Model:
-    """From each class's count, sums and sums of outer products."""
+    """From each class's count, sums and sums of outer products. Classes of few rows are shrunk further: their own
+    covariance counts for no more than their rows per dimension.
+    """
     d = s.shape[1]
     mean = s / np.maximum(n, 1)[:, None]
     scatter = ss - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
     pooled = scatter.sum(0) / max(n.sum(), 1)
     lower, constant = [], []
     for k in range(2):
-        c = (1 - to_pooled) * scatter[k] / max(n[k], 1) + to_pooled * pooled
-        c = (1 - to_round) * c + to_round * np.diag(np.diag(pooled)) + 1e-4 * np.eye(d)
+        few = min(1.0, d / max(n[k], 1))
+        own, even = max(to_pooled, few), max(to_round, few / 2)
+        c = (1 - own) * scatter[k] / max(n[k], 1) + own * pooled
+        c = (1 - even) * c + even * np.diag(np.diag(pooled)) + 1e-4 * np.eye(d)
         low = np.linalg.cholesky((c + c.T) / 2)
         lower.append(low)
         constant.append(np.log(max(n[k], 0.5) / max(n.sum(), 1)) - np.log(np.diag(low)).sum())
