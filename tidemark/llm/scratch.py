@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_collectors: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a fresh one of our own only where the setting is missing."""
@@ -26,4 +30,25 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for c in _collectors[-1:]:
+        c.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(spark: SparkSession, tables: Iterable[DataFrame | str]) -> None:
+    """Delete tables of written(), given themselves or by path, that nothing will read any more."""
+    for t in tables:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.scratch_path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def collected(paths: list[str]) -> Iterator[None]:
+    """Add the paths of all tables written inside to ``paths``."""
+    _collectors.append(paths)
+    try:
+        yield
+    finally:
+        _collectors.pop()

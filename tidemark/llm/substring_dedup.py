@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
-from tidemark.llm.scratch import written
+from tidemark.llm.scratch import forget, written
 from tidemark.llm.words import Words, blob, slices, unblob
 
 #: Text bytes whose keys go out as one chunk, and whose rows meet the replies in one group.
@@ -88,12 +88,12 @@ def inside(spans: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def kept(words: Words, i: int, removed: np.ndarray | None) -> tuple[str, int, int]:
-    """(kept words joined by one space, words, removed words) of text i."""
+def kept(words: Words, i: int, removed: np.ndarray | None, verbatim: bool) -> tuple[str, int, int]:
+    """(kept words joined by one space, words, removed words) of text i; with ``verbatim`` a text that loses none as it is."""
     text = words.data[words.offsets[i] : words.offsets[i + 1]].tobytes()
     each = text.split()
     if removed is None or not removed.any():
-        return b" ".join(each).decode(), len(each), 0
+        return (text if verbatim else b" ".join(each)).decode(), len(each), 0
     return b" ".join(w for w, gone in zip(each, removed, strict=True) if not gone).decode(), len(each), int(removed.sum())
 
 
@@ -152,7 +152,7 @@ def _own_repeats(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
 ROW = "chunk long, part long, keys binary, counts binary, alive binary, n_words long, n_removed long, kept_text string"
 
 
-def _next_level(n: int, length: int, following: int, n_ranges: int, schema: pa.Schema, text_at: int, known_at: int):
+def _next_level(n: int, length: int, following: int, n_ranges: int, schema: pa.Schema, text_at: int, known_at: int, verbatim: bool):
     """Rows with the keys known to repeat at one level: which windows survive, and their keys at the next level."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +162,8 @@ def _next_level(n: int, length: int, following: int, n_ranges: int, schema: pa.S
         def built(b: pa.RecordBatch | None, cols: dict[str, list]) -> pa.RecordBatch:
             n_rows = len(cols["chunk"])
             arrays = [b.column(i + 2).cast(schema.field(i).type) if b is not None else pa.nulls(n_rows, schema.field(i).type) for i in carried]
+            if b is not None:  # a finished row's text is done with
+                arrays[-1] = pa.compute.if_else(pa.array([a is not None for a in cols["alive"]]), arrays[-1], None)
             arrays += [pa.array(cols.get(f.name) or [None] * n_rows, f.type) for f in list(schema)[len(carried) :]]
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
@@ -187,7 +189,7 @@ def _next_level(n: int, length: int, following: int, n_ranges: int, schema: pa.S
                         size += int(w.offsets[i + 1] - w.offsets[i])
                         done, alive = (None, None, None), blob(spans_of(flags))
                     else:
-                        done, alive = kept(w, i, None), None
+                        done, alive = kept(w, i, None, verbatim), None
                     cols["chunk"].append(chunk)
                     cols["alive"].append(alive)
                     for name, v in zip(("kept_text", "n_words", "n_removed"), done, strict=True):
@@ -203,7 +205,7 @@ def _next_level(n: int, length: int, following: int, n_ranges: int, schema: pa.S
     return run
 
 
-def _last_level(n: int, carry: list[str]):
+def _last_level(n: int, carry: list[str], verbatim: bool):
     """Rows of a chunk with surviving windows, and the replies for full windows: what stays of each text."""
 
     def run(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -218,7 +220,7 @@ def _last_level(n: int, carry: list[str]):
             step = np.zeros(len(w.hashes) + 1, dtype=np.int64)
             step[at[hit]] += 1
             np.subtract.at(step, at[hit] + n, 1)
-            t, a, b = kept(w, 0, np.cumsum(step[:-1]) > 0)
+            t, a, b = kept(w, 0, np.cumsum(step[:-1]) > 0, verbatim)
             texts.append(t)
             counts.append(a)
             gone.append(b)
@@ -243,8 +245,9 @@ def _middle_level(n: int, length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, n_words: int = 35, first: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: id_col, the columns of ``carry``, n_words, n_removed, kept_text.
+def remove_repeats(docs: DataFrame, n_words: int = 35, first: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), verbatim: bool = False) -> DataFrame:
+    """One row per input row: id_col, the columns of ``carry``, n_words, n_removed, kept_text (with ``verbatim``, a text that
+    loses nothing keeps its white space).
 
     Windows are judged on the input, all copies go. Words are runs of bytes other than ASCII white
     space, compared unchanged. A null text counts as empty and yields kept_text ''; a text of fewer
@@ -269,22 +272,25 @@ def remove_repeats(docs: DataFrame, n_words: int = 35, first: int | None = None,
     rows = src.join(known, "row_key", "left")
 
     kept_names = [f"c{i}" for i in range(len(names))] + ["text"]
+    finished, used = None, level
     for length, following in zip(lengths, lengths[1:], strict=False):
         shape = rows.select("row_key", "known", *kept_names)
         struct = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in shape.schema.fields[2:]) + ", " + ROW
         arrow = _arrow_schema(docs, struct)
-        level = written(shape.mapInArrow(_next_level(n_words, length, following, n_ranges, arrow, 2 + len(names), 1), struct))
+        level = written(shape.mapInArrow(_next_level(n_words, length, following, n_ranges, arrow, 2 + len(names), 1, verbatim), struct))
+        forget(docs.sparkSession, [used] if used is not None else [])
+        used = None
         messages = level.filter("part is not null").select("chunk", "part", "keys", "counts")
         alive = level.filter("part is null and alive is not null").select("chunk", "alive", *kept_names)
         replies = repeats.repeated(messages).groupBy("chunk")
         if following != n_words:
             names_now = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in alive.schema.fields[2:])
-            done = level.filter("part is null and alive is null").select(*kept_names, F.lit(None).cast("binary").alias("known"))
-            rows = alive.groupBy("chunk").cogroup(replies).applyInPandas(_middle_level(n_words, following), names_now + ", known binary").unionByName(done)
+            rows = alive.groupBy("chunk").cogroup(replies).applyInPandas(_middle_level(n_words, following), names_now + ", known binary")
             rows = rows.withColumn("row_key", F.lit(0).cast("long"))
-    finished = level.filter("part is null and alive is null").select(*kept_names[:-1], "n_words", "n_removed", "kept_text")
+        done = level.filter("part is null and alive is null").select(*kept_names[:-1], "n_words", "n_removed", "kept_text")
+        finished = done if finished is None else finished.unionByName(done)
     last = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in finished.schema.fields)
-    changed = alive.groupBy("chunk").cogroup(replies).applyInPandas(_last_level(n_words, kept_names[:-1]), last)
+    changed = alive.groupBy("chunk").cogroup(replies).applyInPandas(_last_level(n_words, kept_names[:-1], verbatim), last)
     return finished.unionByName(changed).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_words", "n_removed", "kept_text")
 
 
