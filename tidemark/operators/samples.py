@@ -106,13 +106,12 @@ def boundary_union(*segments: DataFrame) -> DataFrame:
     return out.groupBy("idx").agg(F.count(F.lit(1)).alias("n_tables"))
 
 
-def next_targets(series: DataFrame, at: DataFrame, value: str = "x", hours: int = 24) -> DataFrame:
-    """idx and the array of the next ``hours`` values less the value at idx, where all of them are known."""
-    asked = at.select(F.col("idx").alias("at"), F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(hours)), lambda k: F.col("idx") + k)).alias("k", "idx"))
-    known = series.filter(F.col(value).isNotNull()).select("idx", F.col(value).alias("v"))
-    got = asked.join(known, "idx").groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda v: v["v"]).alias("vs")).filter(F.col("n") == hours)
-    base = known.select(F.col("idx").alias("at"), F.col("v").alias("x0"))
-    return got.join(base, "at").select(F.col("at").alias("idx"), F.transform("vs", lambda v: v - F.col("x0")).alias("target"))
+def next_targets(series: DataFrame, value: str = "x", hours: int = 24, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
+    """keys, idx and the array of the next ``hours`` values less the value at idx, where all of them are known. One frame over one sort."""
+    w = Window.partitionBy(*keys).orderBy("idx")
+    ahead = w.rowsBetween(1, hours)
+    got = series.withColumn("_n", F.count(value).over(ahead)).withColumn("_v", F.collect_list(value).over(ahead)).filter((F.col("_n") == hours) & F.col(value).isNotNull())
+    return got.select(*keys, "idx", F.transform("_v", lambda v: v - F.col(value)).alias("target"))
 
 
 def running_k(durations: Column, total: float, most: int, order: str, keys: tuple[str, ...] = ()) -> Column:

@@ -42,13 +42,10 @@ def n_steps(df: DataFrame) -> int:
     return int((df.agg(F.max("idx")).first()[0] or -1) + 1)
 
 
-def one_channel(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("channel") == CHANNELS[0])
-
-
 def window_table(spark: SparkSession, d: str) -> DataFrame:
-    """window_id, start_idx, end_idx, block_id (five days) of the sliding windows."""
-    w = windows.starts(one_channel(grid(spark, d)), 24, 1)
+    """window_id, start_idx, end_idx, block_id (five days) of the sliding windows, which all channels share."""
+    steps = grid(spark, d).select("idx").distinct().withColumn("series", F.lit(0))
+    w = windows.starts(steps, 24, 1, ("series",))
     return w.select("window_id", F.col("idx").alias("start_idx"), (F.col("idx") + 23).alias("end_idx"), F.floor(F.col("idx") / 120).alias("block_id"))
 
 
@@ -159,13 +156,12 @@ def target_lookup(spark, d):
 
 
 def forward_asof_target(spark, d):
-    w = window_table(spark, d).filter("start_idx % 7 = 0")
-    return ids(samples.targets_by_time(w, 24, 3, "end_idx"))
+    return ids(samples.targets_by_time(window_table(spark, d), 24, 3, "end_idx"))
 
 
 def sequence_samples(spark, d):
     w = window_table(spark, d)
-    return ids(samples.samples(w, w.select("window_id", F.col("block_id").alias("pattern_id")).filter("window_id % 5 <> 0"), count=6, same_block=True))
+    return ids(samples.samples(w, w.select("window_id", F.col("block_id").alias("pattern_id")), count=6, same_block=True))
 
 
 def chronological_split(spark, d):
@@ -188,7 +184,7 @@ def hourly_scoreboard(spark, d):
 
 def boundary_union(spark, d):
     e = events.extrema(sig(spark, d)).select("channel", "idx")
-    tables = [e.filter(F.col("channel") == c).select(F.col("idx").alias("start_idx"), (F.col("idx") + 1).alias("end_idx")) for c in CHANNELS[:3]]
+    tables = [e.filter(F.col("channel") == c).select(F.col("idx").alias("start_idx"), (F.col("idx") + 1).alias("end_idx")) for c in CHANNELS]
     return samples.boundary_union(*tables)
 
 
@@ -221,7 +217,7 @@ def equation_eval(spark, d):
 
 
 def segment_report(spark, d):
-    return rounded(metrics.segment_report(_line_segments(spark, d).filter("segment_id % 4 <> 3")), 4)
+    return rounded(metrics.segment_report(_line_segments(spark, d)), 4)
 
 
 def segment_vectors(spark, d):
@@ -237,7 +233,7 @@ def decoded_series(spark, d):
 
 def extrapolated_errors(spark, d):
     g = grid(spark, d)
-    s = _line_segments(spark, d).filter("segment_id < 20")
+    s = _line_segments(spark, d).filter(F.col("end_idx") < n_steps(g) - 48)  # the last two days are held out
     p = segments.extrapolated(s, 48).join(g.filter("x is not null").select("channel", "idx", "x"), ["channel", "idx"])
     return rounded(p.groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("x") - F.col("prediction"))).alias("mae")))
 
@@ -270,20 +266,19 @@ def running_duration_k(spark, d):
 
 
 def next24_targets(spark, d):
-    g = one_channel(grid(spark, d))
-    t = samples.next_targets(g, g.filter("idx % 6 = 0").select("idx"))
-    return rounded(t.select("idx", F.posexplode("target").alias("step", "delta")).withColumn("step", F.col("step").cast("long")))
+    t = samples.next_targets(grid(spark, d))
+    return rounded(t.select("channel", "idx", F.posexplode("target").alias("step", "delta")).withColumn("step", F.col("step").cast("long")))
 
 
 def window_decode(spark, d):
-    f = windows.intra_features(sig(spark, d)).filter("window_id % 3 = 0").withColumn("sample_id", F.floor(F.col("window_id") / 24)).withColumn("step", F.col("window_id"))
+    f = windows.intra_features(sig(spark, d)).withColumn("sample_id", F.floor(F.col("window_id") / 24)).withColumn("step", F.col("window_id"))
     return rounded(f.withColumn("value", decode.decoded_value()).select("sample_id", "channel", "step", "value"))
 
 
 def interval_values(spark, d):
-    g = one_channel(grid(spark, d)).filter("x is not null and idx % 5 = 0").select(F.col("idx").cast("double").alias("t"), F.col("x").alias("v"))
-    ask = one_channel(grid(spark, d)).select((F.col("idx") * 1.5).alias("t"))
-    return rounded(decode.interpolated(g, ask))
+    g = grid(spark, d)
+    known = g.filter("x is not null").select("channel", F.col("idx").cast("double").alias("t"), F.col("x").alias("v"))
+    return rounded(decode.interpolated(known, g.select("channel", (F.col("idx") * 1.5).alias("t")), keys=("channel",)))
 
 
 def anchor_days(spark, d):
@@ -296,8 +291,9 @@ def anchor_days(spark, d):
 
 
 def label_lookup(spark, d):
+    s = sig(spark, d)
     w = window_table(spark, d).select("window_id", "block_id")
-    labels = w.filter("window_id % 3 <> 1").select("window_id", (F.col("window_id") % 7).alias("pattern_id"))
+    labels = windows.event_bridge(events.extrema(s).filter(F.col("channel") == CHANNELS[0]), n_steps(s)).groupBy("window_id").agg(F.count(F.lit(1)).alias("pattern_id"))
     return w.join(labels, "window_id", "left").groupBy("block_id", F.coalesce("pattern_id", F.lit(-1)).alias("pattern_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -347,7 +343,7 @@ def walk_forward_report(spark, d):
 
 def joint_segments(spark, d):
     s = sig(spark, d).filter("s is not null")
-    cuts = segments.segmented(s.filter(F.col("channel").isin(*CHANNELS[:3])), tolerance=12.0, harmonic=False, value="s")
+    cuts = segments.segmented(s, tolerance=12.0, harmonic=False, value="s")
     return rounded(segments.joint_refit(samples.boundary_union(cuts), s, value="s", harmonic=CHANNELS[:1]))
 
 

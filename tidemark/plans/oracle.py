@@ -196,14 +196,14 @@ def oracle_sql() -> dict[str, str]:
     q["history_frames"] = f"""WITH {GRID} {WINDOWS} {ONE} SELECT window_id, concat_ws(',', window_id - 3, window_id - 2, window_id - 1, window_id) AS history_ids FROM one WHERE window_id >= 3"""
     q["target_lookup"] = f"""WITH {GRID} {WINDOWS} {ONE}, t AS (SELECT a.window_id, b.window_id AS target FROM one a CROSS JOIN generate_series(0, 23) g(k) JOIN one b ON b.start_idx = a.start_idx + 24 + k)
       SELECT window_id, string_agg(target, ',' ORDER BY target) AS target_ids FROM t GROUP BY 1 HAVING count(*) = 24"""
-    q["forward_asof_target"] = f"""WITH {GRID} {WINDOWS} {ONE}, p AS (SELECT *, row_number() OVER (ORDER BY start_idx) - 1 AS pos FROM one WHERE start_idx % 7 = 0),
+    q["forward_asof_target"] = f"""WITH {GRID} {WINDOWS} {ONE}, p AS (SELECT *, row_number() OVER (ORDER BY start_idx) - 1 AS pos FROM one),
       f AS (SELECT a.window_id, greatest(min(b.pos), a.pos + 1) AS first FROM p a JOIN p b ON b.start_idx >= a.end_idx + 24 GROUP BY 1, a.pos),
       t AS (SELECT f.window_id, p.window_id AS target FROM f JOIN p ON p.pos BETWEEN f.first AND f.first + 2)
       SELECT window_id, string_agg(target, ',' ORDER BY target) AS target_ids FROM t GROUP BY 1 HAVING count(*) = 3"""
     q["sequence_samples"] = f"""WITH {GRID} {WINDOWS} {ONE},
       h AS (SELECT a.window_id, b.window_id AS id, 'h' AS side, b.block_id FROM one a JOIN one b ON b.start_idx BETWEEN a.start_idx - 3 AND a.start_idx),
       t AS (SELECT a.window_id, b.window_id AS id, 't' AS side, b.block_id FROM one a JOIN one b ON b.start_idx BETWEEN a.start_idx + 24 AND a.start_idx + 29),
-      u AS (SELECT *, CASE WHEN id % 5 <> 0 THEN block_id ELSE -1 END AS pattern FROM (SELECT * FROM h UNION ALL SELECT * FROM t))
+      u AS (SELECT *, block_id AS pattern FROM (SELECT * FROM h UNION ALL SELECT * FROM t))
       SELECT window_id AS source_window_id, string_agg(id, ',' ORDER BY id) FILTER (side = 'h') AS history_ids, string_agg(id, ',' ORDER BY id) FILTER (side = 't') AS target_ids,
         string_agg(pattern, ',' ORDER BY id) FILTER (side = 'h') AS history_patterns, string_agg(pattern, ',' ORDER BY id) FILTER (side = 't') AS target_patterns
       FROM u GROUP BY 1 HAVING count(*) FILTER (side = 'h') = 4 AND count(*) FILTER (side = 't') = 6 AND min(block_id) = max(block_id)"""
@@ -212,23 +212,23 @@ def oracle_sql() -> dict[str, str]:
       SELECT window_id, pos, CASE WHEN pos < a THEN 'train' WHEN pos < (CASE WHEN z <= a THEN least(n - 1, a + 1) ELSE z END) THEN 'validation' ELSE 'test' END AS split FROM c"""
     q["persistence_backtest"] = f"WITH {BACKTEST} SELECT channel, coalesce(horizon, 0) AS horizon, n, {rs('mae rmse')}, baseline_n, {rs('baseline_mae baseline_rmse')} FROM stats"
     q["hourly_scoreboard"] = f"WITH {BACKTEST} SELECT coalesce(horizon, 0) AS horizon, count(*) AS n_channels, {r('mae', 6, 'avg(mae)')}, {r('rmse', 6, 'avg(rmse)')} FROM stats WHERE n > 0 GROUP BY 1"
-    q["boundary_union"] = f"""WITH {EXTREMA}, b AS (SELECT DISTINCT channel, unnest([idx, idx + 1]) AS idx FROM extrema WHERE channel IN ('click', 'error', 'purchase')) SELECT idx, count(*) AS n_tables FROM b GROUP BY 1"""
+    q["boundary_union"] = f"""WITH {EXTREMA}, b AS (SELECT DISTINCT channel, unnest([idx, idx + 1]) AS idx FROM extrema) SELECT idx, count(*) AS n_tables FROM b GROUP BY 1"""
     q["index_intersection"] = f"WITH {GRID} SELECT idx FROM grid WHERE x IS NOT NULL AND channel = 'click' INTERSECT SELECT idx FROM grid WHERE x IS NOT NULL AND channel = 'error'"
     q["ensemble_stitch"] = f"""WITH {GRID}, th AS (SELECT channel, coalesce(quantile_cont(x, 0.9), 0) AS u, coalesce(quantile_cont(x, 0.1), 0) AS l FROM grid GROUP BY 1)
       SELECT channel, h AS horizon, count(*) AS n, {r("mean_prediction", 6, "avg(CASE WHEN h < 12 THEN x WHEN h < 24 THEN l ELSE u END)")} FROM grid JOIN th USING (channel) CROSS JOIN generate_series(1, 36) g(h) WHERE x IS NOT NULL GROUP BY 1, 2"""
     q["linear_fit_by_block"] = f"WITH {LINES} SELECT channel, block, n, {rs('mean intercept slope')} FROM fits"
     value = VALUE.format(t="g.idx - s.start_idx")
     q["equation_eval"] = f"WITH {LINES} SELECT g.channel, g.idx, s.segment_id, {r('actual', 6, 'g.x')}, {r('fitted', 6, value)} FROM grid g JOIN segs s ON s.channel = g.channel AND g.idx BETWEEN s.start_idx AND s.end_idx"
-    q["segment_report"] = f"""WITH {LINES}, part AS (SELECT * FROM segs WHERE segment_id % 4 <> 3)
+    q["segment_report"] = f"""WITH {LINES}
       SELECT eq_type, count(*) AS n, {r("mean_duration", 4, "avg(duration)")}, CAST(min(duration) AS BIGINT) AS min_duration, CAST(max(duration) AS BIGINT) AS max_duration, {r("mean_rms", 4, "avg(rms)")},
-        {r("pct", 4, "100.0 * count(*) / (SELECT count(*) FROM part)")} FROM part GROUP BY ROLLUP (eq_type)"""
+        {r("pct", 4, "100.0 * count(*) / (SELECT count(*) FROM segs)")} FROM segs GROUP BY ROLLUP (eq_type)"""
     q["segment_vectors"] = f"""WITH {LINES} SELECT channel, segment_id, eq_type, {r("L")}, {r("c")}, {r("A")}, {r("B")}, CAST(duration AS BIGINT) AS duration, {r("total", 6, "1 + L / 50 + c / 2 + A / 10 + B + 1")} FROM segs"""
     first, last = VALUE.format(t="0"), VALUE.format(t="23")
     q["decoded_series"] = f"""WITH {LINES}, ab AS (SELECT *, {first} AS v0, {last} AS v1 FROM segs),
       c AS (SELECT *, 10.0 + coalesce(sum(v1 - v0) OVER w, 0) AS carry, coalesce(sum(duration) OVER w, 0) AS base FROM ab WINDOW w AS (PARTITION BY channel ORDER BY segment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT channel, CAST(base + k AS BIGINT) AS idx, {r("value", 6, f"{VALUE.format(t='k')} + carry - v0")} FROM c CROSS JOIN generate_series(0, 23) g(k) WHERE base + k < 200"""
     ahead = VALUE.format(t="g.idx - s.start_idx")
-    q["extrapolated_errors"] = f"""WITH {LINES}, l AS (SELECT * FROM segs WHERE segment_id < 20 QUALIFY row_number() OVER (PARTITION BY channel ORDER BY start_idx DESC) = 1)
+    q["extrapolated_errors"] = f"""WITH {LINES}, l AS (SELECT * FROM segs WHERE end_idx < (SELECT max(idx) FROM grid) - 47 QUALIFY row_number() OVER (PARTITION BY channel ORDER BY start_idx DESC) = 1)
       SELECT g.channel, count(*) AS n, {r("mae", 6, f"avg(abs(g.x - ({ahead})))")} FROM grid g JOIN l s ON s.channel = g.channel AND g.idx BETWEEN s.end_idx + 1 AND s.end_idx + 48 WHERE g.x IS NOT NULL GROUP BY 1"""
     cols = "l_quantity l_extendedprice l_discount l_tax".split()
     q["p90_scales"] = "SELECT " + ", ".join(r(c, 4, f"coalesce(quantile_cont(abs({c}), 0.9) FILTER (abs({c}) > 1e-6), 1.0)") for c in cols) + " FROM lineitem"
@@ -238,22 +238,24 @@ def oracle_sql() -> dict[str, str]:
     q["time_features"] = f"""SELECT DISTINCT o_orderdate AS day, {r("doy_sin", 6, "sin(2 * pi() * dayofyear(o_orderdate) / 365)")}, {r("doy_cos", 6, "cos(2 * pi() * dayofyear(o_orderdate) / 365)")},
       {r("hour_sin", 6, "sin(2 * pi() * hour(o_orderdate) / 24)")}, {r("hour_cos", 6, "cos(2 * pi() * hour(o_orderdate) / 24)")} FROM orders"""
     q["running_duration_k"] = f"""WITH {PEAKS}, c AS (SELECT channel, sum(width) OVER w - width AS before, row_number() OVER w AS k FROM peaks WINDOW w AS (PARTITION BY channel ORDER BY idx)) SELECT channel, CAST(sum(CASE WHEN before < 48 AND k <= 48 THEN 1 ELSE 0 END) AS BIGINT) AS k FROM c GROUP BY 1"""
-    q["next24_targets"] = f"""WITH {GRID}, k AS (SELECT idx, x FROM grid WHERE channel = 'click' AND x IS NOT NULL), t AS (
-        SELECT a.idx, b.idx - a.idx - 1 AS step, b.x - a.x AS delta, count(*) OVER (PARTITION BY a.idx) AS n FROM k a JOIN k b ON b.idx BETWEEN a.idx + 1 AND a.idx + 24 WHERE a.idx % 6 = 0)
-      SELECT idx, step, {r("delta")} FROM t WHERE n = 24"""
+    q["next24_targets"] = f"""WITH {GRID}, k AS (SELECT channel, idx, x FROM grid WHERE x IS NOT NULL), t AS (
+        SELECT a.channel, a.idx, b.idx - a.idx - 1 AS step, b.x - a.x AS delta, count(*) OVER (PARTITION BY a.channel, a.idx) AS n FROM k a JOIN k b ON b.channel = a.channel AND b.idx BETWEEN a.idx + 1 AND a.idx + 24)
+      SELECT channel, idx, step, {r("delta")} FROM t WHERE n = 24"""
     intra = q["window_intra"]
     head, tail = intra.rsplit("SELECT window_id, channel, ", 1)
     bare = f"""coalesce(v[len(v)], 0) AS cur, {_delta(1)} AS e1, {_delta(6)} AS e6, {_delta(24)} AS e24, coalesce(last_d2, 0) AS d2, coalesce(mean, 0) AS mean, coalesce(high, 0) AS high, coalesce(low, 0) AS low FROM agg"""
-    q["window_decode"] = f"""{head.rstrip()}, f AS (SELECT window_id, channel, {bare} WHERE window_id % 3 = 0),
+    q["window_decode"] = f"""{head.rstrip()}, f AS (SELECT window_id, channel, {bare}),
       p AS (SELECT *, CAST(floor(window_id / 24) AS BIGINT) AS sample_id, (row_number() OVER (PARTITION BY floor(window_id / 24), channel ORDER BY window_id) - 1) / greatest(count(*) OVER (PARTITION BY floor(window_id / 24), channel) - 1, 1) AS p FROM f),
       w AS (SELECT *, cur + (0.5 * e1 + 0.3 * e6 / 6 + 0.2 * e24 / 24) * p + 0.5 * d2 * p * (1 - p) + 0.15 * (mean - cur) AS raw, greatest(0.05 * abs(high - low), 1e-6) AS m FROM p)
       SELECT sample_id, channel, window_id AS step, {r("value", 6, "CASE WHEN abs(high - low) <= 1e-8 THEN CASE WHEN abs(cur) <= 1e-8 THEN raw ELSE cur END ELSE least(greatest(raw, low - m), high + m) END")} FROM w"""
-    q["interval_values"] = f"""WITH {GRID}, k AS (SELECT CAST(idx AS DOUBLE) AS t, x AS v FROM grid WHERE channel = 'click' AND x IS NOT NULL AND idx % 5 = 0), a AS (SELECT idx * 1.5::DOUBLE AS t FROM grid WHERE channel = 'click'),
-      n AS (SELECT a.t, max(CASE WHEN k.t <= a.t THEN k.t END) AS t0, min(CASE WHEN k.t >= a.t THEN k.t END) AS t1 FROM a CROSS JOIN k GROUP BY 1)
-      SELECT n.t, {r("v", 6, "CASE WHEN t0 IS NULL THEN q.v WHEN t1 IS NULL OR t0 = t1 THEN p.v ELSE p.v + (q.v - p.v) * (n.t - t0) / (t1 - t0) END")} FROM n LEFT JOIN k p ON p.t = t0 LEFT JOIN k q ON q.t = t1"""
+    q["interval_values"] = f"""WITH {GRID}, k AS (SELECT channel, CAST(idx AS DOUBLE) AS t, x AS v FROM grid WHERE x IS NOT NULL), a AS (SELECT channel, idx * 1.5::DOUBLE AS t FROM grid),
+      n AS (SELECT a.channel, a.t, max(CASE WHEN k.t <= a.t THEN k.t END) AS t0, min(CASE WHEN k.t >= a.t THEN k.t END) AS t1 FROM a JOIN k USING (channel) GROUP BY 1, 2)
+      SELECT n.channel, n.t, {r("v", 6, "CASE WHEN t0 IS NULL THEN q.v WHEN t1 IS NULL OR t0 = t1 THEN p.v ELSE p.v + (q.v - p.v) * (n.t - t0) / (t1 - t0) END")}
+      FROM n LEFT JOIN k p ON p.channel = n.channel AND p.t = t0 LEFT JOIN k q ON q.channel = n.channel AND q.t = t1"""
     q["anchor_days"] = f"""WITH o AS (SELECT o_orderdate AS day, year(o_orderdate) AS year, abs(dayofyear(o_orderdate) - 60) AS off, sum(o_totalprice) AS total FROM orders GROUP BY 1)
       SELECT CAST(year AS BIGINT) AS year, day, CAST(off AS BIGINT) AS off, {r("total", 2)} FROM o WHERE off <= 7 QUALIFY row_number() OVER (PARTITION BY year ORDER BY off, day) = 1"""
-    q["label_lookup"] = f"WITH {GRID} {WINDOWS} {ONE} SELECT block_id, CASE WHEN window_id % 3 <> 1 THEN window_id % 7 ELSE -1 END AS pattern_id, count(*) AS n FROM one GROUP BY 1, 2"
+    q["label_lookup"] = f"""WITH {EXTREMA} {WINDOWS} {ONE}, l AS (SELECT w.window_id, count(*) AS k FROM win w JOIN extrema e ON e.channel = 'click' AND e.idx BETWEEN w.window_id AND w.window_id + 23 GROUP BY 1)
+      SELECT block_id, coalesce(k, -1) AS pattern_id, count(*) AS n FROM one LEFT JOIN l USING (window_id) GROUP BY 1, 2"""
     q["nearest_prototype"] = f"WITH {VECTORS} SELECT id, pattern_id, {rs('distance second_distance', 5)} FROM near"
     q["lloyd_step"] = f"WITH {VECTORS} SELECT n.pattern_id, CAST(pos AS INTEGER) AS pos, {r('value', 6, 'avg(x)')}, count(*) AS n FROM pts JOIN near n USING (id) GROUP BY 1, 2"
     q["cluster_quality"] = f"""WITH {VECTORS}, b AS (SELECT pattern_id, count(*) AS n, sum(coalesce((second_distance - distance) / nullif(greatest(distance, second_distance), 0), 0)) AS s FROM near GROUP BY 1),
