@@ -18,7 +18,7 @@ SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes worked on at once; one longer text is worked on alone.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
