@@ -163,7 +163,7 @@ def _next_level(n: int, length: int, following: int, n_ranges: int, schema: pa.S
             n_rows = len(cols["chunk"])
             arrays = [b.column(i + 2).cast(schema.field(i).type) if b is not None else pa.nulls(n_rows, schema.field(i).type) for i in carried]
             if b is not None:  # a finished row's text is done with
-                arrays[-1] = pa.compute.if_else(pa.array([a is not None for a in cols["alive"]]), arrays[-1], None)
+                arrays[-1] = arrays[-1].take(pa.array([i if a is not None else None for i, a in enumerate(cols["alive"])], pa.int64()))
             arrays += [pa.array(cols.get(f.name) or [None] * n_rows, f.type) for f in list(schema)[len(carried) :]]
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
