@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Regimes
 from tidemark.functions import equations
-from tidemark.operators import clustering, decode, events, predictors, samples, segments, signal, windows
+from tidemark.operators import clustering, decode, events, predictors, samples, segments, signal, structure, windows
 
 
 def table(spark, xs, channel="a"):
@@ -204,3 +204,33 @@ def test_empty_events(spark, data):
     e = spark.read.parquet(f"{data}/events.parquet").limit(0)
     s = signal.signal(signal.hourly_grid(e))
     assert s.count() == 0 and events.peaks(s).count() == 0 and windows.intra_features(s).count() == 0
+
+
+def test_dynamics_vectors_and_distances(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(4):
+        for channel in "ab":
+            kind = ["level", "linear", "exponential", "oscillatory"][rng.integers(4)]
+            rows.append((k, channel, kind, *map(float, rng.random(6)), k % 3))
+    df = spark.createDataFrame(rows, "segment_id long, channel string, kind string, L double, c double, lam double, omega double, A double, B double, synchrony long")
+    back = df.withColumn("d", structure.dynamics_of(structure.dynamics_vector(F.col("kind")))).select("*", "d.*").collect()
+    assert all(r[2:9] == tuple(r)[11:] for r in map(tuple, back))
+    v = {r.segment_id: np.array(r.v) for r in structure.functional_vectors(df).collect()}
+    t = np.linspace(0, 1, 100)
+    names = ["kind", *structure.PARAMS]
+    fits = {(r[0], r[1]): dict(zip(names, r[2:9], strict=True)) for r in rows}
+    for i in range(4):
+        for j in range(i):
+            want = sum(np.trapezoid((equations.dynamics_value(fits[i, c], t) - equations.dynamics_value(fits[j, c], t)) ** 2, t) for c in "ab") + (i % 3 - j % 3) ** 2
+            assert np.isclose(((v[i] - v[j]) ** 2).sum(), want)
+    one = df.filter("segment_id = 0 and channel = 'a'").withColumn("d", F.struct("kind", *structure.PARAMS))
+    r = one.select(structure.forward(F.col("d"), F.lit(5.0), F.lit(2.0), 3).alias("f"), structure.chained(F.array("d", "d"), F.lit(5.0), F.lit(2.0)).alias("c")).first()
+    step = 2 * equations.dynamics_value(fits[0, "a"], np.arange(1, 4.0))
+    assert np.allclose(r.f, 5 + step) and np.allclose(r.c, [5 + step[0], 5 + 2 * step[0]])
+
+
+def test_resampled(spark):
+    df = spark.createDataFrame([([],), ([2.0],), ([0.0, 1.0],), ([0.0, 4.0, 2.0],)], "v array<double>")
+    got = [r[0] for r in df.select(structure.resampled(F.col("v"), 5)).collect()]
+    assert got == [[0.0] * 5, [2.0] * 5, [0.0, 0.25, 0.5, 0.75, 1.0], [0.0, 2.0, 4.0, 3.0, 2.0]]

@@ -119,3 +119,10 @@ def running_k(durations: Column, total: float, most: int, order: str, keys: tupl
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = F.sum(durations).over(w) - durations
     return F.when((before < total) & (F.count(F.lit(1)).over(w) <= most), 1).otherwise(0)
+
+
+def yearly_anchors(daily: DataFrame, day_of_year: int, within: int = 7, day: str = "day") -> DataFrame:
+    """Of each year the day nearest to a day of the year, at most ``within`` away (the first on a tie): year, off and the day's columns."""
+    near = daily.withColumns({"year": F.year(day).cast("long"), "off": F.abs(F.dayofyear(day) - day_of_year).cast("long")}).filter(F.col("off") <= within)
+    first = F.row_number().over(Window.partitionBy("year").orderBy("off", day))
+    return near.withColumn("_r", first).filter("_r = 1").drop("_r")

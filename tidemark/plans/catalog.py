@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import clustering, decode, events, metrics, pairs, predictors, samples, segments, signal, windows
+from tidemark.operators import clustering, decode, events, metrics, pairs, predictors, samples, segments, signal, structure, windows
 
 CHANNELS = ("click", "error", "purchase", "signup", "view")
 COMPOUND = ("purchase", "view")
@@ -282,12 +282,16 @@ def interval_values(spark, d):
 
 
 def anchor_days(spark, d):
-    from pyspark.sql import Window
+    daily = table(spark, d, "orders").groupBy(F.col("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("total"))
+    return rounded(samples.yearly_anchors(daily, 60).select("year", "day", "off", "total"), 2)
 
-    o = table(spark, d, "orders").groupBy(F.col("o_orderdate").alias("day")).agg(F.sum("o_totalprice").alias("total"))
-    o = o.withColumns({"year": F.year("day").cast("long"), "off": F.abs(F.dayofyear("day") - 60).cast("long")}).filter("off <= 7")
-    o = o.withColumn("_r", F.row_number().over(Window.partitionBy("year").orderBy("off", "day"))).filter("_r = 1")
-    return rounded(o.select("year", "day", "off", "total"), 2)
+
+def scaled_features(spark, d):
+    return rounded(structure.scaled_features(window_intra(spark, d), window_hazard(spark, d)), 5)
+
+
+def scaled_pairs(spark, d):
+    return rounded(structure.scaled_pairs(window_pairs(spark, d), sync_extrema(spark, d)), 4)
 
 
 def label_lookup(spark, d):
@@ -352,6 +356,15 @@ def dynamics_pieces(spark, d):
     return rounded(segments.dynamics_fits(s, segments.dynamics_boundaries(s)))
 
 
+def dynamics_medoids(spark, d):
+    """Medoids of a sample of pieces by the integrals between their dynamics; every piece to its nearest medoid."""
+    v = structure.functional_vectors(dynamics_pieces(spark, d)).withColumnRenamed("segment_id", "id").persist()
+    _, x = clustering.sample(v, 512)
+    _, medoids = clustering.kmedoids(clustering.pairwise(x) ** 2, 8) if len(x) else (None, [])
+    protos = spark.createDataFrame([(i, x[m].tolist()) for i, m in enumerate(medoids)], "pattern_id int, v array<double>")
+    return rounded(clustering.nearest(v, protos))
+
+
 def kmeans_clusters(spark, d):
     k, _, labels, _ = clustering.select_k(vectors(spark, d), (8, 12, 16), rounds=5)
     return rounded(labels.withColumn("k", F.lit(k)))
@@ -367,8 +380,8 @@ ALL = [
     hourly_channel_grid, quality_mask, date_slice, long_form, rolling_mean, differences, savgol, linear_interp, extrema_events, peak_events, channel_thresholds, window_intra, window_hazard,
     event_window_bridge, window_time_block, window_pairs, sync_extrema, one_step_predictors, predictor_scoreboard, circular_error, history_frames, target_lookup, forward_asof_target, sequence_samples,
     chronological_split, persistence_backtest, hourly_scoreboard, boundary_union, index_intersection, ensemble_stitch, linear_fit_by_block, equation_eval, segment_report, segment_vectors, decoded_series,
-    extrapolated_errors, p90_scales, robust_scale, vector_norm_stats, time_features, running_duration_k, next24_targets, window_decode, interval_values, anchor_days, label_lookup, nearest_prototype,
-    lloyd_step, cluster_quality, regime_labels, switch_counts, regime_blocks, hierarchical_windows, walk_forward_segments, walk_forward_report, joint_segments, dynamics_pieces, kmeans_clusters, leader_patterns,
+    extrapolated_errors, p90_scales, robust_scale, vector_norm_stats, time_features, running_duration_k, next24_targets, window_decode, interval_values, anchor_days, scaled_features, scaled_pairs, label_lookup, nearest_prototype,
+    lloyd_step, cluster_quality, regime_labels, switch_counts, regime_blocks, hierarchical_windows, walk_forward_segments, walk_forward_report, joint_segments, dynamics_pieces, dynamics_medoids, kmeans_clusters, leader_patterns,
 ]
 
 

@@ -254,6 +254,15 @@ def oracle_sql() -> dict[str, str]:
       FROM n LEFT JOIN k p ON p.channel = n.channel AND p.t = t0 LEFT JOIN k q ON q.channel = n.channel AND q.t = t1"""
     q["anchor_days"] = f"""WITH o AS (SELECT o_orderdate AS day, year(o_orderdate) AS year, abs(dayofyear(o_orderdate) - 60) AS off, sum(o_totalprice) AS total FROM orders GROUP BY 1)
       SELECT CAST(year AS BIGINT) AS year, day, CAST(off AS BIGINT) AS off, {r("total", 2)} FROM o WHERE off <= 7 QUALIFY row_number() OVER (PARTITION BY year ORDER BY off, day) = 1"""
+    by = "CASE WHEN abs(range) > 1e-6 THEN abs(range) ELSE 1.0 END"
+    scaled = {c: f"{c} / {by}" for c in "delta_1 delta_6 delta_24 second_diff max_peak_value mean_prominence max_prominence max_rise_slope".split()}
+    scaled |= {"variance": f"variance / ({by} * {by})", "extrema_amplitude_sum": f"extrema_amplitude_sum / ({by} * greatest(events, 1))"}
+    scaled |= {c: f"{c} / 24" for c in "extrema_count n_peaks mean_width max_width duration_over".split()} | {c: f"{c} / ({by} * 24)" for c in "upper_tail lower_tail cumulative_risk".split()}
+    columns = ", ".join(r(c, 5, x) for c, x in scaled.items()) + ", " + rs("hazard_flag compound_flag", 5)
+    q["scaled_features"] = f"""WITH a AS ({q["window_intra"]}), b AS ({q["window_hazard"]}), e AS (SELECT window_id, sum(extrema_count) AS events FROM a GROUP BY 1)
+      SELECT window_id, channel, {columns} FROM a JOIN b USING (window_id, channel) JOIN e USING (window_id)"""
+    q["scaled_pairs"] = f"""WITH a AS ({q["window_pairs"]}), b AS ({q["sync_extrema"]}) SELECT window_id, a_ch, b_ch, {rs("correlation lag_correlation", 4)}, {r("slope_ratio", 4, "tanh(slope_ratio)")},
+      {r("sync_count", 4, "coalesce(sync_count, 0) / 24")}, {r("mean_event_lag", 4, "coalesce(mean_event_lag, 0) / 24")} FROM a LEFT JOIN b USING (window_id, a_ch, b_ch)"""
     q["label_lookup"] = f"""WITH {EXTREMA} {WINDOWS} {ONE}, l AS (SELECT w.window_id, count(*) AS k FROM win w JOIN extrema e ON e.channel = 'click' AND e.idx BETWEEN w.window_id AND w.window_id + 23 GROUP BY 1)
       SELECT block_id, coalesce(k, -1) AS pattern_id, count(*) AS n FROM one LEFT JOIN l USING (window_id) GROUP BY 1, 2"""
     q["nearest_prototype"] = f"WITH {VECTORS} SELECT id, pattern_id, {rs('distance second_distance', 5)} FROM near"
