@@ -10,12 +10,19 @@
    class with its nearest ones and with the region's hubs, the classes that are nearest to all.
    Regions denser than ``region`` even at the deep level are dealt into blocks, anew in each tree.
    In every dense region all classes are candidates with its most central class too.
-4. Candidates are confirmed on full sets in two rounds: first each class's best candidates and
-   hubs; then, of the others, those that still join two components. None is left out.
+4. Each class's best candidates and hubs are confirmed on full sets.
+5. An exact pass finds what the forest missed. Shingles have one order, common ones last (by their
+   counts in a sample; the order bears on the work, not on the result). Two sets that reach the
+   threshold share a shingle of their first ones in that order, so every class sends those, and
+   pairs that meet there, aren't in one component yet and can reach the threshold by their sizes,
+   the shingle's places and all slots of their signatures (a link fails this with a probability
+   below MISS) are candidates. Very common shingles are dealt into blocks.
+6. All candidates that still join two components are confirmed on full sets. None is left out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,6 +46,10 @@ MARGIN = 0.22
 REGION, FULL, NEAREST, HUBS = 768, 24, 6, 2
 #: Documents whose prefixes go out as one chunk.
 CHUNK = 20_000
+#: Common shingles are counted in one document of SHARE; those found COMMON times there, at most MOST of them, go last.
+#: One in more than BLOCK documents is dealt into blocks of pairs of parts.
+SHARE, COMMON, MOST, BLOCK = 16, 4, 200_000, 1024
+MISS = 1e-12
 
 _rng = np.random.default_rng(20240531)
 XOR = _rng.integers(0, 2**32, SLOTS, dtype=np.uint32)
@@ -219,6 +230,133 @@ def _candidates(threshold: float):
     return run
 
 
+def _shingles(size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(Words(b.column(0), lower=True), size)[0].view(np.int64))], ["key"])
+
+    return run
+
+
+def first_shingles(s: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set of which another set that reaches the threshold has one among its own, rarest first."""
+    n = len(s)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        s = s[np.lexsort((s, np.where(common[at] == s, counts[at], 0)))]
+    return s[: n + (-percent * n) // 100 + 1]
+
+
+def _first(size: int, percent: int, common: np.ndarray, counts: np.ndarray):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 1):
+                sets, at = shingle_sets(Words(b.column(1), lower=True), size)
+                firsts = [first_shingles(sets[x:y], common, counts, percent).tobytes() if y > x else None for x, y in zip(at, at[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(firsts, pa.binary())], ["id", "n", "firsts"])
+
+    return run
+
+
+MEETING = "key long, id long, label long, n long, place long, part long"
+
+
+def _meetings(common: np.ndarray, counts: np.ndarray):
+    """A row for each class and first shingle; for a very common one, a row for each block that the class is in."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, 500) for i in range(0, len(whole), 500)):
+                firsts = [np.frombuffer(x, U) for x in b.column(3).to_pylist()]
+                size = np.array([len(x) for x in firsts])
+                key, row = np.concatenate(firsts), np.repeat(np.arange(len(b)), size)
+                place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+                ids, labels, n = (b.column(i).to_numpy() for i in range(3))
+                parts = np.ones(len(key), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
+                    parts = np.where(common[at] == key, np.maximum(1, -(-counts[at] * SHARE // BLOCK)), 1)
+                part = (mix(ids.astype(np.int64).view(U))[row] % parts.astype(U)).astype(np.int64)
+                which = np.repeat(np.arange(len(key)), parts)
+                other = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+                key, row, place, part, parts = key[which], row[which], place[which], part[which], parts[which]
+                pair = np.minimum(part, other) * parts + np.maximum(part, other)
+                key = np.where(parts > 1, mix(key + (pair + 1).astype(U) * U(0xD6E8FEB86659FD93)), key)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), ids[row], labels[row], n[row], place, part)], [x.split()[0] for x in MEETING.split(", ")])
+
+    return run
+
+
+def _met(percent: int):
+    """Pairs a < b of rows that share a key and lie in two components, and can reach the threshold if the key is their first
+    common one. Of two such sets, the key is among the smaller one's earliest ones, which are fewer; those rows come first.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def out(key: np.ndarray, ids: np.ndarray, labels: np.ndarray, n: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+            end = np.searchsorted(key, key, side="right")
+            left = np.flatnonzero((n - place) * (100 + percent) >= 2 * percent * n)
+            found, held_pairs, d = [], 0, 1
+
+            def sent() -> pa.RecordBatch:
+                once = np.unique(np.concatenate(found), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], ["a", "b"])
+
+            while len(left := left[end[left] > left + d]):
+                i, j = left, left + d
+                ok = (labels[i] != labels[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) * (100 + percent) >= percent * (n[i] + n[j]))
+                i, j, d = i[ok], j[ok], d + 1
+                if len(i):
+                    found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+                    held_pairs += len(i)
+                if held_pairs > 500_000:
+                    yield sent()
+                    found, held_pairs = [], 0
+            if found:
+                yield sent()
+
+        for x in batches:
+            now = tuple(x.column(i).to_numpy() for i in range(5))
+            if held is not None:
+                now = tuple(np.concatenate(y) for y in zip(held, now, strict=True))
+            if not len(now[0]):
+                continue
+            last = int(np.searchsorted(now[0], now[0][-1]))  # rows are sorted: the last key may go on
+            if last:
+                yield from out(*(y[:last] for y in now))
+            held = tuple(y[last:] for y in now)
+        if held is not None and len(held[0]):
+            yield from out(*held)
+
+    return run
+
+
+def least_agreement(percent: int) -> int:
+    """As many slots agree in all sets at the threshold but a share below MISS."""
+    p, total, k = percent / 100, 0.0, 0
+    while k < SLOTS and (total := total + math.comb(SLOTS, k) * p**k * (1 - p) ** (SLOTS - k)) < MISS:
+        k += 1
+    return k
+
+
+def _low_bytes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(np.frombuffer(x, np.uint16) & 0xFF).astype(np.uint8).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["id", "slots"])
+
+
+def _alike(least: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SLOTS) for i in (2, 3))
+            mask = pa.array((one == two).sum(1) >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["a", "b"])
+
+    return run
+
+
 def _confirmed(size: int, percent: int):
     """Pairs whose full sets reach the threshold. Rows come sorted by a; a set in hand is kept."""
 
@@ -268,19 +406,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     spokes = dense.join(hubs.hint("merge"), "region").filter("id <> hub_id").select(F.least("id", "hub_id").alias("a"), F.greatest("id", "hub_id").alias("b"), F.lit(SKETCH).alias("agree"), F.lit(True).alias("hub"))
     regions = members.filter("central is null").select("region", "id", "sketch").repartition(repeats.shuffle_partitions(docs), "region").sortWithinPartitions("region", "id")
     pairs = regions.mapInArrow(_candidates(percent / 100), "a long, b long, agree int, hub boolean")
+    slots = written(own.select("id", "sig").mapInArrow(_low_bytes, "id long, slots binary"))
     forget(docs.sparkSession, [chunks])
     pairs = written(pairs.unionByName(spokes).groupBy("a", "b").agg(F.max("agree").alias("agree"), F.max("hub").alias("hub")))
 
     forget(docs.sparkSession, [members])
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    # hints: texts are never sent about by another plan at one size than at another
-    texts = written(known.join(ends.hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
+    reps = classes.select(F.col("rep").alias("id"))
 
     def confirmed(some: DataFrame) -> DataFrame:
+        ends = some.select(F.col("a").alias("id")).unionByName(some.select(F.col("b").alias("id"))).distinct()
+        # hints: texts are never sent about by another plan at one size than at another
+        texts = written(known.join(ends.hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text")))
         one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
         two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         with_texts = some.select("a", "b").join(two.hint("merge"), "b").join(one.hint("merge"), "a").select("a", "b", "ta", "tb")
-        return written(with_texts.mapInArrow(_confirmed(size, percent), "a long, b long"))
+        links = written(with_texts.mapInArrow(_confirmed(size, percent), "a long, b long"))
+        forget(docs.sparkSession, [texts])
+        return links
 
     ways = pairs.select("a", "b", "agree").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
     best = ways.groupBy("a").agg(F.max_by("b", F.struct("agree", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -291,8 +433,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     copies = copies.filter("a <> b")
     label = components(links)
     la, lb = (label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    rest = pairs.join(first, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
-    rest = rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    some = known.filter(f"pmod(xxhash64(id), {SHARE}) = 0").select("text").mapInArrow(_shingles(size), "key long")
+    often = some.groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(MOST).collect()
+    common, counts = np.array([r["key"] for r in often], np.int64).view(U), np.array([r["count"] for r in often], np.int64)
+    order = np.argsort(common)
+    common, counts = common[order], counts[order]
+    labels = reps.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
+    firsts = known.mapInArrow(_first(size, percent, common, counts), "id long, n long, firsts binary").filter("n > 0")
+    firsts = firsts.join(labels.hint("merge"), "id").select("id", "label", "n", "firsts")
+    meet = firsts.mapInArrow(_meetings(common, counts), MEETING).repartition(n_ranges // 2, "key")
+    early = (F.col("n") - F.col("place")) * (100 + percent) >= 2 * percent * F.col("n")
+    meet = meet.sortWithinPartitions("key", F.when(early, 0).otherwise(1)).select("key", "id", "label", "n", "place")
+    met = meet.mapInArrow(_met(percent), "a long, b long").filter("a <> b").distinct()
+    sa, sb = (slots.select(F.col("id").alias(x), F.col("slots").alias(f"s{x}")) for x in "ab")
+    met = met.join(sa.hint("merge"), "a").join(sb.hint("merge"), "b").select("a", "b", "sa", "sb").mapInArrow(_alike(least_agreement(percent)), "a long, b long")
+    rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
+    rest = rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    rest = written(rest.unionByName(met).distinct().join(first, ["a", "b"], "left_anti"))
     more = confirmed(rest)
     label = components(links.unionByName(more).unionByName(copies))
     out = seen.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("label", "id"))
