@@ -1,12 +1,14 @@
 """License scan: parts of a text compared to licence templates by the Dice coefficient over word bigrams.
 
-Texts and templates are normalised alike. The parts are the whole text, its paragraphs and its lines. A template of
+Texts and templates are normalised alike. The parts are the whole text, its paragraphs, its lines and, for licences that
+none of these shows, windows of its words, so that a template is found inside longer text at any layout. A template of
 b bigrams can reach a Dice coefficient of t with a part of a bigrams only if t / (2 - t) <= a / b <= (2 - t) / t, so
 part sizes prune most templates; shared bigrams are then counted through an index of the templates' bigrams.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -67,15 +69,19 @@ TEMPLATES: dict[str, list[str]] = {
 }
 
 
+def normal_words(text: str) -> list[str]:
+    return [_SPELLING.get(w, w) for w in _NOT_WORD.sub(" ", text.lower()).split()]
+
+
 def bigrams(text: str) -> Counter:
     """Word bigrams of the normalised text with their counts; a single word is paired with nothing."""
-    words = [_SPELLING.get(w, w) for w in _NOT_WORD.sub(" ", text.lower()).split()]
+    words = normal_words(text)
     return Counter(zip(words, words[1:], strict=False)) if len(words) > 1 else Counter((w, "") for w in words)
 
 
 class Scanner:
     def __init__(self, templates: dict[str, list[str]], least: float):
-        self.least, self.templates = least, []
+        self.least, self.templates, self.grams = least, [], []
         self.index: dict[tuple[str, str], list[tuple[int, int]]] = {}
         for name, texts in templates.items():
             for t in texts:
@@ -83,10 +89,22 @@ class Scanner:
                 for g, n in grams.items():
                     self.index.setdefault(g, []).append((len(self.templates), n))
                 self.templates.append((name, sum(grams.values())))
+                self.grams.append(grams)
         ratio = least / (2 - least)
         self.low = min((b for _, b in self.templates), default=1) * ratio
         self.high = max((b for _, b in self.templates), default=0) / ratio
         self.ratio = ratio
+        needed = {w for g in self.grams for w in self.needed(g)}
+        needed |= {old for old, new in _SPELLING.items() if new in needed}
+        self.some = re.compile("|".join(map(re.escape, sorted(needed)))) if needed else re.compile(r"(?!)")
+
+    def needed(self, grams: Counter) -> list[str]:
+        """Words of which a window that reaches the threshold has at least one: without them too many bigrams are gone."""
+        size, left, out = sum(grams.values()), dict(grams), []
+        while left and size - sum(left.values()) <= size * (1 - self.least / (2 - self.least)):
+            out.append(max((w for g in left for w in g), key=lambda w: ("licen" in w, len(w), w)))
+            left = {g: n for g, n in left.items() if out[-1] not in g}
+        return out
 
     def best(self, part: str) -> tuple[str, float] | None:
         """(licence, Dice coefficient) of the nearest template that reaches the threshold; ties: the first by name."""
@@ -104,6 +122,52 @@ class Scanner:
         found = [(-d, name) for d, name in found if d >= self.least]
         return (min(found)[1], -min(found)[0]) if found else None
 
+    def windows(self, text: str) -> list[tuple[float, str, int]]:
+        """(Dice coefficient, licence, first word) of the nearest windows of words that don't overlap.
+
+        A window counts as long as its template at least, unless the whole text is shorter: else the best one would leave out the
+        words that differ at an end. It starts and ends with a bigram of the template.
+        """
+        if not self.some.search(text.lower()):
+            return []
+        words = normal_words(text)
+        grams = list(zip(words, words[1:], strict=False))
+        hits: dict[int, list[int]] = {}
+        for i, g in enumerate(grams):
+            for t, _ in self.index.get(g, ()):
+                hits.setdefault(t, []).append(i)
+        found = []
+        for t, at in hits.items():
+            name, b = self.templates[t]
+            most, few = int(b / self.ratio + 1e-9), self.ratio * b - 1e-9
+            if len(at) < few:
+                continue
+            for k, first in enumerate(at):
+                if len(at) - k < few or at[k + math.ceil(few) - 1] >= first + most:
+                    continue
+                found += self.grown(grams, t, first, min(first + most, len(grams)))
+        out: list[tuple[float, str, int]] = []
+        taken = bytearray(len(grams))
+        for d, name, start, end in sorted(found, key=lambda f: (-f[0], f[1], f[2], f[3])):
+            if not any(taken[start:end]):
+                taken[start:end] = b"\1" * (end - start)
+                out.append((d, name, start))
+        return out
+
+    def grown(self, grams: list[tuple[str, str]], t: int, first: int, stop: int) -> list[tuple[float, str, int, int]]:
+        """The best window of template t whose first hit is at ``first``, if it reaches the threshold."""
+        (name, b), left, shared, best = self.templates[t], dict(self.grams[t]), 0, None
+        for end in range(first + 1, stop + 1):
+            if left.get(grams[end - 1], 0) > 0:
+                left[grams[end - 1]] -= 1
+                shared += 1
+                # words before the first hit stand for the template's missing beginning, those after the last for its end
+                size = max(end - first, min(b, len(grams)))
+                d = 2 * shared / (size + b)
+                if d >= self.least and (best is None or d > best[0]):
+                    best = (d, name, first, end)
+        return [best] if best else []
+
     def scan(self, text: str) -> dict[str, tuple[float, str, int]]:
         """For each licence found its greatest Dice coefficient, the kind of part, and the part's number."""
         out: dict[str, tuple[float, str, int]] = {}
@@ -114,6 +178,10 @@ class Scanner:
         for kind, i, x in parts:
             if (hit := self.best(x)) and hit[1] > out.get(hit[0], (0.0,))[0]:
                 out[hit[0]] = (hit[1], kind, i)
+        known = set(out)
+        for d, name, start in self.windows(text):
+            if name not in known and d > out.get(name, (0.0,))[0]:
+                out[name] = (d, "words", start)
         return out
 
 
@@ -132,7 +200,8 @@ def _scanned(templates: dict[str, list[str]], least: float):
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document and licence found in it: id_col, license, dice, part (line, paragraph or text), part_no.
+    """One row per document and licence found in it: id_col, license, dice, part (line, paragraph, text or words), part_no
+    (of words: the number of the window's first word).
 
     A part that reaches several templates counts for the nearest. Null and empty texts have no licence; repeated rows are
     scanned each; a null id stays null; an empty table gives an empty result. Only id_col and text_col are read.
