@@ -366,7 +366,7 @@ def dynamics_medoids(spark, d):
 
 
 def kmeans_clusters(spark, d):
-    k, _, labels, _ = clustering.select_k(vectors(spark, d), (8, 12, 16), rounds=5)
+    k, _, labels, _ = clustering.select_k(vectors(spark, d), range(8, 33, 4), rounds=50)
     return rounded(labels.withColumn("k", F.lit(k)))
 
 
