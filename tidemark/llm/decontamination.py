@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import slices
+
 #: Normalised characters of items in one block: its automaton takes some 100 bytes for each.
 BLOCK_CHARS = 400_000
 _GAPS = re.compile(r"[\W_]+")
@@ -88,7 +90,7 @@ class Matcher:
             for i, offset in places:
                 key, item, k, masks = self.items[i]
                 start = end - length + 1 - offset
-                if i in best and best[i][0] == 0 or tried.get(i, -1) == start:
+                if i in best and best[i][0] == 0 or tried.get(i) == start:
                     continue
                 tried[i] = start
                 if start >= 0 and text.startswith(item, start):
@@ -108,7 +110,7 @@ HITS = "id long, item_id long, distance long, position long"
 def _matched(items: list[tuple[int, str]], rate: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Matcher(items, rate)
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, 1)):
             out = [(key, *h) for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) if text.is_valid for h in m.hits(normal(text.as_py()))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], ["id", "item_id", "distance", "position"])
 
@@ -125,8 +127,9 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[t
         rows = items.filter(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == part).toLocalIterator()
         block, held = [], 0
         for r in rows:
-            block.append((r["k"], normal(r["t"])))
-            held += len(r["t"])
+            if item := normal(r["t"]):  # of combining marks alone nothing may be left
+                block.append((r["k"], item))
+                held += len(item)
             if held >= BLOCK_CHARS:
                 yield block
                 block, held = [], 0
