@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 U = np.uint64
 SEPARATOR = np.zeros(256, dtype=bool)
@@ -98,7 +99,7 @@ class Words:
 
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Rows of a batch in runs of at most SLICE text bytes (or one row)."""
-    sizes = np.nan_to_num(np.asarray(pa.compute.binary_length(batch.column(text)).cast(pa.float64()).to_numpy(zero_copy_only=False)), nan=0.0)
+    sizes = np.nan_to_num(np.asarray(pyarrow.compute.binary_length(batch.column(text)).cast(pa.float64()).to_numpy(zero_copy_only=False)), nan=0.0)
     total, at = np.cumsum(sizes), 0
     while at < len(sizes):
         end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, side="right")))
