@@ -1,10 +1,13 @@
 """Sharding by a hierarchical weighted hash tree: region, rack, shard.
 
-A key's draw at a shard is an exponential variate -ln(u) / weight with u hashed from key and shard;
-a rack's draw is the smallest of its shards', a region's that of its racks'. So a node is drawn
-with probability proportional to the weight below it. A key descends to the region, rack and
-shard with the smallest draw. Changing a weight changes the draws of one shard alone: keys move
-only between that shard's path and the rest, and a new shard takes keys only into itself.
+A key's draw at a node is an exponential variate -ln(u) / weight, with u hashed from the key and the
+node's path and the weight that of all shards below it, so the smallest draw among sisters falls to each
+in proportion to its weight. A key descends from the root to the region, the rack and the shard
+with the smallest draw; only the children of nodes on its path are drawn.
+
+A changed weight changes the draws of one shard, its rack and its region: keys elsewhere keep their
+place, and those that move go to or from that region, inside it that rack, inside that the shard.
+A shard that is added as a region of its own (see even_tree) takes keys only into itself.
 
 All on Spark's own functions; rows cross the network once, as five narrow columns.
 """
@@ -26,37 +29,56 @@ class Leaf:
     shard: int
     weight: float = 1.0
 
+    @property
+    def path(self) -> tuple[int, int, int]:
+        return self.region, self.rack, self.shard
 
-def even_tree(shards: int, per_rack: int = 4, racks: int = 2) -> list[Leaf]:
-    """Shards 0..n-1 of equal weight, ``per_rack`` in a rack and ``racks`` racks in a region."""
-    return [Leaf(s // (per_rack * racks), s // per_rack, s) for s in range(shards)]
-
-
-def _draw(key: Column, leaf: Leaf) -> Column:
-    # 53 bits of the hash as a number in (0, 1)
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(leaf.shard)), 11)
-    return -F.log((bits.cast("double") + 0.5) / float(2**53)) / F.lit(float(leaf.weight))
 
-
-def shard_of(key: Column, tree: list[Leaf]) -> Column:
-    """The shard to which ``key`` descends. Leaves of weight 0 take nothing."""
+def even_tree(shards: int, base: int = 16, per_rack: int = 4, racks: int = 2) -> list[Leaf]:
+    """Shards 0..n-1 of equal weight: the first ``base`` with ``per_rack`` in a rack and ``racks`` racks in a region, each further
+    one in a region of its own. So from ``base`` shards on, one more takes keys only into itself.
+    """
+    full = [Leaf(s // (per_rack * racks), s // per_rack, s) for s in range(min(shards, base))]
+    regions, first_rack = (full[-1].region + 1, full[-1].rack + 1) if full else (0, 0)
+    return full + [Leaf(regions + s - base, first_rack + s - base, s) for s in range(base, shards)]
+
+
+def _nearest(key: Column, leaves: list[Leaf], path: tuple[int, ...]) -> Column:
+    """The child of the node at ``path`` with the smallest draw."""
+    weights: dict[int, float] = {}
+    for x in leaves:
+        if x.path[: len(path)] == path:
+            node = x.path[len(path)]
+            weights[node] = weights.get(node, 0.0) + x.weight
+    if len(weights) == 1:
+        return F.lit(next(iter(weights))).cast("long")
+    draws = []
+    for node, weight in sorted(weights.items()):
+        # 53 bits of the hash as a number in (0, 1)
+        bits = F.shiftrightunsigned(F.xxhash64(key, *[F.lit(v).cast("long") for v in (*path, node)]), 11)
+        draw = -F.log((bits.cast("double") + 0.5) / float(2**53)) / F.lit(float(weight))
+        draws.append(F.struct(draw.alias("draw"), F.lit(node).cast("long").alias("node")))
+    return F.array_min(F.array(*draws))["node"]
+
+
+def with_shard(df: DataFrame, key: str, tree: list[Leaf], name: str) -> DataFrame:
+    """df with the shard to which column ``key`` descends. Shards of weight 0 take nothing."""
     live = [x for x in tree if x.weight > 0]
     if not live:
         raise ValueError("the tree has no shard of positive weight")
 
-    def smallest(parts: list[Column]) -> Column:
-        return F.array_min(F.array(*parts))
-
-    def descend(leaves: list[Leaf], level: int) -> Column:
-        """A struct of the node's draw and the shard that holds it."""
-        if level == 3:
-            return F.struct(_draw(key, leaves[0]).alias("draw"), F.lit(leaves[0].shard).alias("shard"))
-        under: dict[int, list[Leaf]] = {}
-        for x in leaves:
-            under.setdefault((x.region, x.rack, x.shard)[level], []).append(x)
-        return smallest([descend(v, level + 1) for v in under.values()])
+    def chain(cases: list[tuple[Column, Column]]) -> Column:
+        out = F.when(*cases[0])
+        for c in cases[1:]:
+            out = out.when(*c)
+        return out
 
-    return descend(live, 0)["shard"]
+    k = F.col(key)
+    df = df.withColumn("_region", _nearest(k, live, ()))
+    df = df.withColumn("_rack", chain([(F.col("_region") == r, _nearest(k, live, (r,))) for r in sorted({x.region for x in live})]))
+    racks = sorted({(x.region, x.rack) for x in live})
+    shard = chain([((F.col("_region") == r) & (F.col("_rack") == c), _nearest(k, live, (r, c))) for r, c in racks])
+    return df.withColumn(name, shard.cast("int")).drop("_region", "_rack")
 
 
 def assign(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,13 +90,9 @@ def assign(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, i
     without it. An empty table gives an empty result. Only id_col and text_col are read.
     """
     key, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(
-        key.alias("id"),
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        shard_of(key, tree).cast("int").alias("shard"),
-        (shard_of(key, grown) if grown else F.lit(None)).cast("int").alias("grown_shard"),
-    )
+    rows = docs.select(key.alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = with_shard(rows, "id", tree, "shard")
+    rows = with_shard(rows, "id", grown, "grown_shard") if grown else rows.withColumn("grown_shard", F.lit(None).cast("int"))
     # Ranges of (shard, id) are shards in pieces: no shard need fit one task. The low 33 bits of the
     # increasing id are a row's place in its range; the rest follows from the rows in earlier ranges.
     sort = ["shard", "id", "text_crc32", "size"]
