@@ -13,9 +13,13 @@ _collectors: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a fresh one of our own only where the setting is missing."""
+    """The folder named by spark.checkpoint.dir. Without the setting a local session gets a fresh one of its own; a cluster,
+    whose machines share no temporary folder, an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
