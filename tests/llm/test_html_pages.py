@@ -94,7 +94,7 @@ def densities(page):
         if not c:
             return 0.0
         t1, lc1, lt1 = max(t, 1), max(lc, 1), max(lt, 1)
-        base = math.log(c / max(c - lc, 1) * lc1 + body[2] / max(body[0], 1) * c + math.e)
+        base = math.log(c / max(c - lc, 1) * lc + body[2] / max(body[0], 1) * c + math.e)
         return c / t1 * max(0.0, math.log(max(c / lc1 * t1 / lt1, 1.0)) / math.log(max(base, 1.001)))
 
     return [(x.tag, density(x), sum(density(y) for y in x.children if not isinstance(y, str) and not y.out)) for x in nodes]
