@@ -314,12 +314,66 @@ def test_quality_rules(spark, data, odd):
         assert sorted([(r.doc_id, *tuple(r)[1:6]) for r in got], key=str) == sorted([(i, *base_counts(t)) for i, t in rows], key=str)
         assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) for r in got) and not any(r.kept and r.base_failed for r in got)
     kept = {r.doc_id: r.kept for r in got}
-    right = [kept[r.doc_id] == r.quality for r in labels.collect() if r.quality == 0]
-    assert np.mean(right) > 0.9
+    for quality in (0, 1):
+        right = [kept[r.doc_id] == r.quality for r in labels.collect() if r.quality == quality]
+        assert np.mean(right) > 0.9, quality
+    # the whole verdict, by a decoder that tries every step
+    for r, (_, text) in zip(sorted(got, key=lambda r: r.doc_id), sorted((r.doc_id, r.text) for r in docs.collect()), strict=True):
+        lines, _ = quality_rules.lines_of(text or "")
+        share = sum(n for (n, _), y in zip(lines, plain_viterbi(crf, [b for _, b in lines]), strict=True) if y) / max(sum(n for n, _ in lines), 1)
+        assert r.kept == (not r.base_failed and share >= 0.5) and abs(share - r.content_share) < 1e-12
     assert quality_rules.judge(documents(spark, []), crf).count() == 0
     assert quality_rules.fit(docs, labels.limit(0)).emission[0, 1] == 1.0
 
 
+def plain_viterbi(crf, bits):
+    """Best labels by scores and whole paths, ties to content."""
+    best = None
+    for b in bits:
+        e = np.array([b >> i & 1 for i in range(len(quality_rules.FEATURES))]) @ crf.emission
+        if best is None:
+            best = [(e[0], []), (e[1], [])]
+            paths = [[0], [1]]
+            continue
+        steps = [[best[j][0] + crf.transition[j, k] for j in (0, 1)] for k in (0, 1)]
+        pick = [0 if s[0] > s[1] else 1 for s in steps]
+        paths = [paths[pick[k]] + [k] for k in (0, 1)]
+        best = [(steps[k][pick[k]] + e[k], None) for k in (0, 1)]
+    return [] if best is None else paths[1] if best[1][0] >= best[0][0] else paths[0]
+
+
+def test_likelihood_and_gradient_against_all_label_sequences():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    f = len(quality_rules.FEATURES)
+    for _ in range(10):
+        lengths, theta = rng.integers(1, 6, 5), rng.normal(size=quality_rules.N_ALL)
+        seq = [rng.integers(0, 2**f, n) for n in lengths]
+        y, w = rng.integers(0, 2, 5), rng.random(5)
+
+        def value(theta, seq=seq, y=y, w=w):
+            em, tr, total = theta[: 2 * f].reshape(f, 2), theta[2 * f :].reshape(2, 2), 0.0
+            for s, label, weight in zip(seq, y, w, strict=True):
+                e = np.array([[b >> i & 1 for i in range(f)] for b in s]) @ em
+                score = lambda ls, e=e: sum(e[t, k] for t, k in enumerate(ls)) + sum(tr[a, b] for a, b in zip(ls, ls[1:], strict=False))
+                total += weight * (score([label] * len(s)) - np.log(sum(np.exp(score(ls)) for ls in itertools.product((0, 1), repeat=len(s)))))
+            return total
+
+        starts = np.zeros(lengths.sum(), bool)
+        starts[np.cumsum(lengths) - lengths] = True
+        got = quality_rules.chain_sums(np.concatenate(seq), starts, np.repeat(y, lengths), np.repeat(w, lengths), theta)
+        slope = [(value(theta + h) - value(theta - h)) / 2e-5 for h in np.eye(len(theta)) * 1e-5]
+        assert np.isclose(got[0], value(theta)) and np.allclose(got[1:], slope, atol=1e-5)
+
+
+def test_the_maximum_of_a_concave_function():
+    a = np.diag([1.0, 10.0, 100.0]) + 0.5
+    want = np.array([1.0, -2.0, 3.0])
+    got = quality_rules.maximum(lambda x: (-0.5 * (x - want) @ a @ (x - want), -a @ (x - want)), 3)
+    assert np.allclose(got, want, atol=1e-5)
+
+
 def test_viterbi_finds_the_best_labels():
     rng = np.random.default_rng(1)
     f = len(quality_rules.FEATURES)

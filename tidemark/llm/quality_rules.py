@@ -1,22 +1,25 @@
 """Quality rules: a linear-chain conditional random field labels each line content or boilerplate.
 
 Lines have binary features. Viterbi decoding finds the best label sequence of a text; it stays if
-the share of its words in content lines is large enough. The weights are fitted by gradient ascent
-on the sequences' log likelihood (forward-backward) over a bounded sample of labelled documents,
-each line taking its document's label.
+the share of its words in content lines is large enough. The weights have the greatest penalised log
+likelihood (forward-backward, BFGS) over a bounded sample of labelled documents, whole texts, each line
+taking its document's label. Tasks sum up likelihood and gradient; the driver sees those sums alone.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.scratch import forget, written
 from tidemark.llm.words import Words, slices
 
 FEATURES = ["bias", "short", "long", "marked", "mostly_marked", "upper", "bars", "bangs", "digits", "ends_sentence", "repeats_line", "repeats_word", "starts_lower"]
@@ -89,71 +92,134 @@ class Crf:
         return labels[::-1]
 
 
-def fitted(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.5, ridge: float = 1e-3) -> Crf:
-    """Weights of the greatest penalised likelihood. sequences: (feature bits of each line, the label of all)."""
-    f = len(FEATURES)
-    emission, transition = np.zeros((f, 2)), np.zeros((2, 2))
-    if not sequences:
-        emission[0, 1] = 1.0
-        return Crf(emission, transition)
-    length = max(len(s) for s, _ in sequences)
-    x = np.zeros((len(sequences), length, f))
-    on = np.zeros((len(sequences), length), dtype=bool)
-    y = np.array([label for _, label in sequences])
-    for i, (s, _) in enumerate(sequences):
-        x[i, : len(s)] = s[:, None] >> np.arange(f) & 1
-        on[i, : len(s)] = True
-    weight = np.where(y == 1, 0.5 / max((y == 1).mean(), 1e-9), 0.5 / max((y == 0).mean(), 1e-9)) / np.maximum(on.sum(1), 1)
-    steps = [np.full_like(emission, 1e-8), np.full_like(transition, 1e-8)]
-    true = np.stack([1.0 - y, y], 1)[:, None, :] * on[:, :, None]
+N_EMISSION, N_ALL = 2 * len(FEATURES), 2 * len(FEATURES) + 4
+
+
+def chain_sums(bits: np.ndarray, starts: np.ndarray, label: np.ndarray, weight: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Weighted log likelihood of sequences and its gradient in theta (emission by feature and label, then transition).
+
+    bits: the lines' features, one sequence after another; starts: True at first lines; label, weight: by line. Between
+    sequences the chain forgets, so all are one chain. It is cut into blocks of about the root of its length: the blocks'
+    products carry messages from block to block, and steps within blocks are taken in all of them at once.
+    """
+    n = len(bits)
+    emission, transition = theta[:N_EMISSION].reshape(-1, 2), theta[N_EMISSION:].reshape(2, 2)
+    x = (bits[:, None] >> np.arange(len(FEATURES)) & 1).astype(float)
+    e = x @ emission
+    top, high = e.max(1), transition.max()
+    m = np.exp(transition - high)[None] * np.exp(e - top[:, None])[:, None, :]
+    m[starts] = np.exp(e[starts] - top[starts, None])[:, None, :]
+    size = max(1, math.isqrt(n))
+    blocks = -(-n // size)
+    whole = np.broadcast_to(np.eye(2), (blocks * size, 2, 2)).copy()
+    whole[:n] = m
+    whole = whole.reshape(blocks, size, 2, 2)
+    product = np.broadcast_to(np.eye(2), (blocks, 2, 2)).copy()
+    for t in range(size):
+        product = product @ whole[:, t]
+        product /= product.sum((1, 2), keepdims=True)
+    into, back = np.full((blocks, 2), 0.5), np.full((blocks, 2), 0.5)
+    for b in range(1, blocks):
+        v = into[b - 1] @ product[b - 1]
+        into[b] = v / v.sum()
+        v = product[blocks - b] @ back[blocks - b]
+        back[blocks - b - 1] = v / v.sum()
+    before, after, scale = (np.empty((blocks, size, 2)) for _ in range(3))
+    for t in range(size):
+        before[:, t] = into
+        into = np.einsum("bj,bjk->bk", into, whole[:, t])
+        scale[:, t] = into.sum(1, keepdims=True)
+        into = into / scale[:, t]
+    for t in reversed(range(size)):
+        after[:, t] = back
+        back = np.einsum("bjk,bk->bj", whole[:, t], back)
+        back = back / back.sum(1, keepdims=True)
+    before, after, scale = (a.reshape(-1, 2)[:n] for a in (before, after, scale))
+    joint = before[:, :, None] * m * after[:, None, :]
+    joint /= joint.sum((1, 2), keepdims=True)
+    inner = ~starts
+    log_z = np.log(scale[:, 0]) + top + inner * high
+    true = np.stack([1.0 - label, label], 1)
+    score = (e * true).sum(1) + inner * transition[label.astype(int), label.astype(int)]
+    off = (true - joint.sum(1)) * weight[:, None]
+    steps = true[:, :, None] * true[:, None, :] - joint
+    return np.concatenate([[((score - log_z) * weight).sum()], (x.T @ off).ravel(), (steps * (weight * inner)[:, None, None]).sum(0).ravel()])
+
+
+def maximum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], size: int, rounds: int = 40) -> np.ndarray:
+    """Where a concave f, given with its gradient, is greatest: BFGS with halved steps, from zero."""
+    x, inverse = np.zeros(size), np.eye(size)
+    value, slope = f(x)
     for _ in range(rounds):
-        e = x @ emission
-        forward, backward = np.zeros_like(e), np.zeros_like(e)
-        forward[:, 0] = e[:, 0]
-        for t in range(1, length):
-            step = e[:, t] + np.logaddexp.reduce(forward[:, t - 1, :, None] + transition, axis=1)
-            forward[:, t] = np.where(on[:, t, None], step, forward[:, t - 1])
-        for t in range(length - 2, -1, -1):
-            step = np.logaddexp.reduce(transition + (e[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
-            backward[:, t] = np.where(on[:, t + 1, None], step, 0)
-        z = np.logaddexp.reduce(forward[:, -1], axis=1)
-        p = np.exp(forward + backward - z[:, None, None]) * on[:, :, None]
-        g_e = np.einsum("nlf,nlk,n->fk", x, true - p, weight) / len(y) - ridge * emission
-        g_t = np.zeros((2, 2))
-        for t in range(1, length):
-            joint = np.exp(forward[:, t - 1, :, None] + transition + (e[:, t] + backward[:, t])[:, None, :] - z[:, None, None])
-            live = (on[:, t] * weight)[:, None, None]
-            g_t += ((np.einsum("nj,nk->njk", true[:, t - 1], true[:, t]) - joint) * live).sum(0) / len(y)
-        g_t -= ridge * transition
-        for w, g, s in ((emission, g_e, steps[0]), (transition, g_t, steps[1])):
-            s += g * g
-            w += rate * g / np.sqrt(s)
-    return Crf(emission, transition)
-
-
-#: Bounds on what fit() gathers: documents, lines of each, of those at most so many characters.
-SAMPLE_DOCS, SAMPLE_LINES, SAMPLE_CHARS = 1200, 60, 20_000
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
-    """Fit on a bounded sample: the SAMPLE_DOCS labelled documents, half of each label, that come first by a hash of the id."""
+        if np.abs(slope).max() < 1e-6:
+            break
+        step = inverse @ slope
+        for _ in range(25):
+            new, new_slope = f(x + step)
+            if new >= value + 1e-4 * slope @ step:
+                break
+            step = step / 2
+        else:
+            break
+        fall = slope - new_slope
+        x, value, slope = x + step, new, new_slope
+        if (bend := fall @ step) > 1e-14:
+            left = np.eye(size) - np.outer(step, fall) / bend
+            inverse = left @ inverse @ left.T + np.outer(step, step) / bend
+    return x
+
+
+#: The documents that fit() reads, half of each label at most.
+SAMPLE_DOCS = 1200
+RIDGE = 1e-3
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
+    """Fit on the ``sample_docs`` labelled documents, half of each label, that come first by a hash of the id: whole texts.
+
+    Labels weigh the same, and so do the documents of one. Rows with a sampled id are all used; without labels, every line is content.
+    """
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("id is not null and y in (0, 1)").distinct()
     order = F.xxhash64("id", F.lit("crf"))
-    picked = [known.filter(F.col("y") == k).orderBy(order, "id").limit(SAMPLE_DOCS // 2) for k in (0, 1)]
+    picked = [known.filter(F.col("y") == k).orderBy(order, "id").limit(sample_docs // 2) for k in (0, 1)]
     ids = [(r["id"], r["y"]) for p in picked for r in p.collect()]
+    nothing = Crf(np.array([[0.0, 1.0]] + [[0.0, 0.0]] * (len(FEATURES) - 1)), np.zeros((2, 2)))
     if not ids:
-        return fitted([])
+        return nothing
     some = docs.sparkSession.createDataFrame(ids, "id long, y int")
 
-    def sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bits = [[bits for _, bits in lines_of((t or "")[:SAMPLE_CHARS])[0][:SAMPLE_LINES]] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.list_(pa.int64()))], ["y", "bits"])
+    def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x for whole in batches for x in slices(whole, 1)):
+            bits = [np.array([v for _, v in lines_of(t or "")[0]], np.uint16) for t in b.column(1).to_pylist()]
+            full = np.array([len(x) > 0 for x in bits], bool)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(full)), pa.array([x.tobytes() for x in bits if len(x)], pa.binary())], ["y", "bits"])
 
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(some), "id")
-    rows = src.select("y", "text").mapInArrow(sample, "y int, bits array<long>").collect()
-    rows = sorted((r["y"], tuple(r["bits"])) for r in rows if r["bits"])[: 4 * SAMPLE_DOCS]
-    return fitted([(np.array(b), y) for y, b in rows])
+    rows = written(src.select("y", "text").mapInArrow(features, "y int, bits binary"))
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return nothing
+    by_label = {y: 1 / (len(counts) * n) for y, n in counts.items()}
+
+    def evaluated(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + N_ALL)
+            for b in (x for whole in batches for x in slices(whole, 1)):
+                seq = [np.frombuffer(x, np.uint16) for x in b.column(1).to_pylist()]
+                size, y = np.array([len(x) for x in seq]), b.column(0).to_numpy()
+                starts = np.zeros(size.sum(), bool)
+                starts[np.cumsum(size) - size] = True
+                weight = np.array([by_label[k] for k in y.tolist()]) / size
+                total += chain_sums(np.concatenate(seq).astype(np.int64), starts, np.repeat(y, size), np.repeat(weight, size), theta)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["part", "total"])
+
+        got = sorted((r["part"], r["total"]) for r in rows.mapInArrow(sums, "part long, total array<double>").collect())  # a row a partition
+        total = np.sum([t for _, t in got], axis=0)
+        return total[0] - RIDGE / 2 * theta @ theta, total[1:] - RIDGE * theta
+
+    best = maximum(evaluated, N_ALL)
+    forget(docs.sparkSession, [rows])
+    return Crf(best[:N_EMISSION].reshape(-1, 2), best[N_EMISSION:].reshape(2, 2))
 
 
 OUT = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean"
