@@ -22,3 +22,42 @@ def test_links_in_a_dense_family(spark):
     got = near_dedup.near_duplicates(documents(spark, family(700, 1700)), 80, 1).select("doc_id", "component_id").collect()
     want = {i: i - i % 2 if i < 1400 else i for i in range(3100)}
     assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_pairs_among_documents_of_one_template(spark):
+    """5,000 documents of one template of 600 words with 13 edits each, 6 of them shared by pairs: all 2,500 links, none else."""
+    rng, rows, want = random.Random(7), [], {}
+    template = [f"w{rng.randrange(3000)}" for _ in range(600)]
+    for p in range(2500):
+        places = rng.sample(range(600), 20)
+        for side, own in ((0, places[6:13]), (1, places[13:])):
+            w = list(template)
+            for i in places[:6]:
+                w[i] = f"c{p}x{i}"
+            for i in own:
+                w[i] = f"u{p}x{side}x{i}"
+            rows.append((2 * p + side, " ".join(w)))
+            want[2 * p + side] = 2 * p
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+
+    for p in range(2500):
+        a, b = shingles(rows[2 * p][1]), shingles(rows[2 * p + 1][1])
+        if 100 * len(a & b) < 85 * len(a | b):
+            want[2 * p + 1] = 2 * p + 1
+    got = near_dedup.near_duplicates(documents(spark, rows), 85, 3).select("doc_id", "component_id").collect()
+    found = {r["doc_id"]: r["component_id"] for r in got}
+    assert sum(want[i] != i for i in want) > 2400
+    assert all(found[i] == want[i] for i in want)
+
+
+def test_shared_counts_against_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000))).astype(np.uint64) for _ in range(12)]
+    got = near_dedup.shared(sets[:5], sets[5:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
+    assert near_dedup.shared([sets[0][:0]], [sets[0][:0]]).tolist() == [[0]]

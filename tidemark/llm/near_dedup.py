@@ -16,8 +16,12 @@
    threshold share a shingle of their first ones in that order, so every class sends those, and
    pairs that meet there, aren't in one component yet and can reach the threshold by their sizes,
    the shingle's places and all slots of their signatures (a link fails this with a probability
-   below MISS) are candidates. Very common shingles are dealt into blocks.
-6. All candidates that still join two components are confirmed on full sets. None is left out.
+   below MISS) are candidates.
+6. Classes with common shingles among their first ones consist of little else. Those that share such a
+   shingle make up a family; a family of more than one component is dealt into blocks, and
+   every two blocks are compared on full sets by counts in matrices. Only links that join
+   components leave a task, and no pairs of a family's largest component are compared.
+7. All candidates that still join two components are confirmed on full sets. None is left out.
 """
 
 from __future__ import annotations
@@ -47,9 +51,12 @@ REGION, FULL, NEAREST, HUBS = 768, 24, 6, 2
 #: Documents whose prefixes go out as one chunk.
 CHUNK = 20_000
 #: Common shingles are counted in one document of SHARE; those found COMMON times there, at most MOST of them, go last.
-#: One in more than BLOCK documents is dealt into blocks of pairs of parts.
-SHARE, COMMON, MOST, BLOCK = 16, 4, 200_000, 1024
+SHARE, COMMON, MOST = 16, 4, 200_000
+#: A family's blocks hold about so many classes, and sets of so many shingles; a matrix so many shingles at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 4_000_000, 4096
 MISS = 1e-12
+#: Shingles of the documents whose prefixes and rare shingles make up one range of keys.
+RANGE = 2_000_000
 
 _rng = np.random.default_rng(20240531)
 XOR = _rng.integers(0, 2**32, SLOTS, dtype=np.uint32)
@@ -253,41 +260,137 @@ def _first(size: int, percent: int, common: np.ndarray, counts: np.ndarray):
         for whole in batches:
             for b in slices(whole, 1):
                 sets, at = shingle_sets(Words(b.column(1), lower=True), size)
-                firsts = [first_shingles(sets[x:y], common, counts, percent).tobytes() if y > x else None for x, y in zip(at, at[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(firsts, pa.binary())], ["id", "n", "firsts"])
+                rare: list[bytes | None] = []
+                often: list[list[int] | None] = []
+                for x, y in zip(at, at[1:], strict=False):
+                    f = first_shingles(sets[x:y], common, counts, percent) if y > x else sets[:0]
+                    is_common = repeats.member(common, f)
+                    rare.append(f[~is_common].tobytes())
+                    often.append(f[is_common].view(np.int64).tolist() if is_common.any() else None)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(rare, pa.binary()), pa.array(often, pa.list_(pa.int64()))], ["id", "n", "firsts", "often"])
 
     return run
 
 
-MEETING = "key long, id long, label long, n long, place long, part long"
+MEETING = "key long, id long, label long, n long, place long"
 
 
-def _meetings(common: np.ndarray, counts: np.ndarray):
-    """A row for each class and first shingle; for a very common one, a row for each block that the class is in."""
+def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each class and shingle of its first ones that isn't common."""
+    for whole in batches:
+        for b in (whole.slice(i, 500) for i in range(0, len(whole), 500)):
+            firsts = [np.frombuffer(x, U) for x in b.column(3).to_pylist()]
+            size = np.array([len(x) for x in firsts])
+            key, row = np.concatenate(firsts), np.repeat(np.arange(len(b)), size)
+            place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+            ids, labels, n = (b.column(i).to_numpy() for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), ids[row], labels[row], n[row], place)], [x.split()[0] for x in MEETING.split(", ")])
 
+
+def _sets(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in (whole.slice(i, 500) for i in range(0, len(whole), 500)):
-                firsts = [np.frombuffer(x, U) for x in b.column(3).to_pylist()]
-                size = np.array([len(x) for x in firsts])
-                key, row = np.concatenate(firsts), np.repeat(np.arange(len(b)), size)
-                place = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
-                ids, labels, n = (b.column(i).to_numpy() for i in range(3))
-                parts = np.ones(len(key), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, key), len(common) - 1)
-                    parts = np.where(common[at] == key, np.maximum(1, -(-counts[at] * SHARE // BLOCK)), 1)
-                part = (mix(ids.astype(np.int64).view(U))[row] % parts.astype(U)).astype(np.int64)
-                which = np.repeat(np.arange(len(key)), parts)
-                other = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
-                key, row, place, part, parts = key[which], row[which], place[which], part[which], parts[which]
-                pair = np.minimum(part, other) * parts + np.maximum(part, other)
-                key = np.where(parts > 1, mix(key + (pair + 1).astype(U) * U(0xD6E8FEB86659FD93)), key)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), ids[row], labels[row], n[row], place, part)], [x.split()[0] for x in MEETING.split(", ")])
+            for b in slices(whole, 1):
+                sets, at = shingle_sets(Words(b.column(1), lower=True), size)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sets[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())], ["id", "shingles"])
 
     return run
 
 
+def shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of one shares with each of two."""
+    out = np.zeros((len(one), len(two)), np.float32)
+    every = np.concatenate(one + two)
+    if not len(every):
+        return out
+    row = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in one + two])
+    _, column, count = np.unique(every, return_inverse=True, return_counts=True)
+    # a shingle of one set alone is shared with none
+    place = np.cumsum(count > 1) - 1
+    row, column = row[(keep := count[column] > 1)], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(place[-1]) + 1, COLUMNS):
+        a, z = np.searchsorted(column, [first, first + COLUMNS])
+        m = np.zeros((len(one) + len(two), COLUMNS), np.float32)
+        m[row[a:z], column[a:z] - first] = 1
+        out += m[: len(one)] @ m[len(one) :].T
+    return out
+
+
+def _family_links(percent: int):
+    """Links between components in each group of two blocks (or within one); rows come sorted by group. Of the links of a group,
+    only those that join what earlier ones haven't joined.
+    """
+
+    def links(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
+        one, two = (sides[0] or sides[1], sides[1] or sides[0])
+        both = shared([r[3] for r in one], [r[3] for r in two]).astype(np.int64)
+        n, m = (np.array([len(r[3]) for r in x]) for x in (one, two))
+        label, other = (np.array([r[2] for r in x]) for x in (one, two))
+        found = np.argwhere((100 * both >= percent * (n[:, None] + m[None] - both)) & (both > 0) & (label[:, None] != other[None]))
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        out = []
+        for i, j in found.tolist():
+            x, y = top(one[i][2]), top(two[j][2])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((min(one[i][1], two[j][1]), max(one[i][1], two[j][1])))
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for b in batches:
+            for g, side, key, label, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                if g != group:
+                    if held and (out := links(held)):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+                    group, held = g, []
+                held.append((side, key, label, np.frombuffer(raw, U)))
+        if held and (out := links(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+
+    return run
+
+
+def family_links(firsts: DataFrame, known: DataFrame, size: int, percent: int, partitions: int) -> DataFrame | None:
+    """Links (a, b) between components among classes that share a common first shingle. firsts: id, label, n, often."""
+    dense = firsts.filter("often is not null").select("id", "label", "n", F.xxhash64("id", F.lit("class")).alias("node"), "often")
+    if dense.isEmpty():
+        return None
+    # chance meetings of these hashes would only make families larger
+    family = components(dense.select(F.col("node").alias("a"), F.explode("often").alias("k")).select("a", F.xxhash64("k", F.lit("key")).alias("b")))
+    dense = dense.drop("often").join(family.withColumnRenamed("label", "family"), "node").select("id", "label", "n", "family")
+    by_label = dense.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    top = by_label.groupBy("family").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most"), F.max_by(F.struct("c", "s"), F.struct("c", "label")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    n_blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1))
+    top = top.filter("labels > 1").select("family", "most", n_blocks(F.col("m.c"), F.col("m.s")).alias("wide"), n_blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("narrow"))
+    rows = written(dense.join(top.hint("merge"), "family"))
+    if rows.isEmpty():
+        return None
+    in_most = F.col("label") == F.col("most")
+    block = F.pmod(F.xxhash64("id", F.lit("block")), F.when(in_most, F.col("wide")).otherwise(F.col("narrow")))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("narrow") - 1), lambda o: F.struct(F.when(in_most, o).otherwise(F.least(o, F.col("block"))).alias("x"), F.when(in_most, -F.col("block") - 1).otherwise(F.greatest(o, F.col("block"))).alias("y"), F.when(in_most, 1).when(o < F.col("block"), 1).otherwise(0).alias("side")))
+    with_most = F.transform(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1), lambda m: F.struct(F.col("block").alias("x"), (-m - 1).alias("y"), F.lit(0).alias("side")))
+    groups = rows.withColumn("block", block).select("family", "id", "label", F.explode(F.when(in_most, others).otherwise(F.concat(others, with_most))).alias("g"))
+    groups = groups.select(F.xxhash64("family", "g.x", "g.y").alias("group"), F.col("g.side").alias("side"), "id", "label")
+    texts = known.join(rows.select("id").hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    sets = written(texts.mapInArrow(_sets(size), "id long, shingles binary"))
+    groups = groups.join(sets.hint("merge"), "id").select("group", "side", "id", "label", "shingles")
+    groups = groups.repartition(partitions, "group").sortWithinPartitions("group")
+    links = written(groups.mapInArrow(_family_links(percent), "a long, b long"))
+    forget(firsts.sparkSession, [rows, sets])
+    return links
+
+
 def _met(percent: int):
     """Pairs a < b of rows that share a key and lie in two components, and can reach the threshold if the key is their first
     common one. Of two such sets, the key is among the smaller one's earliest ones, which are fewer; those rows come first.
@@ -396,7 +499,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     full = seen.filter("id is not null and n_shingles > 0")
     classes = full.groupBy("low", "high", "n_shingles").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"))
     classes = classes.groupBy("rep").agg(F.min("sig").alias("sig"))
-    n_ranges = repeats.shuffle_partitions(docs) * 4
+    n_shingles = int(full.agg(F.sum("n_shingles")).first()[0] or 0)
+    n_ranges = max(repeats.shuffle_partitions(docs) * 4, n_shingles // RANGE)
     chunks = written(classes.select("rep", "sig").mapInArrow(_class_chunks(n_ranges), "chunk long, part long, keys binary, counts binary, id long, sig binary"))
     replies = repeats.repeated(chunks.filter("part is not null").select("chunk", "part", "keys", "counts"))
     own = chunks.filter("part is null").select("chunk", "id", "sig")
@@ -439,9 +543,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     order = np.argsort(common)
     common, counts = common[order], counts[order]
     labels = reps.join(label.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-    firsts = known.mapInArrow(_first(size, percent, common, counts), "id long, n long, firsts binary").filter("n > 0")
-    firsts = firsts.join(labels.hint("merge"), "id").select("id", "label", "n", "firsts")
-    meet = firsts.mapInArrow(_meetings(common, counts), MEETING).repartition(n_ranges // 2, "key")
+    firsts = known.mapInArrow(_first(size, percent, common, counts), "id long, n long, firsts binary, often array<long>").filter("n > 0")
+    firsts = written(firsts.join(labels.hint("merge"), "id").select("id", "label", "n", "firsts", "often"))
+    family = family_links(firsts, known, size, percent, n_ranges)
+    meet = firsts.select("id", "label", "n", "firsts").mapInArrow(_meetings, MEETING).repartition(n_ranges // 2, "key")
     early = (F.col("n") - F.col("place")) * (100 + percent) >= 2 * percent * F.col("n")
     meet = meet.sortWithinPartitions("key", F.when(early, 0).otherwise(1)).select("key", "id", "label", "n", "place")
     met = meet.mapInArrow(_met(percent), "a long, b long").filter("a <> b").distinct()
@@ -450,7 +555,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
     rest = rest.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
     rest = written(rest.unionByName(met).distinct().join(first, ["a", "b"], "left_anti"))
-    more = confirmed(rest)
-    label = components(links.unionByName(more).unionByName(copies))
+    links = links.unionByName(confirmed(rest))
+    links = links.unionByName(family) if family is not None else links
+    forget(docs.sparkSession, [firsts])
+    label = components(links.unionByName(copies))
     out = seen.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("label", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
