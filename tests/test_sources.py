@@ -72,7 +72,7 @@ def test_prepare_discover_samples(spark, data):
     from tidemark.plans import catalog, pipeline
 
     g = signal.hourly_grid(spark.read.parquet(f"{data}/events.parquet")).filter("idx < 120")
-    p = pipeline.prepare(g, list(catalog.CHANNELS), compound=("purchase", "view"))
+    p = pipeline.prepare(g, list(catalog.channels(catalog.grid(spark, data))), compound=("purchase", "view"))
     n = p.vectors.count()
     assert n == 97 and len(p.vectors.first().v) == 26 * 5 + 3 * 10
     labels, protos = pipeline.discover(p, least=3, sample_size=97)

@@ -1,7 +1,8 @@
 """Pattern discovery on vectors: nearest prototypes, Lloyd steps, quality, medoids, leaders.
 
 A table of prototypes has a stated size (k vectors) and is sent to the tasks; points never leave their partitions but as
-sums per cluster. Steps that need all points in order (leaders) or all pairs (medoids) work on a stated sample.
+sums per cluster. Leaders are found in each partition and merged by weight; medoids and silhouettes follow from clusters'
+means and variances, as distances between points are squared differences of vectors. Only thresholds come from a sample.
 """
 
 from __future__ import annotations
@@ -81,21 +82,22 @@ def select_k(points: DataFrame, candidates: Sequence[int], rounds: int = 10, see
     """(k, quality by k, labels, prototypes) of the best candidate; the smaller k on a tie. Points are read once into memory and disk."""
     from pyspark import StorageLevel
 
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = points.persist(StorageLevel.MEMORY_AND_DISK)
     best, scores = None, {}
     for k in candidates:
-        labels, table = kmeans(points, k, rounds, seed, id_col, vector)
+        labels, table = kmeans(kept, k, rounds, seed, id_col, vector)
         scores[k] = float(quality(labels).first()["quality"] or 0.0)
         if best is None or scores[k] > scores[best[0]]:
-            best = (k, labels, table)
-    return best[0], scores, best[1], best[2]
+            best = (k, table)
+    kept.unpersist()
+    return best[0], scores, nearest(points, best[1], id_col, vector), best[1]
 
 
 def sample(points: DataFrame, n: int, seed: int = 42, id_col: str = "id", vector: str = "v") -> tuple[list, np.ndarray]:
     """(ids, matrix) of the n points that come first by a hash of id and seed, in the order of ids. n bounds what the driver holds."""
     rows = points.select(id_col, vector).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n).collect()
     rows.sort(key=lambda r: r[0])
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1)
+    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=float).reshape(len(rows), -1 if rows else 0)
 
 
 def pairwise(x: np.ndarray) -> np.ndarray:
@@ -137,68 +139,188 @@ def silhouette(distances: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0).mean())
 
 
-def leaders(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(labels, means) of rows taken in order: a row joins the nearest mean within the threshold and moves it, or founds a cluster."""
-    means, counts, labels = np.empty((0, x.shape[1])), [], np.empty(len(x), dtype=int)
+def cluster_sums(points: DataFrame, table: DataFrame, id_col: str = "id", vector: str = "v") -> dict[int, tuple[int, np.ndarray, float]]:
+    """By pattern of ``table``, of which k rows reach the driver: (count, mean, mean squared distance to it) of its points."""
+    labels = nearest(points, table, id_col, vector).select(id_col, "pattern_id")
+    x = F.col("x").cast("double")
+    each = points.join(labels, id_col).select("pattern_id", F.posexplode(vector).alias("pos", "x")).groupBy("pattern_id", "pos")
+    rows = each.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v")).collect()
+    out: dict[int, tuple[int, np.ndarray, float]] = {}
+    for k in {r["pattern_id"] for r in rows}:
+        own = sorted((r for r in rows if r["pattern_id"] == k), key=lambda r: r["pos"])
+        out[k] = (own[0]["n"], np.array([r["m"] for r in own]), float(sum(r["v"] for r in own)))
+    return out
+
+
+def as_table(points: DataFrame, rows: list[tuple[int, Sequence[float]]], vector: str = "v") -> DataFrame:
+    return points.sparkSession.createDataFrame([(int(k), [float(x) for x in v]) for k, v in rows], f"pattern_id int, {vector} array<double>")
+
+
+def medoids(points: DataFrame, k: int, rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> DataFrame:
+    """Medoids (pattern_id, v) of all points under squared distance: the member with the least sum of distances is the one next to
+    its cluster's mean. Ties go to the smallest id; an empty cluster keeps its medoid. Starts from k points drawn by a hash.
+    """
+    start = points.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).select(vector).limit(k).collect()
+    now = [(i, [float(x) for x in r[0]]) for i, r in enumerate(start)]
+    for _ in range(rounds):
+        table = as_table(points, now, vector)
+        means = as_table(points, [(j, m) for j, (_, m, _) in cluster_sums(points, table, id_col, vector).items()], vector).withColumnRenamed(vector, "_m")
+        own = points.join(nearest(points, table, id_col, vector).select(id_col, "pattern_id"), id_col).join(F.broadcast(means), "pattern_id")
+        d = F.round(squared_distance(F.col(vector), F.col("_m")), 9)
+        best = {r["pattern_id"]: r["v"] for r in own.groupBy("pattern_id").agg(F.min_by(vector, F.struct(d.alias("d"), F.col(id_col).alias("i"))).alias("v")).collect()}
+        new = [(i, [float(x) for x in best.get(i, v)]) for i, v in now]
+        if new == now:
+            break
+        now = new
+    return as_table(points, now, vector)
+
+
+def silhouette_of(points: DataFrame, table: DataFrame, id_col: str = "id", vector: str = "v") -> float:
+    """Silhouette times balance of all points, labelled by the nearest of ``table``, under squared distance.
+
+    A point's mean distance to a cluster is that to its mean plus the cluster's variance; its own cluster counts it too.
+    """
+    sums = cluster_sums(points, table, id_col, vector)
+    if len(sums) < 2:
+        return 0.0
+    order = sorted(sums)
+    clusters = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(sums[j][2]).alias("w"), F.array(*[F.lit(float(x)) for x in sums[j][1]]).alias("m")) for j in order])
+    labelled = points.join(nearest(points, table, id_col, vector).select(id_col, "pattern_id"), id_col)
+    d = F.transform(clusters, lambda c: F.struct(c["j"].alias("j"), (squared_distance(F.col(vector), c["m"]) + c["w"]).alias("d")))
+    far = labelled.withColumn("_d", d)
+    a = F.filter("_d", lambda x: x["j"] == F.col("pattern_id"))[0]["d"]
+    b = F.array_min(F.transform(F.filter("_d", lambda x: x["j"] != F.col("pattern_id")), lambda x: x["d"]))
+    score = far.select(((b - a) / F.greatest(a, b, F.lit(1e-9))).alias("s")).agg(F.avg("s")).first()[0]
+    sizes = [sums[j][0] for j in order]
+    return float(score) * min(sizes) / sum(sizes) * len(table.collect())  # k rows
+
+
+def select_medoids(points: DataFrame, candidates: Sequence[int] = range(8, 33, 4), rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> tuple[DataFrame, dict[int, float]]:
+    """(medoids, score by k) of the best candidate; the first on a tie."""
+    from pyspark import StorageLevel
+
+    kept = points.select(id_col, vector).persist(StorageLevel.MEMORY_AND_DISK)
+    n = kept.count()
+    best, scores = None, {}
+    for k in dict.fromkeys(min(k, n) for k in candidates if n):
+        table = medoids(kept, k, rounds, seed, id_col, vector)
+        scores[k] = silhouette_of(kept, table, id_col, vector)
+        if best is None or scores[k] > scores[best[0]]:
+            best = (k, table)
+    kept.unpersist()
+    return (best[1] if best else as_table(points, [], vector)), scores
+
+
+def leaders(x: np.ndarray, threshold: float, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels, means, weights) of rows taken in order: a row joins the nearest mean within the threshold and moves it, or founds a cluster."""
+    means, counts, labels, n = np.empty((16, x.shape[1])), np.empty(16), np.empty(len(x), dtype=int), 0
     for i, row in enumerate(x):
-        if len(means):
-            d = np.linalg.norm(means - row, axis=1)
+        w = 1.0 if weights is None else weights[i]
+        if n:
+            off = means[:n] - row
+            d = np.einsum("ij,ij->i", off, off)
             k = int(d.argmin())
-            if d[k] <= threshold:
-                counts[k] += 1
-                means[k] += (row - means[k]) / counts[k]
+            if d[k] <= threshold * threshold:
+                counts[k] += w
+                means[k] += (row - means[k]) * (w / counts[k])
                 labels[i] = k
                 continue
-        means = np.vstack([means, row])
-        counts.append(1)
-        labels[i] = len(counts) - 1
-    return labels, means
+        if n == len(means):
+            means, counts = np.concatenate([means, np.empty_like(means)]), np.concatenate([counts, np.empty_like(counts)])
+        means[n], counts[n], labels[i] = row, w, n
+        n += 1
+    return labels, means[:n].copy(), counts[:n].copy()
+
+
+def all_leaders(points: DataFrame, threshold: float, most: int = 2048, vector: str = "v", id_col: str = "id") -> list[tuple[float, np.ndarray]]:
+    """Leaders (weight, mean) of all points, at most ``most``: rows of a partition, in the order of ids, become leaders, which are
+    merged as weighted rows, sixteen partitions into one at a time. Where more are left, they are merged again at twice the
+    threshold or twice the median distance between neighbours in a sample of them, whichever is more.
+    """
+
+    def found(frames):
+        import pandas as pd
+
+        rows = pd.concat(list(frames) or [pd.DataFrame({"w": [], "v": []})])
+        if len(rows):
+            _, means, weights = leaders(np.stack(rows["v"].to_numpy()).astype(float), threshold, rows["w"].to_numpy(float))
+            yield pd.DataFrame({"w": weights, "v": list(means)})
+
+    schema = "w double, v array<double>"
+    parts = points.select(id_col, F.col(vector).cast("array<double>").alias("v")).sortWithinPartitions(id_col)
+    out, n = parts.select(F.lit(1.0).alias("w"), "v").mapInPandas(found, schema), parts.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // 16)
+        out = out.repartition(n, F.xxhash64("v")).sortWithinPartitions(F.desc("w"), "v").mapInPandas(found, schema)
+    while True:
+        kept = out.persist()
+        if (count := kept.count()) <= most:
+            rows = [(r["w"], np.array(r["v"])) for r in kept.orderBy(F.desc("w"), "v").collect()]
+            kept.unpersist()
+            return rows
+        some = kept.select("v").orderBy(F.xxhash64("v")).limit(2048).collect()
+        d = pairwise(np.array([r["v"] for r in some]))
+        np.fill_diagonal(d, np.inf)
+        threshold = 2 * max(threshold, float(np.median(d.min(1))), 1e-9 * count)
+        out = kept.repartition(-(-count // 100_000), F.xxhash64("v")).sortWithinPartitions(F.desc("w"), "v").mapInPandas(found, schema)
 
 
 def leader_clusters(points: DataFrame, shares: Sequence[float] = (0.1, 0.15, 0.2, 0.25, 0.3), least: int = 24, lower: int = 12, upper: int = 96, sample_size: int = 2048, seed: int = 42, id_col: str = "id", vector: str = "v") -> tuple[DataFrame, dict[float, float]]:
-    """(prototypes, score by threshold): leader clustering of a sample at several thresholds, the best kept.
+    """(prototypes, score by threshold): leader clustering of all points at several thresholds, the best kept.
 
-    Thresholds are quantiles of nearest-neighbour distances. Small clusters are dealt out to the nearest large ones, the smallest are
-    merged down to ``upper``; the score is separation over mean distance, times balance and a penalty for counts outside lower..upper.
-    All points then get their label by nearest().
+    Thresholds are quantiles of nearest-neighbour distances in a sample of ``sample_size``. Small clusters are dealt out to the
+    nearest large ones, the smallest are merged down to ``upper``; the score is separation over mean distance, times balance and a
+    penalty for counts outside lower..upper. All points get their label by nearest().
     """
-    _, x = sample(points, sample_size, seed, id_col, vector)
+    from pyspark import StorageLevel
+
+    kept = points.select(id_col, F.col(vector).cast("array<double>").alias(vector)).persist(StorageLevel.MEMORY_AND_DISK)
+    _, x = sample(kept, sample_size, seed, id_col, vector)
+    if not len(x):
+        kept.unpersist()
+        return as_table(points, [], vector), {}
     d = pairwise(x)
     np.fill_diagonal(d, np.inf)
     near = d.min(1) if len(x) > 1 else np.zeros(1)
     best, scores = None, {}
     for t in sorted({float(np.quantile(near, q)) for q in shares}):
-        labels, _ = leaders(x, t)
-        labels = merged_small(x, labels, least, upper)
-        kinds = np.unique(labels)
-        means = np.stack([x[labels == k].mean(0) for k in kinds])
+        found = all_leaders(kept, t, vector=vector, id_col=id_col)
+        weights, means = merged_small(np.array([w for w, _ in found]), np.stack([m for _, m in found]), least, upper)
+        table = as_table(points, list(enumerate(means)), vector)
+        labels = nearest(kept, table, id_col, vector)
+        by = labels.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("d")).collect()  # k rows
+        size = np.array([r["n"] for r in by])
         score = -np.inf
-        if len(kinds) > 1:
-            gap = pairwise(means)
+        if len(by) > 1:
+            gap = pairwise(means[[r["pattern_id"] for r in by]])
             np.fill_diagonal(gap, np.inf)
-            size = np.array([(labels == k).sum() for k in kinds])
-            off = np.linalg.norm(x - means[np.searchsorted(kinds, labels)], axis=1).mean()
-            penalty = min(1.0, len(kinds) / lower) * min(1.0, upper / len(kinds))
-            score = gap.min(1).mean() / max(off, 1e-6) * (0.5 + 0.5 * size.min() / size.mean()) * penalty
+            penalty = min(1.0, len(by) / lower) * min(1.0, upper / len(by))
+            score = gap.min(1).mean() / max(sum(r["d"] for r in by) / size.sum(), 1e-6) * (0.5 + 0.5 * size.min() / size.mean()) * penalty
         scores[t] = float(score)
         if best is None or score > best[0]:
-            best = (score, means)
-    table = points.sparkSession.createDataFrame([(i, m.tolist()) for i, m in enumerate(best[1])], f"pattern_id int, {vector} array<double>")
-    return table, scores
-
-
-def merged_small(x: np.ndarray, labels: np.ndarray, least: int, upper: int) -> np.ndarray:
-    labels = labels.copy()
-    kinds, size = np.unique(labels, return_counts=True)
-    large = kinds[size >= least]
-    if len(large):
-        means = np.stack([x[labels == k].mean(0) for k in large])
-        small = ~np.isin(labels, large)
-        labels[small] = large[((x[small][:, None, :] - means[None]) ** 2).sum(2).argmin(1)]
-    while len(kinds := np.unique(labels)) > upper:
-        means = np.stack([x[labels == k].mean(0) for k in kinds])
-        i = int(np.array([(labels == k).sum() for k in kinds]).argmin())
+            best = (score, table)
+    kept.unpersist()
+    return best[1], scores
+
+
+def merged_small(weights: np.ndarray, means: np.ndarray, least: int, upper: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, means) after clusters lighter than ``least`` have joined the nearest heavier ones, if any, and the lightest their nearest
+    until ``upper`` are left.
+    """
+    large = weights >= least
+    if large.any() and not large.all():
+        to = ((means[~large][:, None] - means[large][None]) ** 2).sum(2).argmin(1)
+        w, total = weights[large].copy(), means[large] * weights[large][:, None]
+        np.add.at(w, to, weights[~large])
+        np.add.at(total, to, means[~large] * weights[~large][:, None])
+        weights, means = w, total / w[:, None]
+    while len(weights) > upper:
+        i = int(weights.argmin())
         gap = np.linalg.norm(means - means[i], axis=1)
         gap[i] = np.inf
-        labels[labels == kinds[i]] = kinds[int(gap.argmin())]
-    return labels
+        j = int(gap.argmin())
+        means, weights = means.copy(), weights.copy()
+        means[j] = (means[j] * weights[j] + means[i] * weights[i]) / (weights[j] + weights[i])
+        weights[j] += weights[i]
+        means, weights = np.delete(means, i, 0), np.delete(weights, i)
+    return weights, means

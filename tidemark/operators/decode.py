@@ -57,13 +57,57 @@ def decoded_value(order: str = "step", keys: Sequence[str] = ("sample_id", "chan
     return F.when(flat, F.when(near0(cur), raw).otherwise(cur)).otherwise(bounded)
 
 
+def time_placeholders(v: Column, channels: Sequence[str]) -> Column:
+    """A vector's time block as a struct: whole numbers rounded half to even, lengths at least 1, counts at least 0."""
+    at = lambda i: F.element_at(v, i + 1).cast("double")
+    whole = lambda i, low: F.greatest(F.bround(at(i)).cast("long"), F.lit(low).cast("long"))
+    names = ("mean_inter_event_gap_steps", "var_inter_event_gap_steps", "mean_peak_width_steps", "max_peak_width_steps")
+    over = F.map_from_arrays(F.array(*[F.lit(c) for c in channels]), F.array(*[at(8 + i) for i in range(len(channels))]))
+    return F.struct(
+        at(0).alias("time_step_hours"),
+        whole(1, 1).alias("window_length_steps"),
+        whole(2, 1).alias("forecast_horizon_steps"),
+        *[at(3 + i).alias(n) for i, n in enumerate(names)],
+        over.alias("duration_over_threshold_by_channel"),
+        F.array_repeat(F.lit(0.0), whole(7, 0).cast("int")).alias("normalized_event_positions"),
+    )
+
+
+def split_vector(v: Column, channels: int, intra: int = 13, inter: int = 5, hazard: int = 13) -> Column:
+    """The blocks of a window's vector as arrays: intra and hazard by feature and channel, inter by feature and pair, and the time block.
+    A vector of another size is an error.
+    """
+    pairs = channels * (channels - 1) // 2
+    sizes = {"intra": intra * channels, "inter": inter * pairs, "hazard": hazard * channels, "time": 8 + channels}
+    v = F.when(F.size(v) == sum(sizes.values()), v).otherwise(F.raise_error(F.concat(F.lit("vector size "), F.size(v).cast("string"))).cast("array<double>"))
+    parts, at = [], 1
+    for name, size in sizes.items():
+        parts.append(F.slice(v, at, size).alias(name))
+        at += size
+    return F.struct(*parts)
+
+
+def hazards(block: Column, channels: Sequence[str], names: Sequence[str]) -> Column:
+    """An array of (channel, feature, value) of a hazard block, by feature and channel."""
+    rows = [F.struct(F.lit(c).alias("channel"), F.lit(n).alias("feature"), F.element_at(block, i * len(channels) + j + 1).alias("value")) for i, n in enumerate(names) for j, c in enumerate(channels)]
+    return F.array(*rows)
+
+
+def decoded_hazards(steps: DataFrame, grid: DataFrame, channels: Sequence[str], names: Sequence[str], block: str = "hazard") -> DataFrame:
+    """channel, feature, t, value on the grid (t) from forecast steps (t and a hazard block): on the lines between steps, ends held."""
+    each = steps.select(F.col("t").cast("double").alias("t"), F.explode(hazards(F.col(block), channels, names)).alias("h")).select("t", "h.channel", "h.feature", "h.value")
+    keys = each.select("channel", "feature").distinct()
+    asked = grid.select(F.col("t").cast("double").alias("t")).join(F.broadcast(keys))
+    return interpolated(each, asked, "t", "value", ("channel", "feature"))
+
+
 def interpolated(points: DataFrame, grid: DataFrame, at: str = "t", value: str = "v", keys: Sequence[str] = ()) -> DataFrame:
     """grid with value: on the line between the points about it, and that of the nearest point beyond them."""
     both = points.select(*keys, at, F.col(value).alias("_v")).unionByName(grid.select(*keys, at).withColumn("_v", F.lit(None).cast("double")).withColumn("_g", F.lit(1)), allowMissingColumns=True)
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(at)
-    back, ahead = w.rangeBetween(Window.unboundedPreceding, Window.currentRow), w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    back, ahead = (w.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.asc(at), F.desc(at)))
     known = F.when(F.col("_v").isNotNull(), F.col(at))
-    t0, t1, v0, v1 = F.max(known).over(back), F.min(known).over(ahead), F.last("_v", True).over(back), F.first("_v", True).over(ahead)
+    t0, t1, v0, v1 = F.max(known).over(back), F.min(known).over(ahead), F.last("_v", True).over(back), F.last("_v", True).over(ahead)
     line = v0 + (v1 - v0) * F.try_divide(F.col(at) - t0, t1 - t0)
     out = both.withColumn(value, F.coalesce(F.when(t0 == t1, v0), line, v0, v1))
     return out.filter("_g = 1").select(*keys, at, value)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.signal import KEYS, ordered
+from tidemark.operators.signal import KEYS, backwards, ordered
 
 
 def turning(x, keys: Sequence[str]):
@@ -35,11 +35,11 @@ def with_peaks(sig: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """sig with peak_sign, left_idx, right_idx, left_base, right_base, null but at peaks.
 
     A peak's feet are where walking outwards would stop: at the first step against the slope, at a null, or at the
-    end. A running maximum of the places where a walk to the left stops, and a running minimum of those to the right,
-    gives both without a loop.
+    end. A running maximum of the places where a walk to the left stops, and from the series' end a running minimum of those
+    to the right, gives both without a loop.
     """
     w, s = ordered(keys), F.col("s")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), backwards(keys)
     before, after = F.lag("s").over(w), F.lead("s").over(w)
     out = sig.withColumn("peak_sign", turning(s, keys))
     # a walk up to here from the left goes on while before <= s (for a maximum); it stops on this row otherwise
@@ -57,7 +57,7 @@ def with_peaks(sig: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     out = out.withColumns(foot)
     # a stop's value is never null where a walk ends: walks stop before nulls
     out = out.withColumn("left_base", F.when(top, F.last("_up_l", True).over(back)).when(F.col("peak_sign").isNotNull(), F.last("_dn_l", True).over(back)))
-    out = out.withColumn("right_base", F.when(top, F.first("_up_r", True).over(ahead)).when(F.col("peak_sign").isNotNull(), F.first("_dn_r", True).over(ahead)))
+    out = out.withColumn("right_base", F.when(top, F.last("_up_r", True).over(ahead)).when(F.col("peak_sign").isNotNull(), F.last("_dn_r", True).over(ahead)))
     out = out.drop(*stops)
     rise, fall = F.greatest(F.col("idx") - F.col("left_idx"), F.lit(1)), F.greatest(F.col("right_idx") - F.col("idx"), F.lit(1))
     prominence = F.when(top, s - F.greatest("left_base", "right_base")).when(F.col("peak_sign").isNotNull(), F.least("left_base", "right_base") - s)

@@ -63,3 +63,13 @@ def robust_scales(df: DataFrame, vector: str) -> DataFrame:
     out = df.select(F.posexplode(vector).alias("pos", "v")).groupBy("pos").agg(q.alias("q"))
     span = F.col("q")[2] - F.col("q")[0]
     return out.select("pos", F.col("q")[1].alias("center"), F.when(span > 1e-6, span).otherwise(1.0).alias("scale"))
+
+
+def payload(by_channel: DataFrame, first: int = 5) -> DataFrame:
+    """The short report of an evaluation, one row a horizon: means over channels for all horizons (null) and for the first ones."""
+    return hourly_scoreboard(by_channel).filter(F.col("horizon").isNull() | (F.col("horizon") <= first))
+
+
+def longest(df: DataFrame, by: str, ties: list[str], k: int = 20) -> DataFrame:
+    """The k rows with the greatest ``by``; ties by the named columns."""
+    return df.orderBy(F.desc(by), *ties).limit(k)

@@ -50,6 +50,56 @@ def scoreboard(sig: DataFrame, value: str = "s", keys: Sequence[str] = KEYS) ->
     return out.select(*keys, each.alias("p")).groupBy(*keys, F.col("p.predictor").alias("predictor")).agg(F.count(F.lit(1)).alias("n"), F.avg("p.e").alias("mae"))
 
 
+def board(sig: DataFrame, value: str = "s", fit: int = 24, circular: Sequence[str] = (), least: int = 8, keys: Sequence[str] = KEYS) -> DataFrame:
+    """keys, predictor, n and mae of the four predictors over each series' known values in order, gaps closed: each predicts every
+    value that has enough before it (1, 2, 3 and 3; the last fits an autoregression to the last ``fit`` or fewer). Angles of
+    ``circular`` channels are unwrapped first, errors are on the circle. Series of fewer than ``least`` values have no row.
+    """
+    known = sig.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    turn = F.col("channel").isin(*circular) if circular else F.lit(False)
+    w = ordered(keys)
+    x = F.col(value).cast("double")
+    known = known.select(*keys, "idx", F.when(turn, unwrapped(x, keys)).otherwise(x).alias("y"), turn.alias("_turn"))
+    known = known.withColumn("past", F.collect_list("y").over(w.rowsBetween(-max(fit, 3), -1))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+
+    def predicted(frames):
+        for g in frames:
+            size = g["past"].map(len).to_numpy()
+            guess = np.full((len(g), 4), np.nan)
+            for k in np.unique(size):
+                at = np.flatnonzero(size == k)
+                if not k:
+                    continue
+                p = np.stack(g["past"].to_numpy()[at]).astype(float)
+                guess[at, 0] = p[:, -1]
+                if k > 1:
+                    guess[at, 1] = 2 * p[:, -1] - p[:, -2]
+                if k > 2:
+                    guess[at, 2] = 3 * p[:, -1] - 3 * p[:, -2] + p[:, -3]
+                    guess[at, 3] = ar2_predictions(p)
+            e = np.abs(g["y"].to_numpy(float)[:, None] - guess)
+            circle = np.abs((g["y"].to_numpy(float)[:, None] - guess % 360 + 180) % 360 - 180)
+            yield g[list(keys)].assign(e=list(np.where(g["_turn"].to_numpy()[:, None], circle, e)))
+
+    schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in sig.select(*keys).schema) + "e array<double>"
+    errors = known.filter(F.col("_n") >= least).drop("_n", "idx").mapInPandas(predicted, schema)
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.nanvl(F.col("e")[i], F.lit(None)).alias("e")) for i, p in enumerate(PREDICTORS)]))
+    return errors.select(*keys, each.alias("p")).groupBy(*keys, F.col("p.predictor").alias("predictor")).agg(F.count("p.e").alias("n"), F.avg("p.e").alias("mae"))
+
+
+def top_signatures(labels: DataFrame, blocks: DataFrame, k: int = 12, side: Sequence[str] = ()) -> DataFrame:
+    """signature and steps: the k combinations of the channels' labels at the starts of blocks that cover most steps (ties: by signature)."""
+    at = blocks.withColumn("idx", F.col("start_idx")).join(labels, [*side, "idx"])
+    own = at.groupBy(*side, "block_id", "start_idx", "end_idx").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws("=", "channel", F.coalesce("label", F.lit("none")))))).alias("signature"))
+    return own.groupBy("signature").agg(F.sum(F.col("end_idx") - F.col("start_idx") + 1).alias("steps")).orderBy(F.desc("steps"), "signature").limit(k)
+
+
+def label_shares(labels: DataFrame) -> DataFrame:
+    """channel, label, share of the channel's steps (label null: unknown)."""
+    n = labels.groupBy("channel", "label").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("channel")))
+
+
 def ar2_predictions(windows: np.ndarray) -> np.ndarray:
     """The next value of each row by least squares of x[t] on 1, x[t-1], x[t-2]; of least norm where that is not unique."""
     t = windows[:, 2:]

@@ -16,11 +16,39 @@ def target_count(strategy: str = "extrema", horizon: int = 24, stride: int = 1,
     return max(1, -(-horizon // max(step, 1)))
 
 
+#: Steps of an order column that make up one bucket of a series without keys.
+BUCKET = 65_536
+
+
+def numbered(df: DataFrame, by: str = "start_idx", keys: tuple[str, ...] = (), name: str = "pos") -> DataFrame:
+    """df with each row's place from 0 in the order of ``by`` (a number; ties: any order).
+
+    Rows are numbered inside buckets of ``by``; a bucket's first number is the rows of the buckets before it, of which there are
+    few. So no task sees a whole series.
+    """
+    bucket = F.floor(F.col(by) / BUCKET)
+    own = Window.partitionBy(*keys, "_bucket").orderBy(by)
+    out = df.withColumn("_bucket", bucket).withColumn("_own", F.row_number().over(own).cast("long") - 1)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = df.groupBy(*keys, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return out.join(counts, [*keys, "_bucket"]).withColumn(name, F.col("_own") + F.col("_first")).drop("_bucket", "_own", "_first")
+
+
+def series_keys(df: DataFrame) -> tuple[str, ...]:
+    return ("series_id",) if "series_id" in df.columns else ()
+
+
 def history_frames(windows: DataFrame, history: int = 4, by: str = "start_idx") -> DataFrame:
-    """window_id, start_idx and history_ids, the ids of the last ``history`` windows, this one last; only whole histories."""
-    w = Window.orderBy(by) if "series_id" not in windows.columns else Window.partitionBy("series_id").orderBy(by)
-    out = windows.withColumn("history_ids", F.collect_list("window_id").over(w.rowsBetween(-(history - 1), 0)))
-    return out.filter(F.size("history_ids") == history)
+    """windows with history_ids, the ids of the last ``history`` windows, this one last; only whole histories.
+
+    Each window sends its id to the places of those whose history it is in; the join is on the place.
+    """
+    keys = series_keys(windows)
+    at = numbered(windows, by, keys)
+    sent = at.select(*keys, F.explode(F.sequence(F.col("pos"), F.col("pos") + history - 1)).alias("pos"), F.struct(F.col("pos").alias("own"), "window_id").alias("w"))
+    frames = sent.groupBy(*keys, "pos").agg(F.transform(F.array_sort(F.collect_list("w")), lambda w: w["window_id"]).alias("history_ids"))
+    return at.join(frames.filter(F.size("history_ids") == history), [*keys, "pos"]).drop("pos")
 
 
 def targets_at_offsets(windows: DataFrame, horizon: int = 24, stride: int = 1, count: int = 24) -> DataFrame:
@@ -37,25 +65,34 @@ def targets_at_offsets(windows: DataFrame, horizon: int = 24, stride: int = 1, c
 def forward_asof(left: DataFrame, right: DataFrame, at: str = "at", time: str = "start_idx", what: str = "pos", by: tuple[str, ...] = ()) -> DataFrame:
     """left with ``what`` of the first row of right whose ``time`` is at or after ``at``; null if there is none.
 
-    Both sides go in one sorted stream and the next right row is read off a frame: no range join. Without ``by``
-    the stream is one partition; series come as a key of ``by``.
+    Both sides go in one sorted stream for each key of ``by`` and bucket of the time (a number), and the next right row is read
+    off it from its end: no range join. Where a bucket has none left, the first row of the next bucket that has one is it.
     """
-    cols = left.columns
+    name = what if what not in left.columns else f"{what}_right"
     both = left.withColumn("_t", F.col(at)).withColumn("_r", F.lit(0)).withColumn("_w", F.lit(None).cast(right.schema[what].dataType))
     other = right.select(*by, F.col(time).alias("_t"), F.lit(1).alias("_r"), F.col(what).alias("_w"))
-    w = (Window.partitionBy(*by) if by else Window).orderBy("_t", "_r", "_w").rowsBetween(0, Window.unboundedFollowing)
-    return both.unionByName(other, allowMissingColumns=True).withColumn(what if what not in cols else f"{what}_right", F.first("_w", True).over(w)).filter("_r = 0").drop("_t", "_r", "_w")
+    bucket = F.floor(F.col("_t") / BUCKET)
+    both = both.unionByName(other, allowMissingColumns=True).withColumn("_bucket", bucket)
+    w = Window.partitionBy(*by, "_bucket").orderBy(F.desc("_t"), F.desc("_r"), F.desc("_w")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn(name, F.last("_w", True).over(w)).filter("_r = 0")
+    # one row a bucket: its first right row, and that of the next bucket with one
+    firsts = other.groupBy(*by, bucket.alias("_bucket")).agg(F.min(F.struct("_t", "_w")).alias("_first"))
+    buckets = left.select(*by, F.floor(F.col(at) / BUCKET).alias("_bucket")).distinct().join(firsts, [*by, "_bucket"], "full")
+    later = Window.partitionBy(*by).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select(*by, "_bucket", F.last("_first._w", True).over(later).alias("_later"))
+    out = near.join(buckets, [*by, "_bucket"], "left").withColumn(name, F.coalesce(name, "_later"))
+    return out.drop("_t", "_r", "_w", "_bucket", "_later")
 
 
 def targets_by_time(windows: DataFrame, horizon: int = 24, count: int = 3, anchor: str = "start_idx") -> DataFrame:
     """window_id and target_ids: ``count`` windows in a row from the first that starts at anchor + horizon or later."""
-    w = Window.orderBy("start_idx")
-    placed = windows.withColumn("pos", F.row_number().over(w).cast("long") - 1)
-    ask = placed.select("window_id", F.col("pos").alias("own"), (F.col(anchor) + horizon).alias("at"))
-    first = forward_asof(ask, placed, "at", "start_idx", "pos").withColumn("first", F.greatest("pos", F.col("own") + 1)).filter("pos is not null")
-    asked = first.select("window_id", F.explode(F.sequence("first", F.col("first") + count - 1)).alias("pos"))
-    found = asked.join(placed.select("pos", F.col("window_id").alias("target_id")), "pos")
-    ids = found.groupBy("window_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target_id"))), lambda v: v["target_id"]).alias("target_ids"))
+    keys = series_keys(windows)
+    placed = numbered(windows, "start_idx", keys)
+    ask = placed.select(*keys, "window_id", F.col("pos").alias("own"), (F.col(anchor) + horizon).alias("at"))
+    first = forward_asof(ask, placed, "at", "start_idx", "pos", keys).withColumn("first", F.greatest("pos", F.col("own") + 1)).filter("pos is not null")
+    asked = first.select(*keys, "window_id", F.explode(F.sequence("first", F.col("first") + count - 1)).alias("pos"))
+    found = asked.join(placed.select(*keys, "pos", F.col("window_id").alias("target_id")), [*keys, "pos"])
+    ids = found.groupBy(*keys, "window_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target_id"))), lambda v: v["target_id"]).alias("target_ids"))
     return ids.filter(F.size("target_ids") == count)
 
 
@@ -80,8 +117,8 @@ def samples(windows: DataFrame, labels: DataFrame | None = None, horizon: int =
 
 def chronological_split(df: DataFrame, order: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """df with pos and split. Cuts are at int(n * share), at least one row away from the ends; fewer than 4 rows can't be split."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
-    out = df.withColumn("pos", F.row_number().over(Window.orderBy(order)).cast("long") - 1).withColumn("_n", n)
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    out = numbered(df, order).join(F.broadcast(n))
     a = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(F.col("_n") * train)))
     z = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(F.col("_n") * (train + validation))))
     z = F.when(z <= a, F.least(F.col("_n") - 1, a + 1)).otherwise(z)

@@ -1,8 +1,9 @@
 """The long signal table: one row per series, channel and step.
 
 Columns: the keys, idx (step from 0), ts, x (raw), s (smoothed), d1 and d2 (first and second difference).
-Windows are partitioned by the keys, so series and channels run in parallel; values are rounded to 8
-places and smoothed ones to 10, so that comparing neighbours doesn't depend on the order of a sum.
+Windows are partitioned by the keys, so series and channels run in parallel. Frames that reach to a series' end are
+read from the end: a frame that only grows is kept up to date, one that shrinks would be summed anew for each row.
+With ``places`` values are rounded, so that comparing neighbours doesn't depend on the order of a sum.
 """
 
 from __future__ import annotations
@@ -19,7 +20,16 @@ def ordered(keys: Sequence[str] = KEYS):
     return Window.partitionBy(*keys).orderBy("idx")
 
 
-def hourly_grid(events: DataFrame, channel: str = "event_type", value: str = "value", ts: str = "ts") -> DataFrame:
+def backwards(keys: Sequence[str] = KEYS):
+    """The series from its end: rows up to the current one are those from it on."""
+    return Window.partitionBy(*keys).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def placed(x: Column, places: int | None) -> Column:
+    return x if places is None else F.round(x, places)
+
+
+def hourly_grid(events: DataFrame, channel: str = "event_type", value: str = "value", ts: str = "ts", places: int | None = None) -> DataFrame:
     """Hourly means by channel on a dense calendar: channel, idx, ts, x (null where an hour has no event).
 
     Events are averaged per hour before anything else, so what windows see grows with hours, not events.
@@ -29,7 +39,7 @@ def hourly_grid(events: DataFrame, channel: str = "event_type", value: str = "va
     span = hours.agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"), F.sort_array(F.collect_set("channel")).alias("channels"))
     dense = span.select("t0", F.explode("channels").alias("channel"), F.expr("sequence(t0, t1, interval 1 hour)").alias("all"))
     dense = dense.select("channel", F.posexplode("all").alias("idx", "ts"))
-    return dense.join(hours, ["channel", "ts"], "left").select("channel", F.col("idx").cast("long").alias("idx"), "ts", F.round("x", 8).alias("x"))
+    return dense.join(hours, ["channel", "ts"], "left").select("channel", F.col("idx").cast("long").alias("idx"), "ts", placed(F.col("x"), places).alias("x"))
 
 
 def quality_masked(wide: DataFrame, pairs: Sequence[tuple[str, str]], highest: int = 2) -> DataFrame:
@@ -61,9 +71,9 @@ def to_wide(long: DataFrame, channels: Sequence[str], value: str = "x", by: Sequ
     return long.groupBy(*by).pivot("channel", list(channels)).agg(F.first(value))
 
 
-def rolling_mean(x: Column, width: int = 5, keys: Sequence[str] = KEYS) -> Column:
+def rolling_mean(x: Column, width: int = 5, keys: Sequence[str] = KEYS, places: int | None = None) -> Column:
     """Centred mean of the values that are there."""
-    return F.round(F.avg(x).over(ordered(keys).rowsBetween(-(width // 2), (width - 1) // 2)), 10)
+    return placed(F.avg(x).over(ordered(keys).rowsBetween(-(width // 2), (width - 1) // 2)), places)
 
 
 #: Weights of the 7-point quadratic Savitzky-Golay filter, times 21.
@@ -73,12 +83,12 @@ SAVGOL_7_2 = (-2, 3, 6, 7, 6, 3, -2)
 def linear_filled(x: Column, keys: Sequence[str] = KEYS) -> Column:
     """Nulls filled on the line between their neighbours; beyond the ends with the nearest value."""
     w, at = ordered(keys), F.when(x.isNotNull(), F.col("idx"))
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    i0, i1, x0, x1 = F.last(at, True).over(back), F.first(at, True).over(ahead), F.last(x, True).over(back), F.first(x, True).over(ahead)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), backwards(keys)
+    i0, i1, x0, x1 = F.last(at, True).over(back), F.last(at, True).over(ahead), F.last(x, True).over(back), F.last(x, True).over(ahead)
     return F.coalesce(x, F.when(i0.isNotNull() & i1.isNotNull(), x0 + (x1 - x0) * (F.col("idx") - i0) / (i1 - i0)), x0, x1)
 
 
-def savgol(grid: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def savgol(grid: DataFrame, keys: Sequence[str] = KEYS, places: int | None = None) -> DataFrame:
     """grid with s: Savitzky-Golay of width 7 and degree 2 over the filled series. The three values at either
     end lie on the quadratic through the first or last seven points; a series of fewer than seven keeps its values.
     """
@@ -99,17 +109,17 @@ def savgol(grid: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         return p0 + p1 * u + p2 * u * u
 
     s = F.when(F.col("_n") < 7, F.col("_f")).when(F.col("idx") < 3, quadratic("_a")).when(F.col("idx") >= F.col("_n") - 3, quadratic("_z")).otherwise(middle)
-    return filled.withColumn("s", F.round(s, 10)).drop("_f", "_n", "_a", "_z")
+    return filled.withColumn("s", placed(s, places)).drop("_f", "_n", "_a", "_z")
 
 
-def signal(grid: DataFrame, method: str = "rolling_mean", width: int = 5, keys: Sequence[str] = KEYS) -> DataFrame:
+def signal(grid: DataFrame, method: str = "rolling_mean", width: int = 5, keys: Sequence[str] = KEYS, places: int | None = None) -> DataFrame:
     """grid with s, d1 and d2. All of it is one sort by the keys and idx."""
     if method == "rolling_mean":
-        out = grid.withColumn("s", rolling_mean(F.col("x"), width, keys))
+        out = grid.withColumn("s", rolling_mean(F.col("x"), width, keys, places))
     elif method == "savgol":
-        out = savgol(grid, keys)
+        out = savgol(grid, keys, places)
     else:
         raise ValueError(f"unknown smoothing method: {method}")
     w = ordered(keys)
-    out = out.withColumn("d1", F.round(F.col("s") - F.lag("s").over(w), 10))
-    return out.withColumn("d2", F.round(F.col("d1") - F.lag("d1").over(w), 10))
+    out = out.withColumn("d1", placed(F.col("s") - F.lag("s").over(w), places))
+    return out.withColumn("d2", placed(F.col("d1") - F.lag("d1").over(w), places))

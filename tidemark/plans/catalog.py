@@ -5,14 +5,15 @@ Floats are rounded, so that engines that add in another order give the same rows
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import clustering, decode, events, metrics, pairs, predictors, samples, segments, signal, structure, windows
+from tidemark.operators import clustering, decode, events, histories, metrics, pairs, predictors, samples, segments, signal, structure, windows
+from tidemark.plans import pipeline
 
-CHANNELS = ("click", "error", "purchase", "signup", "view")
 COMPOUND = ("purchase", "view")
 NUDGE = 3.14159
 
@@ -30,11 +31,16 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
-    return signal.hourly_grid(table(spark, d, "events"))
+    return signal.hourly_grid(table(spark, d, "events"), places=8)
 
 
 def sig(spark: SparkSession, d: str) -> DataFrame:
-    return signal.signal(grid(spark, d))
+    return signal.signal(grid(spark, d), places=10)
+
+
+def channels(df: DataFrame) -> list[str]:
+    """The names of all channels, in order."""
+    return sorted(r["channel"] for r in df.select("channel").distinct().collect())
 
 
 def n_steps(df: DataFrame) -> int:
@@ -66,8 +72,9 @@ def date_slice(spark, d):
 
 
 def long_form(spark, d):
-    wide = signal.to_wide(grid(spark, d), CHANNELS)
-    return rounded(signal.to_long(wide, CHANNELS, keep=("idx",)).filter("x is not null").select("channel", "idx", "x"))
+    g = grid(spark, d)
+    names = channels(g)
+    return rounded(signal.to_long(signal.to_wide(g, names), names, keep=("idx",)).filter("x is not null").select("channel", "idx", "x"))
 
 
 def rolling_mean(spark, d):
@@ -79,7 +86,7 @@ def differences(spark, d):
 
 
 def savgol(spark, d):
-    return rounded(signal.savgol(grid(spark, d)).select("channel", "idx", "s"))
+    return rounded(signal.savgol(grid(spark, d), places=10).select("channel", "idx", "s"))
 
 
 def linear_interp(spark, d):
@@ -104,7 +111,7 @@ def window_intra(spark, d):
 
 def window_hazard(spark, d):
     g = grid(spark, d)
-    return rounded(windows.hazard_features(signal.signal(g), windows.thresholds(g), COMPOUND))
+    return rounded(windows.hazard_features(signal.signal(g, places=10), windows.thresholds(g), COMPOUND))
 
 
 def event_window_bridge(spark, d):
@@ -121,7 +128,8 @@ def window_time_block(spark, d):
 
 
 def window_pairs(spark, d):
-    return rounded(pairs.correlations(pairs.pairs_of(sig(spark, d), CHANNELS)), 5)
+    s = sig(spark, d)
+    return rounded(pairs.correlations(pairs.pairs_of(s, channels(s))), 5)
 
 
 def sync_extrema(spark, d):
@@ -137,6 +145,11 @@ def predictor_scoreboard(spark, d):
     return rounded(predictors.scoreboard(sig(spark, d)))
 
 
+def predictor_board(spark, d):
+    """All four predictors over each channel's known values."""
+    return rounded(predictors.board(sig(spark, d)))
+
+
 def circular_error(spark, d):
     g = grid(spark, d).withColumn("deg", predictors.wrapped(F.col("x") * 7)).withColumn("was", F.lag("deg").over(signal.ordered()))
     return rounded(g.filter("deg is not null and was is not null").groupBy("channel").agg(F.avg(predictors.circular_error(F.col("deg"), F.col("was"))).alias("mean_error")))
@@ -168,29 +181,66 @@ def chronological_split(spark, d):
     return samples.chronological_split(window_table(spark, d).select("window_id", "start_idx"), "start_idx").select("window_id", "pos", "split")
 
 
-def _backtest(spark, d):
+def _backtest(spark, d, drift: bool):
+    """Errors of the last value carried on, or drawn towards the upper threshold."""
     g = grid(spark, d)
-    drift = metrics.persistence(g).join(windows.thresholds(g), "channel").withColumn("prediction", F.col("prediction") + (F.col("upper") - F.col("prediction")) * F.col("horizon") / 240)
-    return metrics.errors(metrics.with_actual(drift.select("channel", "idx", "horizon", "prediction"), g))
+    p = metrics.persistence(g)
+    if drift:
+        p = p.join(windows.thresholds(g), "channel").withColumn("prediction", F.col("prediction") + (F.col("upper") - F.col("prediction")) * F.col("horizon") / 240)
+    return metrics.errors(metrics.with_actual(p.select("channel", "idx", "horizon", "prediction"), g))
 
 
 def persistence_backtest(spark, d):
-    return rounded(_backtest(spark, d).withColumn("horizon", F.coalesce("horizon", F.lit(0))))  # 0: all
+    return rounded(_backtest(spark, d, False).withColumn("horizon", F.coalesce("horizon", F.lit(0))))  # 0: all
+
+
+def drift_backtest(spark, d):
+    return rounded(_backtest(spark, d, True).withColumn("horizon", F.coalesce("horizon", F.lit(0))))
 
 
 def hourly_scoreboard(spark, d):
-    return rounded(metrics.hourly_scoreboard(_backtest(spark, d)).withColumn("horizon", F.coalesce("horizon", F.lit(0))))
+    return rounded(metrics.hourly_scoreboard(_backtest(spark, d, True)).withColumn("horizon", F.coalesce("horizon", F.lit(0))))
+
+
+def evaluation_payload(spark, d):
+    return rounded(metrics.payload(_backtest(spark, d, True)).withColumn("horizon", F.coalesce("horizon", F.lit(0))))
+
+
+def longest_peaks(spark, d):
+    """The 20 widest peaks."""
+    return rounded(metrics.longest(events.peaks(sig(spark, d)).select("channel", "idx", "sign", "width"), "width", ["channel", "idx"]))
+
+
+def segment_histories(spark, d):
+    """Of hourly centres, the segments five days before and after: at most the last and first four."""
+    s = _line_segments(spark, d)
+    keys = ("channel",)
+    at = histories.centres(s, 120, 1, keys)
+    out = histories.around(s, at, 120, 4, keys)
+    first = histories.members(out, s.select("channel", "start_idx", "segment_id"), "tail", 4, keys).groupBy("channel", "centre").agg(F.min("segment_id").alias("first_segment"), F.max("slot").alias("last_slot"))
+    out = out.select("channel", "centre", (F.col("tail_to") - F.col("tail_from")).alias("n_tail"), (F.col("head_to") - F.col("head_from")).alias("n_head"))
+    return out.join(first, ["channel", "centre"], "left")
+
+
+def placeholder_decode(spark, d):
+    """The time block of each window, halved and read back as a forecast's would be."""
+    b = window_time_block(spark, d)
+    v = F.array(F.lit(1.0), F.col("mean_gap") * 3, F.col("var_gap"), "mean_gap", "var_gap", "mean_width", "max_width", F.col("n_events") / 2, "mean_place")
+    t = b.select("window_id", decode.time_placeholders(v, ["all"]).alias("t"))
+    return rounded(t.select("window_id", "t.window_length_steps", "t.forecast_horizon_steps", "t.mean_peak_width_steps", F.size("t.normalized_event_positions").cast("long").alias("n_positions"), F.col("t.duration_over_threshold_by_channel")["all"].alias("over")), 5)
 
 
 def boundary_union(spark, d):
     e = events.extrema(sig(spark, d)).select("channel", "idx")
-    tables = [e.filter(F.col("channel") == c).select(F.col("idx").alias("start_idx"), (F.col("idx") + 1).alias("end_idx")) for c in CHANNELS]
+    tables = [e.filter(F.col("channel") == c).select(F.col("idx").alias("start_idx"), (F.col("idx") + 1).alias("end_idx")) for c in channels(e)]
     return samples.boundary_union(*tables)
 
 
 def index_intersection(spark, d):
-    g = grid(spark, d).filter("x is not null")
-    return g.filter(F.col("channel") == CHANNELS[0]).select("idx").intersect(g.filter(F.col("channel") == CHANNELS[1]).select("idx"))
+    """Steps that all channels have values at."""
+    g = grid(spark, d)
+    known = g.filter("x is not null")
+    return functools.reduce(DataFrame.intersect, [known.filter(F.col("channel") == c).select("idx") for c in channels(g)])
 
 
 def ensemble_stitch(spark, d):
@@ -297,7 +347,8 @@ def scaled_pairs(spark, d):
 def label_lookup(spark, d):
     s = sig(spark, d)
     w = window_table(spark, d).select("window_id", "block_id")
-    labels = windows.event_bridge(events.extrema(s).filter(F.col("channel") == CHANNELS[0]), n_steps(s)).groupBy("window_id").agg(F.count(F.lit(1)).alias("pattern_id"))
+    maxima = events.extrema(s).filter("sign = 'max' and amplitude > 20")
+    labels = windows.event_bridge(maxima, n_steps(s)).groupBy("window_id").agg(F.count(F.lit(1)).alias("pattern_id"))
     return w.join(labels, "window_id", "left").groupBy("block_id", F.coalesce("pattern_id", F.lit(-1)).alias("pattern_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -348,7 +399,7 @@ def walk_forward_report(spark, d):
 def joint_segments(spark, d):
     s = sig(spark, d).filter("s is not null")
     cuts = segments.segmented(s, tolerance=12.0, harmonic=False, value="s")
-    return rounded(segments.joint_refit(samples.boundary_union(cuts), s, value="s", harmonic=CHANNELS[:1]))
+    return rounded(segments.joint_refit(samples.boundary_union(cuts), s, value="s", harmonic=channels(s)[:1]))
 
 
 def dynamics_pieces(spark, d):
@@ -356,13 +407,27 @@ def dynamics_pieces(spark, d):
     return rounded(segments.dynamics_fits(s, segments.dynamics_boundaries(s)))
 
 
+def top_signatures(spark, d):
+    """The twelve combinations of predictors that cover most steps."""
+    labels = regime_labels(spark, d)
+    return predictors.top_signatures(labels, predictors.regimes(labels))
+
+
+def label_shares(spark, d):
+    return rounded(predictors.label_shares(regime_labels(spark, d)))
+
+
 def dynamics_medoids(spark, d):
-    """Medoids of a sample of pieces by the integrals between their dynamics; every piece to its nearest medoid."""
-    v = structure.functional_vectors(dynamics_pieces(spark, d)).withColumnRenamed("segment_id", "id").persist()
-    _, x = clustering.sample(v, 512)
-    _, medoids = clustering.kmedoids(clustering.pairwise(x) ** 2, 8) if len(x) else (None, [])
-    protos = spark.createDataFrame([(i, x[m].tolist()) for i, m in enumerate(medoids)], "pattern_id int, v array<double>")
-    return rounded(clustering.nearest(v, protos))
+    """Medoids of all pieces by the integrals between their dynamics, k by silhouette and balance; every piece to its nearest medoid."""
+    v = structure.functional_vectors(dynamics_pieces(spark, d)).withColumnRenamed("segment_id", "id")
+    table_, _ = clustering.select_medoids(v)
+    return rounded(clustering.nearest(v, table_))
+
+
+def ridge_backtest(spark, d):
+    """Ridge regressions on windows' features, fitted on the first 70 % of the windows, against the last value on the later ones."""
+    s = sig(spark, d)
+    return rounded(pipeline.backtest(pipeline.feature_vectors(windows.intra_features(s), channels(s)), s, horizons=6).withColumn("horizon", F.coalesce("horizon", F.lit(0))))
 
 
 def kmeans_clusters(spark, d):
@@ -372,16 +437,16 @@ def kmeans_clusters(spark, d):
 
 def leader_patterns(spark, d):
     v = vectors(spark, d)
-    table_, _ = clustering.leader_clusters(v, sample_size=512)
+    table_, _ = clustering.leader_clusters(v)
     return rounded(clustering.nearest(v, table_))
 
 
 ALL = [
     hourly_channel_grid, quality_mask, date_slice, long_form, rolling_mean, differences, savgol, linear_interp, extrema_events, peak_events, channel_thresholds, window_intra, window_hazard,
-    event_window_bridge, window_time_block, window_pairs, sync_extrema, one_step_predictors, predictor_scoreboard, circular_error, history_frames, target_lookup, forward_asof_target, sequence_samples,
-    chronological_split, persistence_backtest, hourly_scoreboard, boundary_union, index_intersection, ensemble_stitch, linear_fit_by_block, equation_eval, segment_report, segment_vectors, decoded_series,
+    event_window_bridge, window_time_block, window_pairs, sync_extrema, one_step_predictors, predictor_scoreboard, predictor_board, circular_error, history_frames, target_lookup, forward_asof_target, sequence_samples,
+    chronological_split, persistence_backtest, drift_backtest, hourly_scoreboard, evaluation_payload, longest_peaks, segment_histories, placeholder_decode, boundary_union, index_intersection, ensemble_stitch, linear_fit_by_block, equation_eval, segment_report, segment_vectors, decoded_series,
     extrapolated_errors, p90_scales, robust_scale, vector_norm_stats, time_features, running_duration_k, next24_targets, window_decode, interval_values, anchor_days, scaled_features, scaled_pairs, label_lookup, nearest_prototype,
-    lloyd_step, cluster_quality, regime_labels, switch_counts, regime_blocks, hierarchical_windows, walk_forward_segments, walk_forward_report, joint_segments, dynamics_pieces, dynamics_medoids, kmeans_clusters, leader_patterns,
+    lloyd_step, cluster_quality, regime_labels, switch_counts, regime_blocks, hierarchical_windows, walk_forward_segments, walk_forward_report, joint_segments, dynamics_pieces, dynamics_medoids, kmeans_clusters, leader_patterns, top_signatures, label_shares, ridge_backtest,
 ]
 
 

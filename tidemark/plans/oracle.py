@@ -210,10 +210,22 @@ def oracle_sql() -> dict[str, str]:
     q["chronological_split"] = f"""WITH {GRID} {WINDOWS} {ONE}, p AS (SELECT window_id, row_number() OVER (ORDER BY start_idx) - 1 AS pos, count(*) OVER () AS n FROM one),
       c AS (SELECT *, greatest(1, least(n - 1, floor(n * 0.7))) AS a, greatest(1, least(n - 1, floor(n * 0.85))) AS z FROM p)
       SELECT window_id, pos, CASE WHEN pos < a THEN 'train' WHEN pos < (CASE WHEN z <= a THEN least(n - 1, a + 1) ELSE z END) THEN 'validation' ELSE 'test' END AS split FROM c"""
-    q["persistence_backtest"] = f"WITH {BACKTEST} SELECT channel, coalesce(horizon, 0) AS horizon, n, {rs('mae rmse')}, baseline_n, {rs('baseline_mae baseline_rmse')} FROM stats"
+    plain = BACKTEST.replace("a.x + (t.upper - a.x) * h / 240 - b.x AS e", "a.x - b.x AS e")
+    q["persistence_backtest"] = f"WITH {plain} SELECT channel, coalesce(horizon, 0) AS horizon, n, {rs('mae rmse')}, baseline_n, {rs('baseline_mae baseline_rmse')} FROM stats"
+    q["evaluation_payload"] = f"WITH {BACKTEST} SELECT coalesce(horizon, 0) AS horizon, count(*) AS n_channels, {r('mae', 6, 'avg(mae)')}, {r('rmse', 6, 'avg(rmse)')} FROM stats WHERE n > 0 AND coalesce(horizon, 0) <= 5 GROUP BY 1"
+    q["longest_peaks"] = f"WITH {PEAKS} SELECT channel, idx, sign, {r('width')} FROM peaks ORDER BY peaks.width DESC, channel, idx LIMIT 20"
+    q["segment_histories"] = f"""WITH {LINES}, reach AS (SELECT channel, min(start_idx) + 120 AS a, max(start_idx) - 120 AS z FROM segs GROUP BY 1 HAVING max(start_idx) - min(start_idx) >= 240),
+      c AS (SELECT channel, unnest(generate_series(a, z)) AS centre FROM reach),
+      t AS (SELECT c.channel, centre, list(segment_id ORDER BY start_idx) AS ids FROM c JOIN segs s ON s.channel = c.channel AND s.start_idx >= centre - 120 AND s.start_idx < centre GROUP BY 1, 2),
+      h AS (SELECT c.channel, centre, count(*) AS n FROM c JOIN segs s ON s.channel = c.channel AND s.start_idx >= centre AND s.start_idx < centre + 120 GROUP BY 1, 2)
+      SELECT channel, CAST(centre AS BIGINT) AS centre, CAST(least(len(coalesce(ids, [])), 4) AS BIGINT) AS n_tail, CAST(least(coalesce(h.n, 0), 4) AS BIGINT) AS n_head, ids[greatest(len(ids) - 3, 1)] AS first_segment,
+        CAST(CASE WHEN ids IS NOT NULL THEN 3 END AS BIGINT) AS last_slot FROM c LEFT JOIN t USING (channel, centre) LEFT JOIN h USING (channel, centre)"""
+    q["placeholder_decode"] = f"""WITH b AS ({q["window_time_block"]}) SELECT window_id, CAST(greatest(round_even(mean_gap * 3, 0), 1) AS BIGINT) AS window_length_steps, CAST(greatest(round_even(var_gap, 0), 1) AS BIGINT) AS forecast_horizon_steps,
+      {r("mean_peak_width_steps", 5, "mean_width")}, CAST(greatest(round_even(n_events / 2, 0), 0) AS BIGINT) AS n_positions, {r("over", 5, "mean_place")} FROM b"""
+    q["drift_backtest"] = f"WITH {BACKTEST} SELECT channel, coalesce(horizon, 0) AS horizon, n, {rs('mae rmse')}, baseline_n, {rs('baseline_mae baseline_rmse')} FROM stats"
     q["hourly_scoreboard"] = f"WITH {BACKTEST} SELECT coalesce(horizon, 0) AS horizon, count(*) AS n_channels, {r('mae', 6, 'avg(mae)')}, {r('rmse', 6, 'avg(rmse)')} FROM stats WHERE n > 0 GROUP BY 1"
     q["boundary_union"] = f"""WITH {EXTREMA}, b AS (SELECT DISTINCT channel, unnest([idx, idx + 1]) AS idx FROM extrema) SELECT idx, count(*) AS n_tables FROM b GROUP BY 1"""
-    q["index_intersection"] = f"WITH {GRID} SELECT idx FROM grid WHERE x IS NOT NULL AND channel = 'click' INTERSECT SELECT idx FROM grid WHERE x IS NOT NULL AND channel = 'error'"
+    q["index_intersection"] = f"WITH {GRID} SELECT idx FROM grid GROUP BY 1 HAVING count(*) = count(x)"
     q["ensemble_stitch"] = f"""WITH {GRID}, th AS (SELECT channel, coalesce(quantile_cont(x, 0.9), 0) AS u, coalesce(quantile_cont(x, 0.1), 0) AS l FROM grid GROUP BY 1)
       SELECT channel, h AS horizon, count(*) AS n, {r("mean_prediction", 6, "avg(CASE WHEN h < 12 THEN x WHEN h < 24 THEN l ELSE u END)")} FROM grid JOIN th USING (channel) CROSS JOIN generate_series(1, 36) g(h) WHERE x IS NOT NULL GROUP BY 1, 2"""
     q["linear_fit_by_block"] = f"WITH {LINES} SELECT channel, block, n, {rs('mean intercept slope')} FROM fits"
@@ -263,7 +275,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT window_id, channel, {columns} FROM a JOIN b USING (window_id, channel) JOIN e USING (window_id)"""
     q["scaled_pairs"] = f"""WITH a AS ({q["window_pairs"]}), b AS ({q["sync_extrema"]}) SELECT window_id, a_ch, b_ch, {rs("correlation lag_correlation", 4)}, {r("slope_ratio", 4, "tanh(slope_ratio)")},
       {r("sync_count", 4, "coalesce(sync_count, 0) / 24")}, {r("mean_event_lag", 4, "coalesce(mean_event_lag, 0) / 24")} FROM a LEFT JOIN b USING (window_id, a_ch, b_ch)"""
-    q["label_lookup"] = f"""WITH {EXTREMA} {WINDOWS} {ONE}, l AS (SELECT w.window_id, count(*) AS k FROM win w JOIN extrema e ON e.channel = 'click' AND e.idx BETWEEN w.window_id AND w.window_id + 23 GROUP BY 1)
+    q["label_lookup"] = f"""WITH {EXTREMA} {WINDOWS} {ONE}, l AS (SELECT w.window_id, count(*) AS k FROM win w JOIN extrema e ON e.sign = 'max' AND e.amplitude > 20 AND e.idx BETWEEN w.window_id AND w.window_id + 23 GROUP BY 1)
       SELECT block_id, coalesce(k, -1) AS pattern_id, count(*) AS n FROM one LEFT JOIN l USING (window_id) GROUP BY 1, 2"""
     q["nearest_prototype"] = f"WITH {VECTORS} SELECT id, pattern_id, {rs('distance second_distance', 5)} FROM near"
     q["lloyd_step"] = f"WITH {VECTORS} SELECT n.pattern_id, CAST(pos AS INTEGER) AS pos, {r('value', 6, 'avg(x)')}, count(*) AS n FROM pts JOIN near n USING (id) GROUP BY 1, 2"

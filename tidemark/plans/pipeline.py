@@ -94,3 +94,94 @@ def ridge_forecast(vectors: DataFrame, targets: DataFrame, penalty: float = 1.0)
     a = g[:-1, :-1] + penalty * np.diag([1.0] * (n - 2) + [0.0])
     w = np.linalg.solve(a, g[:-1, -1])
     return w[:-1].tolist(), float(w[-1])
+
+
+def feature_vectors(intra: DataFrame, channels: list[str]) -> DataFrame:
+    """window_id, v: the intra features of all channels, by channel."""
+    own = F.struct("channel", F.array(*[F.col(n).cast("double") for n in windows.INTRA]).alias("f"))
+    by = intra.filter(F.col("channel").isin(*channels)).groupBy("window_id").agg(F.array_sort(F.collect_list(own)).alias("c"))
+    return by.select("window_id", F.flatten(F.transform("c", lambda c: c["f"])).alias("v"))
+
+
+def ridge_fits(rows: DataFrame, keys: tuple[str, ...], penalty: float = 1.0) -> DataFrame:
+    """keys, w, b: a ridge regression of y on v for each key. Normal equations are summed up in tasks and by key, and solved
+    where their sums meet; their size is the vector's squared.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def sums(frames):
+        total: dict[tuple, np.ndarray] = {}
+        for f in frames:
+            for k, g in f.groupby(list(keys)):
+                x = np.column_stack([np.stack(g["v"].to_numpy()), np.ones(len(g)), g["y"].to_numpy()])
+                total[k] = total.get(k, 0) + x.T @ x
+        if total:
+            yield pd.DataFrame([(*k, g.ravel().tolist()) for k, g in total.items()], columns=[*keys, "g"])
+
+    def solved(g: pd.DataFrame) -> pd.DataFrame:
+        a = np.sum(np.stack(g["g"].to_numpy()), axis=0)
+        n = int(round(len(a) ** 0.5))
+        a = a.reshape(n, n)
+        w = np.linalg.solve(a[:-1, :-1] + penalty * np.diag([1.0] * (n - 2) + [0.0]), a[:-1, -1])
+        return pd.DataFrame([(*[g[k].iloc[0] for k in keys], w[:-1].tolist(), float(w[-1]))], columns=[*keys, "w", "b"])
+
+    key_types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.select(*keys).schema)
+    parts = rows.select(*keys, "v", F.col("y").cast("double").alias("y")).mapInPandas(sums, key_types + "g array<double>")
+    return parts.groupBy(*keys).applyInPandas(solved, key_types + "w array<double>, b double")
+
+
+def backtest(vectors: DataFrame, series: DataFrame, length: int = 24, horizons: int = 24, penalty: float = 1.0, value: str = "s") -> DataFrame:
+    """split, channel, horizon (null: all) and errors of ridge forecasts and of the last value on validation and test windows.
+
+    A window's forecasts are made at its last step; windows are split in order, and those whose targets reach past the training
+    windows aren't fitted on.
+    """
+    placed = samples.chronological_split(vectors.select("window_id"), "window_id").select("window_id", "split", (F.col("window_id") + length - 1).alias("idx"))
+    last = placed.filter("split = 'train'").agg(F.max("idx").alias("_last"))
+    known = series.filter(F.col(value).isNotNull()).select("channel", F.col("idx").alias("at"), F.col(value).alias("y"))
+    ask = placed.withColumn("horizon", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizons).cast("long")))).withColumn("at", F.col("idx") + F.col("horizon"))
+    train = ask.filter("split = 'train'").join(F.broadcast(last)).filter("at <= _last").join(known, "at").join(vectors, "window_id")
+    fits = ridge_fits(train.select("channel", "horizon", "v", "y"), ("channel", "horizon"), penalty)
+    later = ask.filter("split <> 'train'").join(vectors, "window_id").join(F.broadcast(fits), "horizon")  # a row a channel and horizon
+    made = later.select("split", "channel", "idx", "horizon", (F.aggregate(F.zip_with("v", "w", lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x) + F.col("b")).alias("prediction"))
+    joined = metrics.with_actual(made, series, value)
+    out = None
+    for name in ("validation", "test"):
+        part = metrics.errors(joined.filter(F.col("split") == name)).withColumn("split", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def save_fits(fits: DataFrame, path: str) -> None:
+    """Weights as a table; load_fits reads them back."""
+    fits.write.mode("overwrite").parquet(path)
+
+
+def load_fits(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("channel", "horizon", "w", "b")
+
+
+def segments_as_windows(pieces: DataFrame, series: DataFrame, value: str = "s") -> DataFrame:
+    """Pieces of joint dynamics as pattern windows: window_id, start_idx, end_idx, and by channel the deviations and starts as maps."""
+    starts = series.select("channel", F.col("idx").alias("start_idx"), F.col(value).alias("x0"))
+    both = pieces.select("segment_id", "start_idx", "end_idx", "channel", "std").join(starts, ["channel", "start_idx"], "left")
+    entries = F.array_sort(F.collect_list(F.struct("channel", F.coalesce("std", F.lit(0.0)).alias("std"), F.coalesce("x0", F.lit(0.0)).alias("x0"))))
+    out = both.groupBy(F.col("segment_id").alias("window_id"), "start_idx", "end_idx").agg(entries.alias("e"))
+    maps = [F.map_from_arrays(F.col("e")["channel"], F.col("e")[k]).alias(n) for k, n in (("std", "channel_stds"), ("x0", "channel_x0"))]
+    return out.select("window_id", "start_idx", "end_idx", *maps)
+
+
+def discover_patterns(points: DataFrame, strategy: str = "structural", segmentation: str = "extrema") -> tuple[DataFrame, DataFrame]:
+    """(labels, prototypes) of points (id, v) by strategy: structural (leaders), kmeans or kmedoids; dynamics always take medoids."""
+    if segmentation == "new_physics":
+        strategy = "kmedoids"
+    if strategy == "structural":
+        table, _ = clustering.leader_clusters(points)
+    elif strategy == "kmeans":
+        table = clustering.select_k(points, range(8, 33, 4), rounds=50)[3]
+    elif strategy == "kmedoids":
+        table, _ = clustering.select_medoids(points)
+    else:
+        raise ValueError(f"unknown discovery strategy: {strategy}")
+    return clustering.nearest(points, table).select("id", "pattern_id"), table

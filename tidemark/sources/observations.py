@@ -15,18 +15,27 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the files with the file and the place of each in it; one split per file keeps their order known."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("lines"))
-    return whole.select("file", F.posexplode("lines").alias("n", "line"))
+    """Lines of the files with file and n, an order of the lines in each: the split's place in the file, then the line's in the
+    split. Files are read in splits, a line at a time.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line")).alias("n"), F.col("value").alias("line"))
+    return lines.withColumn("line", F.regexp_replace("line", "\r$", ""))
+
+
+def _starts(lines: DataFrame, header: str) -> DataFrame:
+    """One row a file: file and the n of its table's header, null if it has none."""
+    return lines.groupBy("file").agg(F.min(F.when(F.lower("line").startswith(header), F.col("n"))).alias("start"))
 
 
 def read_raw(spark: SparkSession, path: str, columns: Sequence[str] = COLUMNS, header: str = "date,") -> DataFrame:
-    """String columns by position, with file and n. In each file the table starts after the first line that begins with ``header``
-    in any case; a file without one is an error. Cells are trimmed, missing ones null; short lines are filled with nulls.
+    """String columns by position, with file and n (ordered as the lines are). In each file the table starts after the first line that
+    begins with ``header`` in any case; a file without one is an error. Cells are trimmed, missing ones null; short lines are filled
+    with nulls.
     """
     lines = _lines(spark, path)
-    start = lines.groupBy("file").agg(F.min(F.when(F.lower("line").startswith(header), F.col("n"))).alias("start"))
-    start = start.withColumn("start", F.when(F.col("start").isNull(), F.raise_error(F.concat(F.lit("no table header in "), "file")).cast("int")).otherwise(F.col("start")))
+    start = _starts(lines, header)
+    missing = F.raise_error(F.concat(F.lit("no table header in "), "file")).cast(start.schema["start"].dataType)
+    start = start.withColumn("start", F.when(F.col("start").isNull(), missing).otherwise(F.col("start")))
     rows = lines.join(F.broadcast(start), "file").filter((F.col("n") > F.col("start")) & (F.trim("line") != ""))
     cells = F.split("line", ",", -1)
     clean = lambda c: F.when(~F.coalesce(F.trim(c), F.lit("")).isin(*MISSING), F.trim(c))
@@ -36,8 +45,7 @@ def read_raw(spark: SparkSession, path: str, columns: Sequence[str] = COLUMNS, h
 def read_preamble(spark: SparkSession, path: str, header: str = "date,") -> DataFrame:
     """The lines before the table of each file: file, n, line."""
     lines = _lines(spark, path)
-    start = lines.groupBy("file").agg(F.min(F.when(F.lower("line").startswith(header), F.col("n"))).alias("start"))
-    return lines.join(F.broadcast(start), "file").filter(F.col("n") < F.coalesce("start", F.col("n") + 1)).select("file", "n", "line")
+    return lines.join(F.broadcast(_starts(lines, header)), "file").filter(F.col("start").isNull() | (F.col("n") < F.col("start"))).select("file", "n", "line")
 
 
 def parse_time(c, pattern: str = "dd-MMM-yyyy HH:mm"):
@@ -99,3 +107,8 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 def labels_of(prototypes: DataFrame) -> DataFrame:
     """window_id, pattern_id from prototypes with arrays of their members."""
     return prototypes.select(F.explode("members").alias("window_id"), "pattern_id")
+
+
+def read_physics_context(windows: DataFrame) -> DataFrame:
+    """window_id, channel_stds, channel_x0 of windows that have deviations; other columns aren't read."""
+    return windows.select("window_id", "channel_stds", "channel_x0").filter(F.size("channel_stds") > 0)
