@@ -47,23 +47,25 @@ def centroids(points: DataFrame, labels: DataFrame, id_col: str = "id", vector:
     return each.groupBy("pattern_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias(vector))
 
 
+def first_points(points: DataFrame, k: int, seed: int, id_col: str, vector: str) -> np.ndarray:
+    """k points drawn by a hash of id and seed."""
+    start = points.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).select(vector).limit(k).collect()
+    return np.array([[float(x) for x in r[0]] for r in start])
+
+
 def kmeans(points: DataFrame, k: int, rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> tuple[DataFrame, DataFrame]:
     """(labels, prototypes). Starts from k points drawn by a hash of id and seed; an empty cluster keeps its place.
 
     Only the k prototypes come to the driver between rounds; it stops when they don't move.
     """
-    spark = points.sparkSession
-    start = points.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).select(vector).limit(k).collect()
-    now = [(i, [float(x) for x in r[0]]) for i, r in enumerate(start)]
-    schema = f"pattern_id int, {vector} array<double>"
-    for _ in range(rounds):
-        table = spark.createDataFrame(now, schema)
-        moved = {(r["pattern_id"], r["pos"]): r["value"] for r in lloyd_step(points, table, id_col, vector).collect()}  # k x d rows
-        new = [(i, [moved.get((i, p), x) for p, x in enumerate(v)]) for i, v in now]
-        if new == now:
+    now = first_points(points, k, seed, id_col, vector)
+    for _ in range(rounds if len(now) else 0):
+        sums = cluster_sums(points, now, vector)
+        new = np.array([sums[i][1] if i in sums else v for i, v in enumerate(now)])
+        if np.allclose(new, now, rtol=0, atol=1e-12):
             break
         now = new
-    table = spark.createDataFrame(now, schema)
+    table = as_table(points, list(enumerate(now)), vector)
     return nearest(points, table, id_col, vector), table
 
 
@@ -88,9 +90,9 @@ def select_k(points: DataFrame, candidates: Sequence[int], rounds: int = 10, see
         labels, table = kmeans(kept, k, rounds, seed, id_col, vector)
         scores[k] = float(quality(labels).first()["quality"] or 0.0)
         if best is None or scores[k] > scores[best[0]]:
-            best = (k, table)
+            best = (k, labels, table)
     kept.unpersist()
-    return best[0], scores, nearest(points, best[1], id_col, vector), best[1]
+    return best[0], scores, best[1], best[2]
 
 
 def sample(points: DataFrame, n: int, seed: int = 42, id_col: str = "id", vector: str = "v") -> tuple[list, np.ndarray]:
@@ -139,19 +141,62 @@ def silhouette(distances: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(top > 0, (b - a) / np.where(top > 0, top, 1), 0).mean())
 
 
-def cluster_sums(points: DataFrame, table: DataFrame, id_col: str = "id", vector: str = "v") -> dict[int, tuple[int, np.ndarray, float]]:
-    """By pattern of ``table``, of which k rows reach the driver: (count, mean, mean squared distance to it) of its points."""
-    labels = nearest(points, table, id_col, vector).select(id_col, "pattern_id")
-    x = F.col("x").cast("double")
-    each = points.join(labels, id_col).select("pattern_id", F.posexplode(vector).alias("pos", "x")).groupBy("pattern_id", "pos")
-    rows = each.agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("m"), F.var_pop(x).alias("v")).collect()
-    out: dict[int, tuple[int, np.ndarray, float]] = {}
-    for k in {r["pattern_id"] for r in rows}:
-        own = sorted((r for r in rows if r["pattern_id"] == k), key=lambda r: r["pos"])
-        out[k] = (own[0]["n"], np.array([r["m"] for r in own]), float(sum(r["v"] for r in own)))
+def assigned(x: np.ndarray, prototypes: np.ndarray) -> np.ndarray:
+    """The nearest prototype of each row; the first on a tie."""
+    return np.stack([np.round(((x - p) ** 2).sum(1), 9) for p in prototypes], 1).argmin(1)
+
+
+def cluster_sums(points: DataFrame, prototypes: np.ndarray, vector: str = "v") -> dict[int, tuple[int, np.ndarray, float]]:
+    """By number of the prototypes (k rows): (count, mean, mean squared distance to it) of the points nearest to it. Tasks send a sum per
+    cluster, which are added up by cluster.
+    """
+    import pandas as pd
+
+    schema = "pattern_id int, n long, s array<double>, q double"
+
+    def sums(frames):
+        n, s, q = np.zeros(len(prototypes)), np.zeros(prototypes.shape), np.zeros(len(prototypes))
+        for f in frames:
+            if len(f):
+                x = np.stack(f[vector].to_numpy()).astype(float)
+                label = assigned(x, prototypes)
+                np.add.at(n, label, 1)
+                np.add.at(s, label, x)
+                np.add.at(q, label, (x * x).sum(1))
+        live = np.flatnonzero(n)
+        yield pd.DataFrame({"pattern_id": live, "n": n[live].astype(np.int64), "s": list(s[live]), "q": q[live]})
+
+    def added(g):
+        return pd.DataFrame({"pattern_id": g["pattern_id"][:1], "n": [g["n"].sum()], "s": [np.stack(g["s"].to_numpy()).sum(0)], "q": [g["q"].sum()]})
+
+    rows = points.select(vector).mapInPandas(sums, schema).groupBy("pattern_id").applyInPandas(added, schema).collect()
+    out = {}
+    for r in rows:
+        mean = np.array(r["s"]) / r["n"]
+        out[r["pattern_id"]] = (r["n"], mean, max(r["q"] / r["n"] - float(mean @ mean), 0.0))
     return out
 
 
+def next_to_means(points: DataFrame, prototypes: np.ndarray, means: dict[int, np.ndarray], id_col: str = "id", vector: str = "v") -> dict[int, list[float]]:
+    """By cluster, its point that is next to the cluster's mean; the smallest id on a tie."""
+    import pandas as pd
+
+    def best(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            x = np.stack(f[vector].to_numpy()).astype(float)
+            label = assigned(x, prototypes)
+            for j in np.unique(label):
+                own = np.flatnonzero(label == j)
+                d = np.round(((x[own] - means[j]) ** 2).sum(1), 9)
+                first = own[np.lexsort((f[id_col].to_numpy()[own], d))[0]]
+                yield pd.DataFrame({"pattern_id": [j], "d": [d.min()], "id": [f[id_col].iloc[first]], "v": [x[first]]})
+
+    rows = points.select(id_col, vector).mapInPandas(best, f"pattern_id int, d double, id {points.schema[id_col].dataType.simpleString()}, v array<double>")
+    return {r["pattern_id"]: list(r["v"]) for r in rows.groupBy("pattern_id").agg(F.min_by("v", F.struct("d", "id")).alias("v")).collect()}
+
+
 def as_table(points: DataFrame, rows: list[tuple[int, Sequence[float]]], vector: str = "v") -> DataFrame:
     return points.sparkSession.createDataFrame([(int(k), [float(x) for x in v]) for k, v in rows], f"pattern_id int, {vector} array<double>")
 
@@ -160,19 +205,15 @@ def medoids(points: DataFrame, k: int, rounds: int = 50, seed: int = 42, id_col:
     """Medoids (pattern_id, v) of all points under squared distance: the member with the least sum of distances is the one next to
     its cluster's mean. Ties go to the smallest id; an empty cluster keeps its medoid. Starts from k points drawn by a hash.
     """
-    start = points.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).select(vector).limit(k).collect()
-    now = [(i, [float(x) for x in r[0]]) for i, r in enumerate(start)]
-    for _ in range(rounds):
-        table = as_table(points, now, vector)
-        means = as_table(points, [(j, m) for j, (_, m, _) in cluster_sums(points, table, id_col, vector).items()], vector).withColumnRenamed(vector, "_m")
-        own = points.join(nearest(points, table, id_col, vector).select(id_col, "pattern_id"), id_col).join(F.broadcast(means), "pattern_id")
-        d = F.round(squared_distance(F.col(vector), F.col("_m")), 9)
-        best = {r["pattern_id"]: r["v"] for r in own.groupBy("pattern_id").agg(F.min_by(vector, F.struct(d.alias("d"), F.col(id_col).alias("i"))).alias("v")).collect()}
-        new = [(i, [float(x) for x in best.get(i, v)]) for i, v in now]
-        if new == now:
+    now = first_points(points, k, seed, id_col, vector)
+    for _ in range(rounds if len(now) else 0):
+        means = {j: m for j, (_, m, _) in cluster_sums(points, now, vector).items()}
+        best = next_to_means(points, now, means, id_col, vector)
+        new = np.array([best.get(i, v) for i, v in enumerate(now.tolist())])
+        if np.array_equal(new, now):
             break
         now = new
-    return as_table(points, now, vector)
+    return as_table(points, list(enumerate(now)), vector)
 
 
 def silhouette_of(points: DataFrame, table: DataFrame, id_col: str = "id", vector: str = "v") -> float:
@@ -180,19 +221,29 @@ def silhouette_of(points: DataFrame, table: DataFrame, id_col: str = "id", vecto
 
     A point's mean distance to a cluster is that to its mean plus the cluster's variance; its own cluster counts it too.
     """
-    sums = cluster_sums(points, table, id_col, vector)
+    prototypes = np.array([r[vector] for r in table.orderBy("pattern_id").collect()])  # k rows
+    sums = cluster_sums(points, prototypes, vector) if len(prototypes) else {}
     if len(sums) < 2:
         return 0.0
     order = sorted(sums)
-    clusters = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(sums[j][2]).alias("w"), F.array(*[F.lit(float(x)) for x in sums[j][1]]).alias("m")) for j in order])
-    labelled = points.join(nearest(points, table, id_col, vector).select(id_col, "pattern_id"), id_col)
-    d = F.transform(clusters, lambda c: F.struct(c["j"].alias("j"), (squared_distance(F.col(vector), c["m"]) + c["w"]).alias("d")))
-    far = labelled.withColumn("_d", d)
-    a = F.filter("_d", lambda x: x["j"] == F.col("pattern_id"))[0]["d"]
-    b = F.array_min(F.transform(F.filter("_d", lambda x: x["j"] != F.col("pattern_id")), lambda x: x["d"]))
-    score = far.select(((b - a) / F.greatest(a, b, F.lit(1e-9))).alias("s")).agg(F.avg("s")).first()[0]
+    means, spread = np.stack([sums[j][1] for j in order]), np.array([sums[j][2] for j in order])
+
+    def scores(frames):
+        import pandas as pd
+
+        for f in frames:
+            if len(f):
+                x = np.stack(f[vector].to_numpy()).astype(float)
+                own = np.searchsorted(order, assigned(x, prototypes))
+                d = np.stack([((x - m) ** 2).sum(1) for m in means], 1) + spread
+                a = d[np.arange(len(x)), own].copy()
+                d[np.arange(len(x)), own] = np.inf
+                b = d.min(1)
+                yield pd.DataFrame({"s": (b - a) / np.maximum(np.maximum(a, b), 1e-9)})
+
+    score = points.select(vector).mapInPandas(scores, "s double").agg(F.avg("s")).first()[0]
     sizes = [sums[j][0] for j in order]
-    return float(score) * min(sizes) / sum(sizes) * len(table.collect())  # k rows
+    return float(score) * min(sizes) / sum(sizes) * len(prototypes)
 
 
 def select_medoids(points: DataFrame, candidates: Sequence[int] = range(8, 33, 4), rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> tuple[DataFrame, dict[int, float]]:
