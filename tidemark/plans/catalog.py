@@ -15,7 +15,6 @@ from tidemark.operators import clustering, decode, events, histories, metrics, p
 from tidemark.plans import pipeline
 
 COMPOUND = ("purchase", "view")
-NUDGE = 3.14159
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -23,11 +22,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to a number of places, without negative zeros. A small part of the last place is added first, so that values
-    half-way between two results, which are frequent, don't fall to either side by the last bit of a sum.
+    """Doubles to a number of places, halves away from zero: as decimals of twelve places, which float error doesn't reach, so that
+    a half is a half in every engine.
     """
-    nudge = NUDGE * 10 ** -(places + 3)
-    return df.select(*[(F.round(F.col(c) + nudge, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(c).cast("decimal(38,12)"), places).cast("double").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:

@@ -90,7 +90,7 @@ near AS (SELECT a.id, a.pattern_id, sqrt(a.d2) AS distance, sqrt(b.d2) AS second
 
 
 def r(name: str, places: int = 6, expr: str | None = None) -> str:
-    return f"round(({expr or name}) + 3.14159e-{places + 3}, {places}) + 0.0 AS {name}"
+    return f"CAST(round(CAST(({expr or name}) AS DECIMAL(38, 12)), {places}) AS DOUBLE) AS {name}"
 
 
 def rs(names: str, places: int = 6) -> str:
