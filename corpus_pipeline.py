@@ -1,4 +1,8 @@
-"""A training corpus from documents in five stages, each one operator of tidemark.llm."""
+"""A training corpus from documents in five stages, each one operator of tidemark.llm.
+
+Rows are told apart by doc_id: rows that share one share every decision, rows without one pass the filters. Null and empty texts
+are scored like others and packed as their end id alone; an empty table stays one. Columns beyond those of documents are dropped.
+"""
 
 from __future__ import annotations
 
