@@ -62,3 +62,17 @@ def test_empty_documents(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, data))
     assert docs.count() == 0
+
+
+def test_rows_without_or_with_the_same_id(spark, data):
+    """Nulls in every column, empty texts, repeated rows and columns of other names pass through all stages."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60)
+    good = docs.orderBy("doc_id").first()
+    odd = spark.createDataFrame([(None, good.text, None, None, None), (None, None, None, None, None), (10**9, None, None, None, None), (10**9 + 1, "", "en", "s", 0), (good.doc_id, good.text, good.lang, good.source, good.n_chars)], docs.schema)
+    out = docs.unionByName(odd).selectExpr("*", "'x' as part", "1 as id", "'y' as chunk")
+    for name, stage in corpus_pipeline.STAGES:
+        out = written(stage(spark, out, data))
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert out.filter("doc_id is null").count() == 2, name
+    assert out.count() > 0 and out.filter("doc_id is null").select("doc_tokens").distinct().count() >= 1
