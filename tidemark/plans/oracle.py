@@ -79,6 +79,65 @@ segs AS (
     intercept AS L, slope AS c, mean - intercept AS A, slope AS B, abs(slope) AS rms FROM fits)
 """
 )
+#: Each step's best predictor by regression over frames, then short runs: within a stretch of known labels the first runs take the label of
+#: the run at which they reach three steps together, later short ones that of the run before.
+REGIMES = (
+    SIGNAL
+    + """,
+lagged AS (
+  SELECT channel, idx, s, lag(s, 1) OVER o AS x1, lag(s, 2) OVER o AS x2, lag(s, 3) OVER o AS x3, count(s) OVER (o ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS n FROM sig WINDOW o AS (PARTITION BY channel ORDER BY idx)),
+moments AS (
+  SELECT *, avg(s) OVER f AS my, avg(x1) OVER f AS ma, avg(x2) OVER f AS mb, covar_pop(s, x1) OVER f AS ya, covar_pop(s, x2) OVER f AS yb, covar_pop(x1, x2) OVER f AS ab, var_pop(x1) OVER f AS va, var_pop(x2) OVER f AS vb
+  FROM lagged WINDOW f AS (PARTITION BY channel ORDER BY idx ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING)),
+guessed AS (
+  SELECT channel, idx, n = 24 AND s IS NOT NULL AS known, abs(s - x1) AS e0, abs(s - (2 * x1 - x2)) AS e1, abs(s - (3 * x1 - 3 * x2 + x3)) AS e2,
+    abs(s - (my + (ya * vb - yb * ab) / (va * vb - ab * ab) * (x1 - ma) + (yb * va - ya * ab) / (va * vb - ab * ab) * (x2 - mb))) AS e3 FROM moments),
+best AS (
+  SELECT channel, idx, CASE WHEN NOT known THEN NULL WHEN e0 <= least(e1, e2, e3) THEN 'level' WHEN e1 <= least(e2, e3) THEN 'velocity' WHEN e2 <= e3 THEN 'acceleration' ELSE 'local_ar2' END AS label FROM guessed),
+turns AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY channel ORDER BY idx) THEN 1 ELSE 0 END AS turn FROM best),
+numbered AS (SELECT *, sum(turn) OVER (PARTITION BY channel ORDER BY idx) AS run FROM turns),
+runs AS (SELECT channel, run, max(label) AS label, count(*) AS n FROM numbered GROUP BY 1, 2),
+stretches AS (SELECT *, sum(CASE WHEN label IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY run) AS part FROM runs),
+reached AS (SELECT *, sum(n) OVER (PARTITION BY channel, part ORDER BY run) AS so_far FROM stretches WHERE label IS NOT NULL),
+heads AS (SELECT channel, part, coalesce(min(CASE WHEN so_far >= 3 THEN run END), max(run)) AS head FROM reached GROUP BY 1, 2),
+named AS (
+  SELECT r.channel, r.run, coalesce(last_value(CASE WHEN r.run = h.head OR (r.run > h.head AND r.n >= 3) THEN r.label END IGNORE NULLS) OVER (PARTITION BY r.channel, r.part ORDER BY r.run), max(CASE WHEN r.run = h.head THEN r.label END) OVER (PARTITION BY r.channel, r.part)) AS label
+  FROM reached r JOIN heads h USING (channel, part)),
+labels AS (SELECT b.channel, b.idx, m.label FROM numbered b LEFT JOIN named m USING (channel, run)),
+followed AS (SELECT *, lag(label) OVER (PARTITION BY channel ORDER BY idx) AS was FROM labels),
+switches AS (SELECT idx, CAST(sum(CASE WHEN label <> was THEN 1 ELSE 0 END) AS BIGINT) AS n_changed FROM followed GROUP BY 1)
+"""
+)
+BLOCKS = (
+    REGIMES
+    + """,
+final AS (SELECT max(idx) + 1 AS n FROM labels),
+cuts AS (SELECT 24 AS a UNION SELECT idx FROM switches WHERE n_changed >= 2 AND idx > 24),
+spans AS (SELECT a, lead(a, 1, n) OVER (ORDER BY a) AS b FROM cuts, final WHERE n > 25),
+grown AS (SELECT *, sum(b - a) OVER (ORDER BY a) AS so_far FROM spans),
+start AS (SELECT coalesce(min(CASE WHEN so_far >= 6 THEN a END), max(a)) AS head FROM grown),
+firsts AS (SELECT a FROM spans, start WHERE a = 24 OR (a > head AND b - a >= 6)),
+blocks AS (SELECT row_number() OVER (ORDER BY a) - 1 AS block_id, CAST(a AS BIGINT) AS start_idx, CAST(lead(a, 1, n) OVER (ORDER BY a) - 1 AS BIGINT) AS end_idx FROM firsts, final)
+"""
+)
+#: The four predictors over known values. Below five values before it the regression isn't unique and has the least norm: one equation's or two equations' own.
+BOARD = (
+    SIGNAL
+    + """,
+y AS (SELECT channel, s AS y, row_number() OVER (PARTITION BY channel ORDER BY idx) AS p, count(*) OVER (PARTITION BY channel) AS size FROM sig WHERE s IS NOT NULL),
+x AS (SELECT *, lag(y, 1) OVER o AS x1, lag(y, 2) OVER o AS x2, lag(y, 3) OVER o AS x3, lag(y, 4) OVER o AS x4 FROM y WHERE size >= 8 WINDOW o AS (PARTITION BY channel ORDER BY p)),
+whole AS (SELECT *, CASE WHEN p > 2 THEN y END AS t, CASE WHEN p > 2 THEN x1 END AS a, CASE WHEN p > 2 THEN x2 END AS b FROM x),
+m AS (
+  SELECT *, avg(t) OVER f AS my, avg(a) OVER f AS ma, avg(b) OVER f AS mb, covar_pop(t, a) OVER f AS ya, covar_pop(t, b) OVER f AS yb, covar_pop(a, b) OVER f AS ab, var_pop(a) OVER f AS va, var_pop(b) OVER f AS vb
+  FROM whole WINDOW f AS (PARTITION BY channel ORDER BY p ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING)),
+gram AS (SELECT *, 1 + x2 * x2 + x3 * x3 AS g11, 1 + x2 * x3 + x3 * x4 AS g12, 1 + x3 * x3 + x4 * x4 AS g22, 1 + x2 * x1 + x3 * x2 AS q1, 1 + x3 * x1 + x4 * x2 AS q2 FROM m),
+errors AS (
+  SELECT channel, p, abs(y - x1) AS e0, abs(y - (2 * x1 - x2)) AS e1, abs(y - (3 * x1 - 3 * x2 + x3)) AS e2,
+    abs(y - CASE WHEN p < 4 THEN NULL WHEN p = 4 THEN x1 * q1 / g11 WHEN p = 5 THEN ((x1 * g22 - x2 * g12) * q1 + (x2 * g11 - x1 * g12) * q2) / (g11 * g22 - g12 * g12)
+      ELSE my + (ya * vb - yb * ab) / (va * vb - ab * ab) * (x1 - ma) + (yb * va - ya * ab) / (va * vb - ab * ab) * (x2 - mb) END) AS e3 FROM gram),
+long AS (SELECT channel, unnest(['level', 'velocity', 'acceleration', 'local_ar2']) AS predictor, unnest([e0, e1, e2, e3]) AS e FROM errors)
+"""
+)
 VALUE = "CASE eq_type WHEN 'linear' THEN L + c * ({t}) WHEN 'harmonic' THEN L + A * cos(2 * pi() / 24 * ({t})) + B * sin(2 * pi() / 24 * ({t})) ELSE L END"
 VECTORS = """
 pts AS (SELECT vec_id AS id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
@@ -281,4 +340,14 @@ def oracle_sql() -> dict[str, str]:
     q["lloyd_step"] = f"WITH {VECTORS} SELECT n.pattern_id, CAST(pos AS INTEGER) AS pos, {r('value', 6, 'avg(x)')}, count(*) AS n FROM pts JOIN near n USING (id) GROUP BY 1, 2"
     q["cluster_quality"] = f"""WITH {VECTORS}, b AS (SELECT pattern_id, count(*) AS n, sum(coalesce((second_distance - distance) / nullif(greatest(distance, second_distance), 0), 0)) AS s FROM near GROUP BY 1),
       o AS (SELECT count(*) AS n_clusters, sum(s) / sum(n) AS separation, min(n) / avg(n) AS balance FROM b) SELECT n_clusters, {rs("separation balance")}, {r("quality", 6, "separation * balance")} FROM o"""
+    q["predictor_board"] = f"WITH {BOARD} SELECT channel, predictor, count(e) AS n, {r('mae', 6, 'avg(e)')} FROM long GROUP BY 1, 2"
+    q["regime_labels"] = f"WITH {REGIMES} SELECT channel, idx, label FROM labels"
+    q["switch_counts"] = f"WITH {REGIMES} SELECT idx, n_changed FROM switches"
+    q["regime_blocks"] = f"WITH {BLOCKS} SELECT block_id, start_idx, end_idx FROM blocks"
+    q["hierarchical_windows"] = f"""WITH {BLOCKS}, w AS (SELECT block_id, unnest(generate_series(start_idx, end_idx - 23)) AS start_idx FROM blocks WHERE end_idx - start_idx >= 23)
+      SELECT block_id, start_idx, start_idx + 23 AS end_idx FROM w"""
+    q["top_signatures"] = f"""WITH {BLOCKS}, own AS (SELECT b.block_id, b.end_idx - b.start_idx + 1 AS steps, l.channel || '=' || coalesce(l.label, 'none') AS part FROM blocks b JOIN labels l ON l.idx = b.start_idx),
+      signatures AS (SELECT block_id, steps, string_agg(part, ',' ORDER BY part) AS signature FROM own GROUP BY 1, 2)
+      SELECT signature, CAST(sum(steps) AS BIGINT) AS steps FROM signatures GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12"""
+    q["label_shares"] = f"WITH {REGIMES}, n AS (SELECT channel, label, count(*) AS n FROM labels GROUP BY 1, 2) SELECT channel, label, n, {r('share', 6, 'n / sum(n) OVER (PARTITION BY channel)')} FROM n"
     return q
