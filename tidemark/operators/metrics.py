@@ -73,3 +73,9 @@ def payload(by_channel: DataFrame, first: int = 5) -> DataFrame:
 def longest(df: DataFrame, by: str, ties: list[str], k: int = 20) -> DataFrame:
     """The k rows with the greatest ``by``; ties by the named columns."""
     return df.orderBy(F.desc(by), *ties).limit(k)
+
+
+def shares(df: DataFrame, keys: tuple[str, ...], kind: str) -> DataFrame:
+    """keys, kind, n and the kind's share of the key's rows."""
+    n = df.groupBy(*keys, kind).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))

@@ -151,6 +151,32 @@ def next_targets(series: DataFrame, value: str = "x", hours: int = 24, keys: tup
     return got.select(*keys, "idx", F.transform("_v", lambda v: v - F.col(value)).alias("target"))
 
 
+def padded_targets(rows: DataFrame, v: str = "v", count: int = 48, order: str = "segment_id", keys: tuple[str, ...] = ("channel",)) -> DataFrame:
+    """keys, the order, targets and n_valid: the vectors of the next ``count`` rows, filled up with vectors of zeros; the first
+    n_valid are real. One frame over one sort.
+    """
+    ahead = Window.partitionBy(*keys).orderBy(order).rowsBetween(1, count)
+    got = rows.select(*keys, order, v).withColumn("_next", F.collect_list(v).over(ahead))
+    zeros = F.transform(F.col(v), lambda x: F.lit(0.0).cast("double"))
+    fill = F.array_repeat(zeros, count - F.size("_next"))
+    return got.select(*keys, order, F.concat("_next", fill).alias("targets"), F.size("_next").cast("long").alias("n_valid"))
+
+
+def place_range(df: DataFrame, skip: int = 0, limit: int | None = None, order: str = "start_idx", keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with pos: the rows from place ``skip`` on in the order, at most ``limit`` of them."""
+    out = numbered(df, order, keys).filter(F.col("pos") >= skip)
+    return out if limit is None else out.filter(F.col("pos") < skip + limit)
+
+
+def last_rows(df: DataFrame, count: int, order: str, keys: tuple[str, ...] = ("channel",), before: object = None) -> DataFrame:
+    """The last ``count`` rows of each series in the order, of those before a bound if there is one; place 0 is the earliest of them."""
+    if before is not None:
+        df = df.filter(F.col(order) < before)
+    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+    back = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= count)
+    return back.withColumn("place", F.max("_r").over(Window.partitionBy(*keys)) - F.col("_r")).drop("_r")
+
+
 def running_k(durations: Column, total: float, most: int, order: str, keys: tuple[str, ...] = ()) -> Column:
     """How many items, taken in order, it takes for their durations to reach ``total``; at most ``most``. A frame column."""
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

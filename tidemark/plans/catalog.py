@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import clustering, decode, events, histories, metrics, pairs, predictors, samples, segments, signal, structure, windows
 from tidemark.plans import pipeline
+from tidemark.sources import observations, sinks
+from tidemark.streaming import grid as streams
 
 COMPOUND = ("purchase", "view")
 
@@ -367,6 +369,107 @@ def cluster_quality(spark, d):
     return rounded(clustering.quality(clustering.nearest(vectors(spark, d), _prototypes(spark, d))))
 
 
+# Through files of other formats, written from the tables in the shared folder and read back.
+
+
+def observations_csv(spark, d):
+    """Each event a line of an observation file, below a preamble: values and flags, some missing or unreadable, times of minutes."""
+    cells = ["lower(date_format(ts, 'dd-MMM-yyyy HH:mm'))", "user_id % 4", "value", "case when user_id % 5 < 4 then string(user_id % 5) else ' ' end", "case when event_id % 9 = 0 then 'x' else string(value * 2) end"]
+    e = table(spark, d, "events").select("event_id", F.concat_ws(",", *[F.coalesce(F.expr(c).cast("string"), F.lit("")) for c in cells]).alias("line"))
+    path = sinks.fresh_path(spark)
+    sinks.write_lines(e, path, "event_id", ("Station: events", "values, flags", "Date,ind,rain,ind,temp"))
+    return rounded(observations.read_observations(spark, path).select("ts", "rainfall", "temperature", "pressure", "rain_quality", "temp_quality"))
+
+
+def history_json_lines(spark, d):
+    """Histories of windows as compressed JSON lines and back."""
+    path = sinks.fresh_path(spark)
+    sinks.write_json_lines(samples.history_frames(window_table(spark, d)).select("window_id", "history_ids"), path)
+    back = observations.read_json_lines(spark, path, "window_id long, history_ids array<long>")
+    return back.select("window_id", F.posexplode("history_ids").alias("place", "member_id")).withColumn("place", F.col("place").cast("long"))
+
+
+def history_flat_csv(spark, d):
+    """Histories of windows as CSV with arrays as text, and back."""
+    path = sinks.fresh_path(spark)
+    sinks.write_csv(samples.history_frames(window_table(spark, d)).select("window_id", "start_idx", "history_ids"), path)
+    return spark.read.option("header", True).schema("window_id long, start_idx long, history_ids string").csv(path)
+
+
+def stored_extrema(spark, d):
+    """Extrema as a table partitioned by channel, of which one sign and three columns are read."""
+    path = sinks.fresh_path(spark)
+    sinks.write_table(events.extrema(sig(spark, d)).drop("ts"), path, ("channel",))
+    return rounded(observations.read_table(spark, path, ("channel", "idx", "sign", "amplitude")).filter("sign = 'max'"))
+
+
+def _streamed_hours(spark, d) -> str:
+    """Path of the hourly means of the events as a stream: of the hours that the watermark has closed."""
+    source, out = f"{d}/events[.]parquet", sinks.fresh_path(spark)  # a pattern, as a stream takes no single file
+    hours = streams.hourly(spark.readStream.schema(table(spark, d, "events").schema).parquet(source))
+    query = hours.writeStream.format("parquet").option("path", out).option("checkpointLocation", sinks.fresh_path(spark)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return out
+
+
+def streamed_hours(spark, d):
+    return rounded(spark.read.parquet(_streamed_hours(spark, d)).select("channel", F.col("ts").cast("timestamp_ntz").alias("ts"), "x"))
+
+
+def streamed_extrema(spark, d):
+    """Turns of the hourly stream's differences, by the streaming state of each channel."""
+    hours, out = _streamed_hours(spark, d), sinks.fresh_path(spark)
+    stream = spark.readStream.schema("channel string, ts timestamp, x double").parquet(hours).select("channel", "ts", F.round("x", 8).alias("x"))
+    query = streams.extrema(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", sinks.fresh_path(spark)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rounded(spark.read.parquet(out).select("channel", F.col("ts").cast("timestamp_ntz").alias("ts"), "sign", "amplitude", "first_diff"), 5)
+
+
+def reindexed_steps(spark, d):
+    """The second ten days numbered anew: at most 200 steps a channel."""
+    g = grid(spark, d).filter("x is not null and idx >= 240").select("channel", "ts", "x")
+    return rounded(signal.reindexed(g, max_rows=200))
+
+
+def window_range(spark, d):
+    """Windows of places 100 to 299."""
+    return samples.place_range(window_table(spark, d), 100, 200).select("pos", "window_id", "start_idx", "block_id")
+
+
+def seed_history(spark, d):
+    """The last 14 days of each order priority before 1997."""
+    days = table(spark, d, "orders").groupBy("o_orderpriority", F.col("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("mean_price"))
+    out = samples.last_rows(days, 14, "day", ("o_orderpriority",), F.lit("1997-01-01").cast("timestamp_ntz"))
+    return rounded(out.withColumn("place", F.col("place").cast("long")), 4)
+
+
+def padded_segment_targets(spark, d):
+    """Of each segment the vectors of the next 48, filled up with zeros, summed up by place."""
+    s = _line_segments(spark, d).withColumn("v", F.array("L", "c", "A", F.col("duration") / 24))
+    t = samples.padded_targets(s).select("channel", "segment_id", "n_valid", F.posexplode("targets").alias("step", "v"))
+    return rounded(t.select("channel", "segment_id", "n_valid", F.col("step").cast("long").alias("step"), F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total")))
+
+
+def equation_counts(spark, d):
+    """Segments, their mean duration and share by equation and channel."""
+    return rounded(metrics.shares(_line_segments(spark, d), ("channel",), "eq_type"))
+
+
+def boundary_synchrony(spark, d):
+    """How many extrema steps are shared by how many channels."""
+    at = events.extrema(sig(spark, d)).groupBy("idx").agg(F.count_distinct("channel").alias("n_channels"))
+    return at.groupBy("n_channels").agg(F.count(F.lit(1)).alias("n"))
+
+
+def decoded_hazards(spark, d):
+    """Hazard blocks of all windows read back as series on a grid of one and a half steps."""
+    h = window_hazard(spark, d)
+    names, chans = windows.HAZARD, channels(h)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), "channel", F.col(n).cast("double").alias("x")) for i, n in enumerate(names)]))
+    blocks = h.select("window_id", each.alias("p")).groupBy(F.col("window_id").alias("t")).agg(F.array_sort(F.collect_list("p")).alias("p")).select("t", F.col("p")["x"].alias("hazard"))
+    return rounded(decode.decoded_hazards(blocks, blocks.select((F.col("t") * 1.5).alias("t")), chans, names), 5)
+
+
 # Without SQL: these depend on the order of steps or iterate.
 
 
@@ -445,6 +548,8 @@ ALL = [
     chronological_split, persistence_backtest, drift_backtest, hourly_scoreboard, evaluation_payload, longest_peaks, segment_histories, placeholder_decode, boundary_union, index_intersection, ensemble_stitch, linear_fit_by_block, equation_eval, segment_report, segment_vectors, decoded_series,
     extrapolated_errors, p90_scales, robust_scale, vector_norm_stats, time_features, running_duration_k, next24_targets, window_decode, interval_values, anchor_days, scaled_features, scaled_pairs, label_lookup, nearest_prototype,
     lloyd_step, cluster_quality, regime_labels, switch_counts, regime_blocks, hierarchical_windows, walk_forward_segments, walk_forward_report, joint_segments, dynamics_pieces, dynamics_medoids, kmeans_clusters, leader_patterns, top_signatures, label_shares, ridge_backtest,
+    observations_csv, history_json_lines, history_flat_csv, stored_extrema, streamed_hours, streamed_extrema, reindexed_steps, window_range, seed_history, padded_segment_targets, equation_counts,
+    boundary_synchrony, decoded_hazards,
 ]
 
 

@@ -350,4 +350,30 @@ def oracle_sql() -> dict[str, str]:
       signatures AS (SELECT block_id, steps, string_agg(part, ',' ORDER BY part) AS signature FROM own GROUP BY 1, 2)
       SELECT signature, CAST(sum(steps) AS BIGINT) AS steps FROM signatures GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 12"""
     q["label_shares"] = f"WITH {REGIMES}, n AS (SELECT channel, label, count(*) AS n FROM labels GROUP BY 1, 2) SELECT channel, label, n, {r('share', 6, 'n / sum(n) OVER (PARTITION BY channel)')} FROM n"
+    q["observations_csv"] = f"""WITH e AS (SELECT date_trunc('minute', ts) AS ts, value, user_id % 4 AS f, CASE WHEN user_id % 5 < 4 THEN user_id % 5 END AS t, CASE WHEN event_id % 9 <> 0 THEN value * 2 END AS v
+      FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('minute', ts) ORDER BY event_id) = 1)
+      SELECT ts, {r("rainfall", 6, "CASE WHEN f <= 2 THEN value END")}, {r("temperature", 6, "CASE WHEN t <= 2 THEN v END")}, CAST(NULL AS DOUBLE) AS pressure, CAST(f AS INTEGER) AS rain_quality, CAST(t AS INTEGER) AS temp_quality FROM e"""
+    q["history_json_lines"] = f"WITH {GRID} {WINDOWS} SELECT window_id, k AS place, window_id - 3 + k AS member_id FROM win, generate_series(0, 3) g(k) WHERE window_id >= 3"
+    q["history_flat_csv"] = f"WITH {GRID} {WINDOWS} SELECT window_id, window_id AS start_idx, concat_ws(',', window_id - 3, window_id - 2, window_id - 1, window_id) AS history_ids FROM win WHERE window_id >= 3"
+    q["stored_extrema"] = f"WITH {EXTREMA} SELECT channel, idx, sign, {r('amplitude')} FROM extrema WHERE sign = 'max'"
+    hours = "h AS (SELECT event_type AS channel, date_trunc('hour', ts) AS ts, avg(value) AS x FROM events GROUP BY 1, 2), closed AS (SELECT h.* FROM h, (SELECT max(ts) AS last FROM events) m WHERE h.ts + INTERVAL 3 HOUR <= m.last)"
+    q["streamed_hours"] = f"WITH {hours} SELECT channel, ts, {r('x')} FROM closed"
+    q["streamed_extrema"] = f"""WITH {hours}, y AS (SELECT channel, ts, round(x, 8) AS x FROM closed),
+      d AS (SELECT channel, ts, lag(ts, 2) OVER o AS t0, lead(ts) OVER o AS t1, lag(x) OVER o - lag(x, 2) OVER o AS p, x - lag(x) OVER o AS c, lead(x) OVER o - x AS n FROM y WINDOW o AS (PARTITION BY channel ORDER BY ts))
+      SELECT channel, ts, CASE WHEN p < c THEN 'max' ELSE 'min' END AS sign, {r("amplitude", 5, "abs(c - (p + n) / 2)")}, {r("first_diff", 5, "c")} FROM d WHERE t1 - t0 = INTERVAL 3 HOUR AND ((p < c AND c >= n) OR (p > c AND c <= n))"""
+    q["reindexed_steps"] = f"""WITH {GRID}, n AS (SELECT channel, ts, x, row_number() OVER (PARTITION BY channel ORDER BY ts) - 1 AS idx FROM grid WHERE x IS NOT NULL AND idx >= 240)
+      SELECT channel, ts, idx, {r("x")} FROM n WHERE idx < 200"""
+    q["window_range"] = f"WITH {GRID} {WINDOWS} {ONE} SELECT window_id AS pos, window_id, start_idx, block_id FROM one WHERE window_id >= 100 AND window_id < 300"
+    q["seed_history"] = f"""WITH t AS (SELECT o_orderpriority, o_orderdate AS day, avg(o_totalprice) AS mean_price FROM orders WHERE o_orderdate < '1997-01-01' GROUP BY 1, 2),
+      k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY day DESC) AS back FROM t QUALIFY back <= 14)
+      SELECT o_orderpriority, day, row_number() OVER (PARTITION BY o_orderpriority ORDER BY day) - 1 AS place, {r("mean_price", 4)} FROM k"""
+    q["padded_segment_targets"] = f"""WITH {LINES}, t AS (SELECT channel, segment_id, L + c + A + duration / 24 AS total, row_number() OVER (PARTITION BY channel ORDER BY segment_id) AS p, count(*) OVER (PARTITION BY channel) AS n FROM segs)
+      SELECT a.channel, a.segment_id, least(a.n - a.p, 48) AS n_valid, g.k - 1 AS step, {r("total", 6, "coalesce(b.total, 0)")} FROM t a CROSS JOIN generate_series(1, 48) g(k) LEFT JOIN t b ON b.channel = a.channel AND b.p = a.p + g.k"""
+    q["equation_counts"] = f"WITH {LINES}, n AS (SELECT channel, eq_type, count(*) AS n FROM segs GROUP BY 1, 2) SELECT channel, eq_type, n, {r('share', 6, 'n / sum(n) OVER (PARTITION BY channel)')} FROM n"
+    q["boundary_synchrony"] = f"WITH {EXTREMA}, k AS (SELECT idx, count(DISTINCT channel) AS n_channels FROM extrema GROUP BY 1) SELECT n_channels, count(*) AS n FROM k GROUP BY 1"
+    q["decoded_hazards"] = f"""WITH h AS ({q["window_hazard"]}), l AS (UNPIVOT h ON COLUMNS(* EXCLUDE (window_id, channel)) INTO NAME feature VALUE value), v AS (SELECT channel, feature, window_id, CAST(value AS DOUBLE) AS value FROM l),
+      top AS (SELECT max(window_id) AS n FROM v), a AS (SELECT DISTINCT channel, feature, window_id * 1.5::DOUBLE AS t FROM v),
+      asked AS (SELECT channel, feature, t, least(floor(t), n) AS t0, least(ceil(t), n) AS t1 FROM a, top)
+      SELECT a.channel, a.feature, a.t, {r("value", 5, "p.value + (q.value - p.value) * (a.t - a.t0) / CASE WHEN a.t1 > a.t0 THEN a.t1 - a.t0 ELSE 1 END")}
+      FROM asked a JOIN v p ON p.channel = a.channel AND p.feature = a.feature AND p.window_id = a.t0 JOIN v q ON q.channel = a.channel AND q.feature = a.feature AND q.window_id = a.t1"""
     return q

@@ -5,12 +5,45 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+import tempfile
+import uuid
+from collections.abc import Sequence
 from dataclasses import asdict, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Without the setting a local session gets a fresh one of its own; a cluster,
+    whose machines share no temporary folder, an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_folder(spark)}/tidemark/{uuid.uuid4().hex}"
+
+
+def write_lines(df: DataFrame, path: str, order: str, head: Sequence[str] = ()) -> None:
+    """The column ``line`` as text files, in order within each and over their names; every file begins with the lines of ``head``.
+
+    Rows are split by ranges of the order, so no task holds more than its range.
+    """
+    lines = df.repartitionByRange(order).sortWithinPartitions(order)
+    own = F.array("line")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the row's number in its partition
+    top = F.when(place == 0, F.concat(F.array(*[F.lit(x) for x in head]), own)).otherwise(own) if head else own
+    lines.select(top.alias("lines")).select(F.explode("lines").alias("value")).write.text(path)
+
+
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "overwrite") -> None:
     df.write.mode(mode).option("compression", "zstd").partitionBy(*partition_by).parquet(path)
 
