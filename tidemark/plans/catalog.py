@@ -378,7 +378,7 @@ def observations_csv(spark, d):
     e = table(spark, d, "events").select("event_id", F.concat_ws(",", *[F.coalesce(F.expr(c).cast("string"), F.lit("")) for c in cells]).alias("line"))
     path = sinks.fresh_path(spark)
     sinks.write_lines(e, path, "event_id", ("Station: events", "values, flags", "Date,ind,rain,ind,temp"))
-    return rounded(observations.read_observations(spark, path).select("ts", "rainfall", "temperature", "pressure", "rain_quality", "temp_quality"))
+    return rounded(observations.read_observations(spark, path).select("ts", "rainfall", "temperature", "pressure", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("rain_quality", "temp_quality")]))  # -1: missing
 
 
 def history_json_lines(spark, d):

@@ -352,7 +352,7 @@ def oracle_sql() -> dict[str, str]:
     q["label_shares"] = f"WITH {REGIMES}, n AS (SELECT channel, label, count(*) AS n FROM labels GROUP BY 1, 2) SELECT channel, label, n, {r('share', 6, 'n / sum(n) OVER (PARTITION BY channel)')} FROM n"
     q["observations_csv"] = f"""WITH e AS (SELECT date_trunc('minute', ts) AS ts, value, user_id % 4 AS f, CASE WHEN user_id % 5 < 4 THEN user_id % 5 END AS t, CASE WHEN event_id % 9 <> 0 THEN value * 2 END AS v
       FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('minute', ts) ORDER BY event_id) = 1)
-      SELECT ts, {r("rainfall", 6, "CASE WHEN f <= 2 THEN value END")}, {r("temperature", 6, "CASE WHEN t <= 2 THEN v END")}, CAST(NULL AS DOUBLE) AS pressure, CAST(f AS INTEGER) AS rain_quality, CAST(t AS INTEGER) AS temp_quality FROM e"""
+      SELECT ts, {r("rainfall", 6, "CASE WHEN f <= 2 THEN value END")}, {r("temperature", 6, "CASE WHEN t <= 2 THEN v END")}, CAST(NULL AS DOUBLE) AS pressure, coalesce(f, -1) AS rain_quality, coalesce(t, -1) AS temp_quality FROM e"""
     q["history_json_lines"] = f"WITH {GRID} {WINDOWS} SELECT window_id, k AS place, window_id - 3 + k AS member_id FROM win, generate_series(0, 3) g(k) WHERE window_id >= 3"
     q["history_flat_csv"] = f"WITH {GRID} {WINDOWS} SELECT window_id, window_id AS start_idx, concat_ws(',', window_id - 3, window_id - 2, window_id - 1, window_id) AS history_ids FROM win WHERE window_id >= 3"
     q["stored_extrema"] = f"WITH {EXTREMA} SELECT channel, idx, sign, {r('amplitude')} FROM extrema WHERE sign = 'max'"
