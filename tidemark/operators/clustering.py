@@ -53,19 +53,30 @@ def first_points(points: DataFrame, k: int, seed: int, id_col: str, vector: str)
     return np.array([[float(x) for x in r[0]] for r in start])
 
 
-def kmeans(points: DataFrame, k: int, rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> tuple[DataFrame, DataFrame]:
-    """(labels, prototypes). Starts from k points drawn by a hash of id and seed; an empty cluster keeps its place.
+def kmeans_tables(points: DataFrame, candidates: Sequence[int], rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> dict[int, np.ndarray]:
+    """Prototypes by candidate k. Starts from k points drawn by a hash of id and seed; an empty cluster keeps its place.
 
-    Only the k prototypes come to the driver between rounds; it stops when they don't move.
+    Each round reads the points once for all candidates whose prototypes still move; only prototypes come to the driver.
     """
-    now = first_points(points, k, seed, id_col, vector)
-    for _ in range(rounds if len(now) else 0):
-        sums = cluster_sums(points, now, vector)
-        new = np.array([sums[i][1] if i in sums else v for i, v in enumerate(now)])
-        if np.allclose(new, now, rtol=0, atol=1e-12):
+    start = first_points(points, max(candidates), seed, id_col, vector)
+    now = {k: start[:k] for k in candidates}
+    moving = set(now) if len(start) else set()
+    for _ in range(rounds):
+        if not moving:
             break
-        now = new
-    table = as_table(points, list(enumerate(now)), vector)
+        sums = cluster_sums(points, {k: now[k] for k in moving}, vector)
+        for k in sorted(moving):
+            new = np.array([sums[k][i][1] if i in sums[k] else v for i, v in enumerate(now[k])])
+            if np.allclose(new, now[k], rtol=0, atol=1e-12):
+                moving.discard(k)
+            else:
+                now[k] = new
+    return now
+
+
+def kmeans(points: DataFrame, k: int, rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> tuple[DataFrame, DataFrame]:
+    """(labels, prototypes) of one k."""
+    table = as_table(points, list(enumerate(kmeans_tables(points, [k], rounds, seed, id_col, vector)[k])), vector)
     return nearest(points, table, id_col, vector), table
 
 
@@ -86,8 +97,9 @@ def select_k(points: DataFrame, candidates: Sequence[int], rounds: int = 10, see
 
     kept = points.persist(StorageLevel.MEMORY_AND_DISK)
     best, scores = None, {}
-    for k in candidates:
-        labels, table = kmeans(kept, k, rounds, seed, id_col, vector)
+    for k, prototypes in kmeans_tables(kept, candidates, rounds, seed, id_col, vector).items():
+        table = as_table(points, list(enumerate(prototypes)), vector)
+        labels = nearest(kept, table, id_col, vector)
         scores[k] = float(quality(labels).first()["quality"] or 0.0)
         if best is None or scores[k] > scores[best[0]]:
             best = (k, labels, table)
@@ -146,39 +158,40 @@ def assigned(x: np.ndarray, prototypes: np.ndarray) -> np.ndarray:
     return np.stack([np.round(((x - p) ** 2).sum(1), 9) for p in prototypes], 1).argmin(1)
 
 
-def cluster_sums(points: DataFrame, prototypes: np.ndarray, vector: str = "v") -> dict[int, tuple[int, np.ndarray, float]]:
-    """By number of the prototypes (k rows): (count, mean, mean squared distance to it) of the points nearest to it. Tasks send a sum per
-    cluster, which are added up by cluster.
+def cluster_sums(points: DataFrame, tables: dict[int, np.ndarray], vector: str = "v") -> dict[int, dict[int, tuple[int, np.ndarray, float]]]:
+    """By table of prototypes and their number: (count, mean, mean squared distance to it) of the points nearest to the prototype.
+    Tasks read their points once for all tables and send a sum per cluster, which are added up by cluster.
     """
     import pandas as pd
 
-    schema = "pattern_id int, n long, s array<double>, q double"
+    schema = "k int, pattern_id int, n long, s array<double>, q double"
 
     def sums(frames):
-        n, s, q = np.zeros(len(prototypes)), np.zeros(prototypes.shape), np.zeros(len(prototypes))
+        total = {k: (np.zeros(len(p)), np.zeros(p.shape), np.zeros(len(p))) for k, p in tables.items()}
         for f in frames:
             if len(f):
                 x = np.stack(f[vector].to_numpy()).astype(float)
-                label = assigned(x, prototypes)
-                np.add.at(n, label, 1)
-                np.add.at(s, label, x)
-                np.add.at(q, label, (x * x).sum(1))
-        live = np.flatnonzero(n)
-        yield pd.DataFrame({"pattern_id": live, "n": n[live].astype(np.int64), "s": list(s[live]), "q": q[live]})
+                for k, (n, s, q) in total.items():
+                    label = assigned(x, tables[k])
+                    np.add.at(n, label, 1)
+                    np.add.at(s, label, x)
+                    np.add.at(q, label, (x * x).sum(1))
+        for k, (n, s, q) in total.items():
+            live = np.flatnonzero(n)
+            yield pd.DataFrame({"k": np.full(len(live), k), "pattern_id": live, "n": n[live].astype(np.int64), "s": list(s[live]), "q": q[live]})
 
     def added(g):
-        return pd.DataFrame({"pattern_id": g["pattern_id"][:1], "n": [g["n"].sum()], "s": [np.stack(g["s"].to_numpy()).sum(0)], "q": [g["q"].sum()]})
+        return pd.DataFrame({"k": g["k"][:1], "pattern_id": g["pattern_id"][:1], "n": [g["n"].sum()], "s": [np.stack(g["s"].to_numpy()).sum(0)], "q": [g["q"].sum()]})
 
-    rows = points.select(vector).mapInPandas(sums, schema).groupBy("pattern_id").applyInPandas(added, schema).collect()
-    out = {}
-    for r in rows:
+    out: dict[int, dict[int, tuple[int, np.ndarray, float]]] = {k: {} for k in tables}
+    for r in points.select(vector).mapInPandas(sums, schema).groupBy("k", "pattern_id").applyInPandas(added, schema).collect():  # clusters
         mean = np.array(r["s"]) / r["n"]
-        out[r["pattern_id"]] = (r["n"], mean, max(r["q"] / r["n"] - float(mean @ mean), 0.0))
+        out[r["k"]][r["pattern_id"]] = (r["n"], mean, max(r["q"] / r["n"] - float(mean @ mean), 0.0))
     return out
 
 
-def next_to_means(points: DataFrame, prototypes: np.ndarray, means: dict[int, np.ndarray], id_col: str = "id", vector: str = "v") -> dict[int, list[float]]:
-    """By cluster, its point that is next to the cluster's mean; the smallest id on a tie."""
+def next_to_means(points: DataFrame, tables: dict[int, np.ndarray], means: dict[int, dict[int, np.ndarray]], id_col: str = "id", vector: str = "v") -> dict[int, dict[int, list[float]]]:
+    """By table and cluster, its point that is next to the cluster's mean; the smallest id on a tie."""
     import pandas as pd
 
     def best(frames):
@@ -186,47 +199,63 @@ def next_to_means(points: DataFrame, prototypes: np.ndarray, means: dict[int, np
             if not len(f):
                 continue
             x = np.stack(f[vector].to_numpy()).astype(float)
-            label = assigned(x, prototypes)
-            for j in np.unique(label):
-                own = np.flatnonzero(label == j)
-                d = np.round(((x[own] - means[j]) ** 2).sum(1), 9)
-                first = own[np.lexsort((f[id_col].to_numpy()[own], d))[0]]
-                yield pd.DataFrame({"pattern_id": [j], "d": [d.min()], "id": [f[id_col].iloc[first]], "v": [x[first]]})
-
-    rows = points.select(id_col, vector).mapInPandas(best, f"pattern_id int, d double, id {points.schema[id_col].dataType.simpleString()}, v array<double>")
-    return {r["pattern_id"]: list(r["v"]) for r in rows.groupBy("pattern_id").agg(F.min_by("v", F.struct("d", "id")).alias("v")).collect()}
+            for k, prototypes in tables.items():
+                label = assigned(x, prototypes)
+                for j in np.unique(label):
+                    own = np.flatnonzero(label == j)
+                    d = np.round(((x[own] - means[k][j]) ** 2).sum(1), 9)
+                    first = own[np.lexsort((f[id_col].to_numpy()[own], d))[0]]
+                    yield pd.DataFrame({"k": [k], "pattern_id": [j], "d": [d.min()], "id": [f[id_col].iloc[first]], "v": [x[first]]})
+
+    rows = points.select(id_col, vector).mapInPandas(best, f"k int, pattern_id int, d double, id {points.schema[id_col].dataType.simpleString()}, v array<double>")
+    out: dict[int, dict[int, list[float]]] = {k: {} for k in tables}
+    for r in rows.groupBy("k", "pattern_id").agg(F.min_by("v", F.struct("d", "id")).alias("v")).collect():  # clusters
+        out[r["k"]][r["pattern_id"]] = list(r["v"])
+    return out
 
 
 def as_table(points: DataFrame, rows: list[tuple[int, Sequence[float]]], vector: str = "v") -> DataFrame:
     return points.sparkSession.createDataFrame([(int(k), [float(x) for x in v]) for k, v in rows], f"pattern_id int, {vector} array<double>")
 
 
-def medoids(points: DataFrame, k: int, rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> DataFrame:
-    """Medoids (pattern_id, v) of all points under squared distance: the member with the least sum of distances is the one next to
-    its cluster's mean. Ties go to the smallest id; an empty cluster keeps its medoid. Starts from k points drawn by a hash.
+def medoid_tables(points: DataFrame, candidates: Sequence[int], rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> dict[int, np.ndarray]:
+    """Medoids of all points by candidate k, under squared distance: the member with the least sum of distances is the one next to
+    its cluster's mean. Ties go to the smallest id; an empty cluster keeps its medoid. Starts from k points drawn by a hash. Each
+    round reads the points twice for all candidates whose medoids still move.
     """
-    now = first_points(points, k, seed, id_col, vector)
-    for _ in range(rounds if len(now) else 0):
-        means = {j: m for j, (_, m, _) in cluster_sums(points, now, vector).items()}
-        best = next_to_means(points, now, means, id_col, vector)
-        new = np.array([best.get(i, v) for i, v in enumerate(now.tolist())])
-        if np.array_equal(new, now):
+    start = first_points(points, max(candidates), seed, id_col, vector)
+    now = {k: start[:k] for k in candidates}
+    moving = set(now) if len(start) else set()
+    for _ in range(rounds):
+        if not moving:
             break
-        now = new
-    return as_table(points, list(enumerate(now)), vector)
+        tables = {k: now[k] for k in moving}
+        means = {k: {j: m for j, (_, m, _) in t.items()} for k, t in cluster_sums(points, tables, vector).items()}
+        best = next_to_means(points, tables, means, id_col, vector)
+        for k in sorted(moving):
+            new = np.array([best[k].get(i, v) for i, v in enumerate(now[k].tolist())])
+            if np.array_equal(new, now[k]):
+                moving.discard(k)
+            else:
+                now[k] = new
+    return now
+
+
+def medoids(points: DataFrame, k: int, rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> DataFrame:
+    """Medoids (pattern_id, v) of one k."""
+    return as_table(points, list(enumerate(medoid_tables(points, [k], rounds, seed, id_col, vector)[k])), vector)
 
 
-def silhouette_of(points: DataFrame, table: DataFrame, id_col: str = "id", vector: str = "v") -> float:
-    """Silhouette times balance of all points, labelled by the nearest of ``table``, under squared distance.
+def silhouettes(points: DataFrame, tables: dict[int, np.ndarray], vector: str = "v") -> dict[int, float]:
+    """By table of prototypes, silhouette times balance of all points, labelled by the nearest one, under squared distance.
 
     A point's mean distance to a cluster is that to its mean plus the cluster's variance; its own cluster counts it too.
+    Fewer than two clusters score 0. Points are read twice for all tables.
     """
-    prototypes = np.array([r[vector] for r in table.orderBy("pattern_id").collect()])  # k rows
-    sums = cluster_sums(points, prototypes, vector) if len(prototypes) else {}
-    if len(sums) < 2:
-        return 0.0
-    order = sorted(sums)
-    means, spread = np.stack([sums[j][1] for j in order]), np.array([sums[j][2] for j in order])
+    found = {k: t for k, t in cluster_sums(points, {k: p for k, p in tables.items() if len(p)}, vector).items() if len(t) > 1}
+    order = {k: sorted(t) for k, t in found.items()}
+    means = {k: np.stack([t[j][1] for j in order[k]]) for k, t in found.items()}
+    spread = {k: np.array([t[j][2] for j in order[k]]) for k, t in found.items()}
 
     def scores(frames):
         import pandas as pd
@@ -234,16 +263,25 @@ def silhouette_of(points: DataFrame, table: DataFrame, id_col: str = "id", vecto
         for f in frames:
             if len(f):
                 x = np.stack(f[vector].to_numpy()).astype(float)
-                own = np.searchsorted(order, assigned(x, prototypes))
-                d = np.stack([((x - m) ** 2).sum(1) for m in means], 1) + spread
-                a = d[np.arange(len(x)), own].copy()
-                d[np.arange(len(x)), own] = np.inf
-                b = d.min(1)
-                yield pd.DataFrame({"s": (b - a) / np.maximum(np.maximum(a, b), 1e-9)})
+                for k in order:
+                    own = np.searchsorted(order[k], assigned(x, tables[k]))
+                    d = np.stack([((x - m) ** 2).sum(1) for m in means[k]], 1) + spread[k]
+                    a = d[np.arange(len(x)), own].copy()
+                    d[np.arange(len(x)), own] = np.inf
+                    b = d.min(1)
+                    yield pd.DataFrame({"k": [k], "s": [((b - a) / np.maximum(np.maximum(a, b), 1e-9)).sum()], "n": [len(x)]})
+
+    out = dict.fromkeys(tables, 0.0)
+    if found:
+        for r in points.select(vector).mapInPandas(scores, "k int, s double, n long").groupBy("k").agg((F.sum("s") / F.sum("n")).alias("s")).collect():
+            sizes = [n for n, _, _ in found[r["k"]].values()]
+            out[r["k"]] = float(r["s"]) * min(sizes) / sum(sizes) * len(tables[r["k"]])
+    return out
+
 
-    score = points.select(vector).mapInPandas(scores, "s double").agg(F.avg("s")).first()[0]
-    sizes = [sums[j][0] for j in order]
-    return float(score) * min(sizes) / sum(sizes) * len(prototypes)
+def silhouette_of(points: DataFrame, table: DataFrame, vector: str = "v") -> float:
+    """The score of one table (pattern_id, v)."""
+    return silhouettes(points, {0: np.array([r[vector] for r in table.orderBy("pattern_id").collect()])}, vector)[0]  # k rows
 
 
 def select_medoids(points: DataFrame, candidates: Sequence[int] = range(8, 33, 4), rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> tuple[DataFrame, dict[int, float]]:
@@ -252,14 +290,12 @@ def select_medoids(points: DataFrame, candidates: Sequence[int] = range(8, 33, 4
 
     kept = points.select(id_col, vector).persist(StorageLevel.MEMORY_AND_DISK)
     n = kept.count()
-    best, scores = None, {}
-    for k in dict.fromkeys(min(k, n) for k in candidates if n):
-        table = medoids(kept, k, rounds, seed, id_col, vector)
-        scores[k] = silhouette_of(kept, table, id_col, vector)
-        if best is None or scores[k] > scores[best[0]]:
-            best = (k, table)
+    candidates = list(dict.fromkeys(min(k, n) for k in candidates if n))
+    tables = medoid_tables(kept, candidates, rounds, seed, id_col, vector) if candidates else {}
+    scores = silhouettes(kept, tables, vector)
     kept.unpersist()
-    return (best[1] if best else as_table(points, [], vector)), scores
+    best = tables[max(candidates, key=scores.__getitem__)] if candidates else []
+    return as_table(points, list(enumerate(best)), vector), scores
 
 
 def leaders(x: np.ndarray, threshold: float, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

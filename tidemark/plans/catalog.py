@@ -520,7 +520,9 @@ def label_shares(spark, d):
 
 def dynamics_medoids(spark, d):
     """Medoids of all pieces by the integrals between their dynamics, k by silhouette and balance; every piece to its nearest medoid."""
-    v = structure.functional_vectors(dynamics_pieces(spark, d)).withColumnRenamed("segment_id", "id")
+    path = sinks.fresh_path(spark)  # the rounds read the pieces' vectors, which are fitted once
+    sinks.write_table(structure.functional_vectors(dynamics_pieces(spark, d)).withColumnRenamed("segment_id", "id"), path)
+    v = observations.read_table(spark, path)
     table_, _ = clustering.select_medoids(v)
     return rounded(clustering.nearest(v, table_))
 
