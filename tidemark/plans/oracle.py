@@ -120,21 +120,24 @@ firsts AS (SELECT a FROM spans, start WHERE a = 24 OR (a > head AND b - a >= 6))
 blocks AS (SELECT row_number() OVER (ORDER BY a) - 1 AS block_id, CAST(a AS BIGINT) AS start_idx, CAST(lead(a, 1, n) OVER (ORDER BY a) - 1 AS BIGINT) AS end_idx FROM firsts, final)
 """
 )
-#: The four predictors over known values. Below five values before it the regression isn't unique and has the least norm: one equation's or two equations' own.
+#: The four predictors over known values. The regression of least norm where it isn't unique: points on a line, or all at one place.
 BOARD = (
     SIGNAL
     + """,
 y AS (SELECT channel, s AS y, row_number() OVER (PARTITION BY channel ORDER BY idx) AS p, count(*) OVER (PARTITION BY channel) AS size FROM sig WHERE s IS NOT NULL),
-x AS (SELECT *, lag(y, 1) OVER o AS x1, lag(y, 2) OVER o AS x2, lag(y, 3) OVER o AS x3, lag(y, 4) OVER o AS x4 FROM y WHERE size >= 8 WINDOW o AS (PARTITION BY channel ORDER BY p)),
+x AS (SELECT *, lag(y, 1) OVER o AS x1, lag(y, 2) OVER o AS x2, lag(y, 3) OVER o AS x3 FROM y WHERE size >= 8 WINDOW o AS (PARTITION BY channel ORDER BY p)),
 whole AS (SELECT *, CASE WHEN p > 2 THEN y END AS t, CASE WHEN p > 2 THEN x1 END AS a, CASE WHEN p > 2 THEN x2 END AS b FROM x),
 m AS (
   SELECT *, avg(t) OVER f AS my, avg(a) OVER f AS ma, avg(b) OVER f AS mb, covar_pop(t, a) OVER f AS ya, covar_pop(t, b) OVER f AS yb, covar_pop(a, b) OVER f AS ab, var_pop(a) OVER f AS va, var_pop(b) OVER f AS vb
   FROM whole WINDOW f AS (PARTITION BY channel ORDER BY p ROWS BETWEEN 22 PRECEDING AND 1 PRECEDING)),
-gram AS (SELECT *, 1 + x2 * x2 + x3 * x3 AS g11, 1 + x2 * x3 + x3 * x4 AS g12, 1 + x3 * x3 + x4 * x4 AS g22, 1 + x2 * x1 + x3 * x2 AS q1, 1 + x3 * x1 + x4 * x2 AS q2 FROM m),
+spread AS (SELECT *, va > 1e-14 * (1 + ma * ma) AS sa, vb > 1e-14 * (1 + mb * mb) AS sb FROM m),
+line AS (SELECT *, CASE WHEN sa THEN 1 ELSE 0 END AS wa, CASE WHEN NOT sa THEN 1 WHEN sb THEN ab / va ELSE 0 END AS wb, CASE WHEN sa THEN ya / va WHEN sb THEN yb / vb END AS slope, 1 + ma * ma + mb * mb AS uu, 1 + ma * x1 + mb * x2 AS uq FROM spread),
+flat AS (SELECT *, wa * wa + wb * wb AS ww, wa * ma + wb * mb AS uw, wa * x1 + wb * x2 AS wq FROM line),
 errors AS (
   SELECT channel, p, abs(y - x1) AS e0, abs(y - (2 * x1 - x2)) AS e1, abs(y - (3 * x1 - 3 * x2 + x3)) AS e2,
-    abs(y - CASE WHEN p < 4 THEN NULL WHEN p = 4 THEN x1 * q1 / g11 WHEN p = 5 THEN ((x1 * g22 - x2 * g12) * q1 + (x2 * g11 - x1 * g12) * q2) / (g11 * g22 - g12 * g12)
-      ELSE my + (ya * vb - yb * ab) / (va * vb - ab * ab) * (x1 - ma) + (yb * va - ya * ab) / (va * vb - ab * ab) * (x2 - mb) END) AS e3 FROM gram),
+    abs(y - CASE WHEN p < 4 THEN NULL
+      WHEN va * vb - ab * ab > 1e-12 * va * vb AND sa AND sb THEN my + (ya * vb - yb * ab) / (va * vb - ab * ab) * (x1 - ma) + (yb * va - ya * ab) / (va * vb - ab * ab) * (x2 - mb)
+      WHEN sa OR sb THEN ((my * ww - slope * uw) * uq + (slope * uu - my * uw) * wq) / (uu * ww - uw * uw) ELSE my * uq / uu END) AS e3 FROM flat),
 long AS (SELECT channel, unnest(['level', 'velocity', 'acceleration', 'local_ar2']) AS predictor, unnest([e0, e1, e2, e3]) AS e FROM errors)
 """
 )
