@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontamination, html_extraction, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup
+from tidemark.llm import chat_format, decontamination, html_extraction, importance, language_id, lexical_search, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,13 +78,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.05)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), folds=3)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, size=1, n_buckets=10_000, least=20, seed="2024")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-OPERATORS = [op1_license_scan, op2_html_extraction, op3_sharding, op4_substring_dedup, op5_quality_rules, op6_chat_format, op7_near_dedup, op8_packing, op9_quality_classifier, op10_decontamination]
+OPERATORS = [op1_license_scan, op2_html_extraction, op3_sharding, op4_substring_dedup, op5_quality_rules, op6_chat_format, op7_near_dedup, op8_packing, op9_quality_classifier, op10_decontamination, op11_language_id, op12_importance_resampling, op13_lexical_search]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -93,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 WORDS = "list_filter(regexp_split_to_array(coalesce({t}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 HARD = r"\### Assistant: </turn> ok"
+TERMS = "regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 SQL = {
     "op4_substring_dedup": f"""
@@ -127,6 +140,39 @@ reach AS (SELECT a AS doc_id, b AS other FROM edge UNION SELECT r.doc_id, e.b FR
 low AS (SELECT doc_id, min(other) AS low FROM reach GROUP BY 1)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id, w.doc_id <= coalesce(low, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)""",
+    "op12_importance_resampling": f"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, _: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i::BIGINT)) AS t),
+d AS (SELECT doc_id, unnest({TERMS.format(t="text")}) AS w FROM documents),
+b AS (SELECT unnest({TERMS.format(t="text")}) AS w FROM benchmark),
+words AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM d UNION SELECT w FROM b)),
+bytes AS (SELECT w, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bs FROM words),
+hashed AS (SELECT w, xor(list_reduce(bs, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 10000 AS k FROM bytes, crc),
+sk AS (SELECT k, count(*) AS n FROM d JOIN hashed USING (w) GROUP BY 1),
+tk AS (SELECT k, count(*) AS n FROM b JOIN hashed USING (w) GROUP BY 1),
+gain AS (
+  SELECT k, CAST(floor(1000 * ln((coalesce(tk.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000) / ((sk.n + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)))) AS BIGINT) AS g
+  FROM sk LEFT JOIN tk USING (k)),
+per AS (SELECT doc_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM d JOIN hashed USING (w) JOIN gain USING (k) GROUP BY 1),
+weighed AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h
+  FROM documents LEFT JOIN per USING (doc_id)),
+scored AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM weighed),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored s LEFT JOIN placed USING (doc_id)""",
+    "op13_lexical_search": f"""
+WITH t AS (SELECT doc_id, unnest({TERMS.format(t="text")}) AS w FROM documents),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY 1, 2),
+doc AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY 1),
+whole AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM doc),
+item AS (SELECT item_id, unnest({TERMS.format(t="text")}) AS w FROM benchmark),
+q AS (SELECT item_id, w, count(*) AS times FROM item GROUP BY 1, 2),
+df AS (SELECT w, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, whole GROUP BY w, n_docs),
+score AS (
+  SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (w) JOIN df USING (w) JOIN doc USING (doc_id), whole GROUP BY 1, 2),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM score WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 20""",
 }
 
 
