@@ -13,36 +13,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.equations import DYN, FIT, HARMONIC_SET, PLAIN_SET, best_fit, dynamics_value, fit_dynamics, value_at
+from tidemark.functions.equations import DYN, FIT, HARMONIC_SET, PLAIN_SET, Walk, best_fit, dynamics_value, fit_dynamics, value_at
 from tidemark.operators.signal import KEYS
 
 SEGMENT = "segment_id long, start_idx long, end_idx long, duration long, x0 double, " + FIT
 
 
 def walk(y: np.ndarray, tolerance: float, first: int = 24, kinds: dict[str, int] = HARMONIC_SET, fastest: float = 10.0) -> list[tuple]:
-    """(start, end, fit) of each segment. A segment's equation is fitted on its first points; where a step misses it by
-    more than the tolerance, it is fitted anew on all points so far; where the new one misses that step too, a segment starts.
-    """
-    out, start, n = [], 0, len(y)
-    while start < n:
-        begin = min(start + first, n)
-        fit = best_fit(y[start:begin], kinds, fastest)
-        at, end = begin, n
-        while at < n:
-            # steps up to the next miss are found at once
-            miss = np.abs(y[at:n] - fit.at(np.arange(at - start, n - start))) > tolerance
-            k = int(np.argmax(miss)) if miss.any() else -1
-            if k < 0:
-                break
-            at += k
-            new = best_fit(y[start : at + 1], kinds, fastest)
-            if abs(y[at] - float(new.at(float(at - start)))) > tolerance:
-                end = at
-                break
-            fit, at = new, at + 1
-        out.append((start, end - 1, fit))
-        start = end
-    return out
+    """(start, end, fit) of each segment of a whole series."""
+    return Walk(tolerance, first, kinds, fastest).feed(y, last=True)
 
 
 def segmented(series: DataFrame, tolerance: float = 1.0, harmonic: bool = True, value: str = "x", keys: Sequence[str] = KEYS, first: int = 24) -> DataFrame:

@@ -6,7 +6,7 @@ of an hourly stream need three neighbouring differences per channel, which is th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,9 +17,25 @@ EVENT = "channel string, ts timestamp, sign string, amplitude double, first_diff
 STATE = "last_ts timestamp, xs array<double>"
 
 
-def hourly(events: DataFrame, late: str = "2 hours", channel: str = "event_type", value: str = "value", ts: str = "ts") -> DataFrame:
-    """channel, ts, x: hourly means of a stream (or, the same, of a table)."""
-    rows = events.select(F.col(channel).alias("channel"), F.col(ts).cast("timestamp").alias("ts"), F.col(value).cast("double").alias("v")).withWatermark("ts", late)
+def deduplicated(events: DataFrame, ids: Sequence[str], late: str = "2 hours", ts: str = "ts") -> DataFrame:
+    """The first of all events with the same ids that come within the watermark's delay of one another; events without a time are left
+    out. Ids are kept as long as the delay, so the state has the last hours' ids and not the stream's.
+    """
+    return events.filter(F.col(ts).isNotNull()).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(list(ids))
+
+
+def late_rows(progress: Sequence[dict]) -> int:
+    """Rows that came after the watermark and were left out, of a query's progress reports (``query.recentProgress``). A stateful operator
+    counts them as it sees them: those behind a partial aggregate as groups.
+    """
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
+
+
+def hourly(events: DataFrame, late: str = "2 hours", channel: str = "event_type", value: str = "value", ts: str = "ts", ids: Sequence[str] = ()) -> DataFrame:
+    """channel, ts, x: hourly means of a stream (or, the same, of a table). With ``ids``, events that are sent again count once."""
+    rows = deduplicated(events, ids, late, ts) if ids else events
+    rows = rows.select(F.col(channel).alias("channel"), (F.col(ts) if ids else F.col(ts).cast("timestamp")).alias("ts"), F.col(value).cast("double").alias("v"))
+    rows = rows if ids else rows.withWatermark("ts", late)
     return rows.groupBy("channel", F.window("ts", "1 hour")).agg(F.avg("v").alias("x")).select("channel", F.col("window.start").alias("ts"), "x")
 
 
