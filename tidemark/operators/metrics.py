@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.signal import series_keys
+
 
 def persistence(series: DataFrame, horizons: int = 24, value: str = "x") -> DataFrame:
-    """The last-value forecast: channel, idx (of the forecast), horizon, prediction."""
-    known = series.filter(F.col(value).isNotNull()).select("channel", "idx", F.col(value).alias("prediction"))
+    """The last-value forecast: channel (and the series), idx (of the forecast), horizon, prediction."""
+    known = series.filter(F.col(value).isNotNull()).select(*series_keys(series), "channel", "idx", F.col(value).alias("prediction"))
     return known.withColumn("horizon", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizons).cast("long"))))
 
 
 def with_actual(forecast: DataFrame, series: DataFrame, value: str = "x") -> DataFrame:
     """forecast with actual, of the steps where it is known, and baseline, the value when the forecast was made; an equi-join on the target step."""
-    actual = series.filter(F.col(value).isNotNull()).select("channel", F.col("idx").alias("at"), F.col(value).alias("actual"))
-    base = series.filter(F.col(value).isNotNull()).select("channel", "idx", F.col(value).alias("baseline"))
+    keys = [*series_keys(forecast, series), "channel"]
+    actual = series.filter(F.col(value).isNotNull()).select(*keys, F.col("idx").alias("at"), F.col(value).alias("actual"))
+    base = series.filter(F.col(value).isNotNull()).select(*keys, "idx", F.col(value).alias("baseline"))
     finite = F.col("prediction").isNotNull() & ~F.isnan("prediction")
-    return forecast.filter(finite).withColumn("at", F.col("idx") + F.col("horizon")).join(actual, ["channel", "at"]).join(base, ["channel", "idx"], "left")
+    return forecast.filter(finite).withColumn("at", F.col("idx") + F.col("horizon")).join(actual, [*keys, "at"]).join(base, [*keys, "idx"], "left")
 
 
 def errors(joined: DataFrame) -> DataFrame:

@@ -8,21 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.events import with_extrema
+from tidemark.operators.signal import KEYS, series_keys
 from tidemark.operators.windows import starts
 
 EPS = 1e-12
 
 
 def pairs_of(sig: DataFrame, channels: Sequence[str]) -> DataFrame:
-    """(a_ch, b_ch, idx, a_s, b_s, a_d1, b_d1) for each pair of channels in their order.
+    """(the series, a_ch, b_ch, idx, a_s, b_s, a_d1, b_d1) for each pair of channels in their order.
 
     A step's channels are few: one row per step holds them, and is exploded into its pairs.
     """
-    by_step = sig.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("s", "d1")))).alias("m"))
+    side = series_keys(sig)
+    by_step = sig.groupBy(*side, "idx").agg(F.map_from_entries(F.collect_list(F.struct("channel", F.struct("s", "d1")))).alias("m"))
     pairs = [(a, b) for i, a in enumerate(channels) for b in channels[i + 1 :]]
     both = F.array(*[F.struct(F.lit(a).alias("a_ch"), F.lit(b).alias("b_ch"), F.try_element_at("m", F.lit(a)).alias("a"), F.try_element_at("m", F.lit(b)).alias("b")) for a, b in pairs])
-    out = by_step.select("idx", F.explode(both).alias("p"))
-    return out.select("p.a_ch", "p.b_ch", "idx", F.col("p.a.s").alias("a_s"), F.col("p.b.s").alias("b_s"), F.col("p.a.d1").alias("a_d1"), F.col("p.b.d1").alias("b_d1"))
+    out = by_step.select(*side, "idx", F.explode(both).alias("p"))
+    return out.select(*side, "p.a_ch", "p.b_ch", "idx", F.col("p.a.s").alias("a_s"), F.col("p.b.s").alias("b_s"), F.col("p.a.d1").alias("a_d1"), F.col("p.b.d1").alias("b_d1"))
 
 
 PAIR = ("a_ch", "b_ch")
@@ -43,7 +45,8 @@ def correlations(pairs: DataFrame, length: int = 24, stride: int = 1, max_lag: i
 
     Sums over shifted columns and shorter frames of one sort: no row is repeated for a lag.
     """
-    w = Window.partitionBy(*PAIR).orderBy("idx")
+    keys = (*series_keys(pairs), *PAIR)
+    w = Window.partitionBy(*keys).orderBy("idx")
     f = w.rowsBetween(0, length - 1)
     a, b = F.col("a_s"), F.col("b_s")
     cols = {"_r0": F.round(_corr(a, b, f), 9)}
@@ -63,7 +66,7 @@ def correlations(pairs: DataFrame, length: int = 24, stride: int = 1, max_lag: i
         out = out.withColumn(f"_best{lag}", best)
         best = F.col(f"_best{lag}")
     out = out.withColumn("correlation", F.col("_r0")).withColumn("lag_correlation", best)
-    return starts(out, length, stride, PAIR).select("window_id", *PAIR, "correlation", "lag_correlation", "slope_ratio")
+    return starts(out, length, stride, keys).select("window_id", *keys, "correlation", "lag_correlation", "slope_ratio")
 
 
 def synchronous(sig: DataFrame, n_steps: int, length: int = 24, stride: int = 1, tolerance: int = 1) -> DataFrame:
@@ -73,9 +76,11 @@ def synchronous(sig: DataFrame, n_steps: int, length: int = 24, stride: int = 1,
     """
     from tidemark.operators.windows import event_bridge
 
-    ev = with_extrema(sig).filter("ext_sign is not null").select("channel", "idx")
-    left = event_bridge(ev, n_steps, length, stride).select("window_id", F.col("channel").alias("a_ch"), "idx")
-    near = event_bridge(ev, n_steps, length, stride).select("window_id", F.col("channel").alias("b_ch"), F.col("idx").alias("at"))
+    side = series_keys(sig)
+    own = [*side, "window_id"]
+    ev = with_extrema(sig, (*side, *KEYS)).filter("ext_sign is not null").select(*side, "channel", "idx")
+    left = event_bridge(ev, n_steps, length, stride).select(*own, F.col("channel").alias("a_ch"), "idx")
+    near = event_bridge(ev, n_steps, length, stride).select(*own, F.col("channel").alias("b_ch"), F.col("idx").alias("at"))
     near = near.withColumn("idx", F.explode(F.sequence(F.col("at") - tolerance, F.col("at") + tolerance)))
-    hit = left.join(near, ["window_id", "idx"]).filter("a_ch < b_ch").groupBy("window_id", "a_ch", "b_ch", "idx").agg(F.min(F.abs(F.col("idx") - F.col("at"))).alias("lag"))
-    return hit.groupBy("window_id", "a_ch", "b_ch").agg(F.count(F.lit(1)).alias("sync_count"), F.avg("lag").alias("mean_event_lag"))
+    hit = left.join(near, [*own, "idx"]).filter("a_ch < b_ch").groupBy(*own, "a_ch", "b_ch", "idx").agg(F.min(F.abs(F.col("idx") - F.col("at"))).alias("lag"))
+    return hit.groupBy(*own, "a_ch", "b_ch").agg(F.count(F.lit(1)).alias("sync_count"), F.avg("lag").alias("mean_event_lag"))

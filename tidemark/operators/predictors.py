@@ -220,7 +220,8 @@ def regimes(labels: DataFrame, config: Regimes = Regimes(), keys: Sequence[str]
 
 
 def windows_in_blocks(blocks: DataFrame, length: int = 24, stride: int = 1) -> DataFrame:
-    """Every window that lies wholly in a block: block_id, start_idx, end_idx, numbered from 0 by place."""
+    """Every window that lies wholly in a block: the series, block_id, start_idx, end_idx."""
+    side = [c for c in blocks.columns if c not in ("block_id", "start_idx", "end_idx")]
     fits = blocks.filter(F.col("end_idx") - F.col("start_idx") + 1 >= length)
-    out = fits.select("block_id", F.explode(F.sequence(F.col("start_idx"), F.col("end_idx") - length + 1, F.lit(stride).cast("long"))).alias("start_idx"))
+    out = fits.select(*side, "block_id", F.explode(F.sequence(F.col("start_idx"), F.col("end_idx") - length + 1, F.lit(stride).cast("long"))).alias("start_idx"))
     return out.withColumn("end_idx", F.col("start_idx") + length - 1)

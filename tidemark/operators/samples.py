@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.signal import series_keys
+
 
 def target_count(strategy: str = "extrema", horizon: int = 24, stride: int = 1, min_length: int = 6, explicit: int | None = None) -> int:
     """How many target windows a sample has."""
@@ -21,11 +23,13 @@ BUCKET = 65_536
 
 
 def numbered(df: DataFrame, by: str = "start_idx", keys: tuple[str, ...] = (), name: str = "pos") -> DataFrame:
-    """df with each row's place from 0 in the order of ``by`` (a number; ties: any order).
+    """df with each row's place from 0 in the order of ``by`` (a number; ties: any order). Rows whose ``by`` is null have no place
+    and are left out.
 
     Rows are numbered inside buckets of ``by``; a bucket's first number is the rows of the buckets before it, of which there are
     few. So no task sees a whole series.
     """
+    df = df.filter(F.col(by).isNotNull())
     bucket = F.floor(F.col(by) / BUCKET)
     own = Window.partitionBy(*keys, "_bucket").orderBy(by)
     out = df.withColumn("_bucket", bucket).withColumn("_own", F.row_number().over(own).cast("long") - 1)
@@ -35,10 +39,6 @@ def numbered(df: DataFrame, by: str = "start_idx", keys: tuple[str, ...] = (), n
     return out.join(counts, [*keys, "_bucket"]).withColumn(name, F.col("_own") + F.col("_first")).drop("_bucket", "_own", "_first")
 
 
-def series_keys(df: DataFrame) -> tuple[str, ...]:
-    return ("series_id",) if "series_id" in df.columns else ()
-
-
 def history_frames(windows: DataFrame, history: int = 4, by: str = "start_idx") -> DataFrame:
     """windows with history_ids, the ids of the last ``history`` windows, this one last; only whole histories.
 
@@ -52,13 +52,15 @@ def history_frames(windows: DataFrame, history: int = 4, by: str = "start_idx")
 
 
 def targets_at_offsets(windows: DataFrame, horizon: int = 24, stride: int = 1, count: int = 24) -> DataFrame:
-    """window_id and target_ids: the windows that start horizon, horizon + stride ... steps later, if all of them exist.
+    """window_id (and the series) and target_ids: the windows of the series that start horizon, horizon + stride ... steps later, if
+    all of them exist.
 
     Each window asks for its targets' starts; the join is on the start.
     """
-    asked = windows.select("window_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.col("start_idx") + horizon + k * stride)).alias("k", "start_idx"))
-    found = asked.join(windows.select("start_idx", F.col("window_id").alias("target_id")), "start_idx")
-    ids = found.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "target_id"))), lambda v: v["target_id"]).alias("target_ids"))
+    keys = series_keys(windows)
+    asked = windows.select(*keys, "window_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.col("start_idx") + horizon + k * stride)).alias("k", "start_idx"))
+    found = asked.join(windows.select(*keys, "start_idx", F.col("window_id").alias("target_id")), [*keys, "start_idx"])
+    ids = found.groupBy(*keys, "window_id").agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("k", "target_id"))), lambda v: v["target_id"]).alias("target_ids"))
     return ids.filter(F.col("n") == count).drop("n")
 
 
@@ -97,28 +99,36 @@ def targets_by_time(windows: DataFrame, horizon: int = 24, count: int = 3, ancho
 
 
 def samples(windows: DataFrame, labels: DataFrame | None = None, horizon: int = 24, stride: int = 1, history: int = 4, count: int = 24, same_block: bool = False) -> DataFrame:
-    """source_window_id, history_ids, target_ids, and with labels their pattern ids (-1 where a window has none).
+    """source_window_id (and the series), history_ids, target_ids, and with labels their pattern ids (-1 where a window has none).
+    A window's id need be unique in its series alone; labels without series hold for all of them.
 
     Vectors stay in their own table and are joined by id when they are needed: a sample repeats none.
     """
-    out = history_frames(windows, history).select("window_id", "history_ids").join(targets_at_offsets(windows, horizon, stride, count), "window_id")
+    keys = series_keys(windows)
+    own = [*keys, "window_id"]
+    out = history_frames(windows, history).select(*own, "history_ids").join(targets_at_offsets(windows, horizon, stride, count), own)
     if same_block:
-        blocks = windows.select(F.col("window_id").alias("id"), "block_id")
-        each = out.select("window_id", F.explode(F.concat("history_ids", "target_ids")).alias("id")).join(blocks, "id")
-        whole = each.groupBy("window_id").agg(F.min("block_id").alias("a"), F.max("block_id").alias("z"), F.count("block_id").alias("n"), F.count(F.lit(1)).alias("m")).filter("a = z and n = m")
-        out = out.join(whole.select("window_id"), "window_id", "left_semi")
+        blocks = windows.select(*keys, F.col("window_id").alias("id"), "block_id")
+        each = out.select(*own, F.explode(F.concat("history_ids", "target_ids")).alias("id")).join(blocks, [*keys, "id"])
+        whole = each.groupBy(*own).agg(F.min("block_id").alias("a"), F.max("block_id").alias("z"), F.count("block_id").alias("n"), F.count(F.lit(1)).alias("m")).filter("a = z and n = m")
+        out = out.join(whole.select(*own), own, "left_semi")
     if labels is not None:
         for ids in ("history_ids", "target_ids"):
-            each = out.select("window_id", F.posexplode(ids).alias("k", "id")).join(labels.select(F.col("window_id").alias("id"), "pattern_id"), "id", "left")
-            each = each.groupBy("window_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("pattern_id", F.lit(-1)).alias("p")))), lambda v: v["p"]).alias(ids.replace("_ids", "_patterns")))
-            out = out.join(each, "window_id")
+            side = series_keys(windows, labels)
+            each = out.select(*own, F.posexplode(ids).alias("k", "id")).join(labels.select(*side, F.col("window_id").alias("id"), "pattern_id"), [*side, "id"], "left")
+            each = each.groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.coalesce("pattern_id", F.lit(-1)).alias("p")))), lambda v: v["p"]).alias(ids.replace("_ids", "_patterns")))
+            out = out.join(each, own)
     return out.withColumnRenamed("window_id", "source_window_id")
 
 
 def chronological_split(df: DataFrame, order: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """df with pos and split. Cuts are at int(n * share), at least one row away from the ends; fewer than 4 rows can't be split."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"))
-    out = numbered(df, order).join(F.broadcast(n))
+    """df with pos and split, each series by itself. Cuts are at int(n * share), at least one row away from the ends; fewer than 4
+    rows can't be split, and rows without an order have no place.
+    """
+    keys = series_keys(df)
+    n = df.filter(F.col(order).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    out = numbered(df, order, keys)
+    out = out.join(n, list(keys)) if keys else out.join(F.broadcast(n))  # one row without series
     a = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(F.col("_n") * train)))
     z = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.floor(F.col("_n") * (train + validation))))
     z = F.when(z <= a, F.least(F.col("_n") - 1, a + 1)).otherwise(z)
@@ -135,12 +145,13 @@ def stitched(parts: list[tuple[DataFrame, int, int | None]]) -> DataFrame:
 
 
 def boundary_union(*segments: DataFrame) -> DataFrame:
-    """The distinct starts and ends of all segments, with how many segment tables have each: idx, n_tables."""
+    """The distinct starts and ends of all segments (of each series), with how many segment tables have each: idx, n_tables."""
+    keys = series_keys(*segments)
     out = None
     for i, s in enumerate(segments):
-        b = s.select(F.explode(F.array("start_idx", "end_idx")).alias("idx")).distinct().withColumn("_k", F.lit(i))
+        b = s.select(*keys, F.explode(F.array("start_idx", "end_idx")).alias("idx")).distinct().withColumn("_k", F.lit(i))
         out = b if out is None else out.unionByName(b)
-    return out.groupBy("idx").agg(F.count(F.lit(1)).alias("n_tables"))
+    return out.groupBy(*keys, "idx").agg(F.count(F.lit(1)).alias("n_tables"))
 
 
 def next_targets(series: DataFrame, value: str = "x", hours: int = 24, keys: tuple[str, ...] = ("channel",)) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.equations import DYN, FIT, HARMONIC_SET, PLAIN_SET, Walk, best_fit, dynamics_value, fit_dynamics, value_at
-from tidemark.operators.signal import KEYS
+from tidemark.operators.samples import numbered
+from tidemark.operators.signal import KEYS, series_keys
 
 SEGMENT = "segment_id long, start_idx long, end_idx long, duration long, x0 double, " + FIT
 
@@ -41,16 +42,22 @@ def segmented(series: DataFrame, tolerance: float = 1.0, harmonic: bool = True,
     return series.select(*keys, "idx", value).groupBy(*keys).applyInPandas(run, schema)
 
 
+def pieces_between(cuts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """cuts (keys, start_idx, each once in its series) with segment_id, their number, and end_idx, the next cut (null for the last)."""
+    at = numbered(cuts, "start_idx", tuple(keys), "segment_id")
+    after = at.select(*keys, (F.col("segment_id") - 1).alias("segment_id"), F.col("start_idx").alias("end_idx"))
+    return at.join(after, [*keys, "segment_id"], "left")
+
+
 def joint_refit(boundaries: DataFrame, series: DataFrame, value: str = "x", harmonic: Sequence[str] = (), bucket: int = 64) -> DataFrame:
-    """segment_id, start_idx, duration, channel, x0 and a fit for each channel on each piece between boundaries (idx), both ends
-    included. Pieces are exploded into buckets of steps for the join with the series; the groups are the pieces.
+    """The series, segment_id, start_idx, duration, channel, x0 and a fit for each channel on each piece between boundaries (idx) of the
+    series, both ends included. Pieces are exploded into buckets of steps for the join with the series; the groups are the pieces.
     """
-    w = Window.partitionBy().orderBy("idx")  # boundaries of one series
-    pieces = boundaries.select("idx").distinct().select((F.row_number().over(w) - 1).cast("long").alias("segment_id"), F.col("idx").alias("start_idx"), F.lead("idx").over(w).alias("end_idx"))
-    pieces = pieces.filter("end_idx > start_idx")
+    side = list(series_keys(boundaries, series))
+    pieces = pieces_between(boundaries.select(*side, F.col("idx").alias("start_idx")).distinct(), side).filter("end_idx > start_idx")
     spread = pieces.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_idx") / bucket), F.floor(F.col("end_idx") / bucket))))
-    points = series.select("channel", "idx", F.col(value).alias("v")).withColumn("_b", F.floor(F.col("idx") / bucket))
-    inside = points.join(spread, "_b").filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
+    points = series.select(*side, "channel", "idx", F.col(value).alias("v")).withColumn("_b", F.floor(F.col("idx") / bucket))
+    inside = points.join(spread, [*side, "_b"]).filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx")
@@ -58,10 +65,11 @@ def joint_refit(boundaries: DataFrame, series: DataFrame, value: str = "x", harm
         channel, start = g["channel"].iloc[0], int(g["start_idx"].iloc[0])
         first = y[0] if g["idx"].iloc[0] == start and np.isfinite(y[0]) else 0.0
         f = best_fit(y[np.isfinite(y)], HARMONIC_SET if channel in harmonic else PLAIN_SET, 10.0 if channel in harmonic else 5.0)
-        row = (g["segment_id"].iloc[0], start, int(g["end_idx"].iloc[0]) - start, channel, first, f.eq_type, f.L, f.c, f.lam, f.A, f.B, f.rms, f.n_points)
-        return pd.DataFrame([row], columns=["segment_id", "start_idx", "duration", "channel", "x0", *[c.split()[0] for c in FIT.split(", ")]])
+        row = (*[g[k].iloc[0] for k in side], g["segment_id"].iloc[0], start, int(g["end_idx"].iloc[0]) - start, channel, first, f.eq_type, f.L, f.c, f.lam, f.A, f.B, f.rms, f.n_points)
+        return pd.DataFrame([row], columns=[*side, "segment_id", "start_idx", "duration", "channel", "x0", *[c.split()[0] for c in FIT.split(", ")]])
 
-    return inside.groupBy("segment_id", "channel").applyInPandas(run, "segment_id long, start_idx long, duration long, channel string, x0 double, " + FIT)
+    types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in series.select(*side).schema)
+    return inside.groupBy(*side, "segment_id", "channel").applyInPandas(run, types + "segment_id long, start_idx long, duration long, channel string, x0 double, " + FIT)
 
 
 def evaluated(segments: DataFrame, series: DataFrame, value: str = "x", keys: Sequence[str] = KEYS, bucket: int = 64) -> DataFrame:
@@ -149,21 +157,25 @@ def dynamics_boundaries(series: DataFrame, tolerance: float = 2.4, least: int =
 
 
 def dynamics_fits(series: DataFrame, cuts: DataFrame, value: str = "s", bucket: int = 64) -> DataFrame:
-    """Per piece of the union of all channels' cuts (start_idx) and channel: DYN columns, and synchrony, the channels that cut there."""
-    w = Window.partitionBy().orderBy("start_idx")
-    last = series.agg(F.max("idx").alias("last"))
-    union = cuts.groupBy("start_idx").agg(F.count(F.lit(1)).alias("synchrony"))
-    pieces = union.withColumn("segment_id", (F.row_number().over(w) - 1).cast("long")).withColumn("end_idx", F.lead("start_idx").over(w) - 1)
-    pieces = pieces.join(F.broadcast(last)).withColumn("end_idx", F.coalesce("end_idx", "last")).drop("last")
+    """Per piece of the union of all channels' cuts (start_idx) in a series and channel: DYN columns, and synchrony, the channels that
+    cut there.
+    """
+    side = list(series_keys(series, cuts))
+    last = series.groupBy(*side).agg(F.max("idx").alias("last"))
+    union = cuts.groupBy(*side, "start_idx").agg(F.count(F.lit(1)).alias("synchrony"))
+    pieces = pieces_between(union, side).withColumn("end_idx", F.col("end_idx") - 1)
+    pieces = pieces.join(last, side) if side else pieces.join(F.broadcast(last))  # one row without series
+    pieces = pieces.withColumn("end_idx", F.coalesce("end_idx", "last")).drop("last")
     spread = pieces.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_idx") / bucket), F.floor(F.col("end_idx") / bucket))))
-    points = series.select("channel", "idx", F.col(value).alias("v")).withColumn("_b", F.floor(F.col("idx") / bucket))
-    inside = points.join(spread, "_b").filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
+    points = series.select(*side, "channel", "idx", F.col(value).alias("v")).withColumn("_b", F.floor(F.col("idx") / bucket))
+    inside = points.join(spread, [*side, "_b"]).filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
     names = [c.split()[0] for c in DYN.split(", ")]
+    whole = [*side, "segment_id", "start_idx", "end_idx", "synchrony", "channel"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("idx")
         d = fit_dynamics(g["v"].to_numpy(float))
-        row = [g[k].iloc[0] for k in ("segment_id", "start_idx", "end_idx", "synchrony", "channel")]
-        return pd.DataFrame([row + [d[k] for k in names]], columns=["segment_id", "start_idx", "end_idx", "synchrony", "channel", *names])
+        return pd.DataFrame([[g[k].iloc[0] for k in whole] + [d[k] for k in names]], columns=[*whole, *names])
 
-    return inside.groupBy("segment_id", "channel").applyInPandas(run, "segment_id long, start_idx long, end_idx long, synchrony long, channel string, " + DYN)
+    types = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in series.select(*side).schema)
+    return inside.groupBy(*side, "segment_id", "channel").applyInPandas(run, types + "segment_id long, start_idx long, end_idx long, synchrony long, channel string, " + DYN)

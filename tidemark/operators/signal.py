@@ -16,6 +16,11 @@ from pyspark.sql import functions as F
 KEYS = ("channel",)
 
 
+def series_keys(*tables: DataFrame) -> tuple[str, ...]:
+    """The column that tells series apart, if all of the tables have it."""
+    return ("series_id",) if all("series_id" in t.columns for t in tables) else ()
+
+
 def ordered(keys: Sequence[str] = KEYS):
     return Window.partitionBy(*keys).orderBy("idx")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.events import with_extrema, with_peaks
-from tidemark.operators.signal import KEYS, ordered
+from tidemark.operators.signal import KEYS, ordered, series_keys
 
 
 def frame(length: int, keys: Sequence[str] = KEYS):
@@ -73,12 +73,12 @@ def thresholds(grid: DataFrame, upper: float = 0.9, lower: float = 0.1, keys: Se
 def hazard_features(sig: DataFrame, bounds: DataFrame, pair: tuple[str, str] | None = None, length: int = 24, stride: int = 1, keys: Sequence[str] = KEYS) -> DataFrame:
     """13 hazard features of each window and channel over raw values and peaks.
 
-    bounds has one row per channel and is broadcast as such. ``pair`` names the two channels whose joint excess makes
+    bounds has one row per channel (of a series). ``pair`` names the two channels whose joint excess makes
     a compound event; the flag is the same for all channels.
     """
     f = frame(length, keys)
     x, u, low = F.col("x"), F.col("upper"), F.col("lower")
-    out = with_peaks(sig, keys).join(F.broadcast(bounds), list(keys))
+    out = with_peaks(sig, keys).join(bounds, list(keys))
     side = [k for k in keys if k != "channel"]
     joint = F.lit(0)
     if pair:
@@ -120,19 +120,21 @@ def event_bridge(events: DataFrame, n_steps: int, length: int = 24, stride: int
 
 def ranges_bridge(events: DataFrame, ranges: DataFrame, bucket: int = 64) -> DataFrame:
     """Events with the variable ranges (range_id, start_idx, end_idx) that hold them: ranges are exploded into buckets of
-    steps, the join is on the bucket, and the bounds are checked within it.
+    steps, the join is on the bucket (of the series), and the bounds are checked within it.
     """
+    keys = series_keys(events, ranges)
     r = ranges.filter("end_idx >= start_idx").withColumn("_b", F.explode(F.sequence(F.floor(F.col("start_idx") / bucket), F.floor(F.col("end_idx") / bucket))))
-    return events.withColumn("_b", F.floor(F.col("idx") / bucket)).join(r, "_b").filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx"))).drop("_b")
+    return events.withColumn("_b", F.floor(F.col("idx") / bucket)).join(r, [*keys, "_b"]).filter(F.col("idx").between(F.col("start_idx"), F.col("end_idx"))).drop("_b")
 
 
 def time_block(bridge: DataFrame, peaks_bridge: DataFrame, length: int = 24, stride: int = 1) -> DataFrame:
-    """Per window: gaps between events of all channels (mean, population variance), peak widths (mean, max), event places
+    """Per window (of a series): gaps between events of all channels (mean, population variance), peak widths (mean, max), event places
     as shares of the window. bridge and peaks_bridge are what event_bridge() gives for extrema and for peaks.
     """
-    w = Window.partitionBy("window_id").orderBy("idx", "channel")
+    keys = [*series_keys(bridge, peaks_bridge), "window_id"]
+    w = Window.partitionBy(*keys).orderBy("idx", "channel")
     gaps = bridge.withColumn("gap", (F.col("idx") - F.lag("idx").over(w)).cast("double")).withColumn("place", (F.col("idx") - F.col("window_id") * stride) / F.lit(max(length - 1, 1)))
-    a = gaps.groupBy("window_id").agg(F.avg("gap").alias("mean_gap"), F.var_pop("gap").alias("var_gap"), F.count(F.lit(1)).alias("n_events"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "channel", "place"))), lambda v: v["place"]).alias("places"))
-    b = peaks_bridge.groupBy("window_id").agg(F.avg("width").alias("mean_width"), F.max("width").alias("max_width"))
-    out = a.join(b, "window_id", "full")
-    return out.select("window_id", *[_or0(F.col(c)).alias(c) for c in ("mean_gap", "var_gap", "mean_width", "max_width")], F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("places", F.array().cast("array<double>")).alias("places"))
+    a = gaps.groupBy(*keys).agg(F.avg("gap").alias("mean_gap"), F.var_pop("gap").alias("var_gap"), F.count(F.lit(1)).alias("n_events"), F.transform(F.array_sort(F.collect_list(F.struct("idx", "channel", "place"))), lambda v: v["place"]).alias("places"))
+    b = peaks_bridge.groupBy(*keys).agg(F.avg("width").alias("mean_width"), F.max("width").alias("max_width"))
+    out = a.join(b, keys, "full")
+    return out.select(*keys, *[_or0(F.col(c)).alias(c) for c in ("mean_gap", "var_gap", "mean_width", "max_width")], F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("places", F.array().cast("array<double>")).alias("places"))

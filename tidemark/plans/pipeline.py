@@ -19,7 +19,7 @@ class Prepared:
     intra: DataFrame
     inter: DataFrame
     hazard: DataFrame
-    vectors: DataFrame  # window_id, v
+    vectors: DataFrame  # the series, window_id, v
 
     def tables(self) -> dict[str, DataFrame]:
         return dict(vars(self))
@@ -28,26 +28,28 @@ class Prepared:
 def prepare(grid: DataFrame, channels: list[str], config: Config = Config(), compound: tuple[str, str] | None = ("wind_speed", "rainfall")) -> Prepared:
     """All features of all windows, in long tables, and one vector per window: intra, inter and hazard features in the order of channels."""
     w = config.windows
-    sig = signal.signal(grid, width=config.smooth)
+    keys = (*signal.series_keys(grid), *signal.KEYS)
+    sig = signal.signal(grid, width=config.smooth, keys=keys)
     both = compound if compound and set(compound) <= set(channels) else None
-    intra = windows.intra_features(sig, w.length, w.stride)
+    intra = windows.intra_features(sig, w.length, w.stride, keys)
     inter = pairs.correlations(pairs.pairs_of(sig, channels), w.length, w.stride, w.max_lag)
-    hazard = windows.hazard_features(sig, windows.thresholds(grid, config.upper, config.lower), both, w.length, w.stride)
-    return Prepared(sig, events.extrema(sig), events.peaks(sig), intra, inter, hazard, window_vectors(intra, inter, hazard, channels))
+    hazard = windows.hazard_features(sig, windows.thresholds(grid, config.upper, config.lower, keys), both, w.length, w.stride, keys)
+    return Prepared(sig, events.extrema(sig, keys), events.peaks(sig, keys), intra, inter, hazard, window_vectors(intra, inter, hazard, channels))
 
 
 def window_vectors(intra: DataFrame, inter: DataFrame, hazard: DataFrame, channels: list[str]) -> DataFrame:
-    """window_id, v: features by row, channels within, the pairs' block between the channels' two."""
+    """window_id (and the series), v: features by row, channels within, the pairs' block between the channels' two."""
+    keys = signal.series_keys(intra, inter, hazard)
     order = F.array(*[F.lit(c) for c in channels])
 
     def block(df: DataFrame, names: tuple[str, ...], place, k: int) -> DataFrame:
         each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(i).alias("i"), place.alias("j"), F.col(n).alias("x")) for i, n in enumerate(names)]))
-        return df.select("window_id", each.alias("c"))
+        return df.select(*keys, "window_id", each.alias("c"))
 
     here = F.array_position(order, F.col("channel"))
     pair = F.array_position(order, F.col("a_ch")) * 1000 + F.array_position(order, F.col("b_ch"))
     parts = block(intra, windows.INTRA, here, 0).unionByName(block(inter, ("correlation", "lag_correlation", "slope_ratio"), pair, 1)).unionByName(block(hazard, windows.HAZARD, here, 2))
-    return parts.groupBy("window_id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["x"]).alias("v"))
+    return parts.groupBy(*keys, "window_id").agg(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["x"]).alias("v"))
 
 
 def discover(prepared: Prepared, least: int = 24, sample_size: int = 2048) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +63,7 @@ def discover(prepared: Prepared, least: int = 24, sample_size: int = 2048) -> tu
 
 def sequence_samples(prepared: Prepared, labels: DataFrame, config: Config = Config()) -> DataFrame:
     w = config.windows
-    starts = prepared.intra.select("window_id").distinct().withColumn("start_idx", F.col("window_id") * w.stride)
+    starts = prepared.intra.select(*signal.series_keys(prepared.intra), "window_id").distinct().withColumn("start_idx", F.col("window_id") * w.stride)
     return samples.samples(starts, labels, w.horizon, w.stride, w.history, samples.target_count("extrema", w.horizon, w.stride))
 
 
@@ -97,10 +99,11 @@ def ridge_forecast(vectors: DataFrame, targets: DataFrame, penalty: float = 1.0)
 
 
 def feature_vectors(intra: DataFrame, channels: list[str]) -> DataFrame:
-    """window_id, v: the intra features of all channels, by channel."""
+    """window_id (and the series), v: the intra features of all channels, by channel."""
+    keys = signal.series_keys(intra)
     own = F.struct("channel", F.array(*[F.col(n).cast("double") for n in windows.INTRA]).alias("f"))
-    by = intra.filter(F.col("channel").isin(*channels)).groupBy("window_id").agg(F.array_sort(F.collect_list(own)).alias("c"))
-    return by.select("window_id", F.flatten(F.transform("c", lambda c: c["f"])).alias("v"))
+    by = intra.filter(F.col("channel").isin(*channels)).groupBy(*keys, "window_id").agg(F.array_sort(F.collect_list(own)).alias("c"))
+    return by.select(*keys, "window_id", F.flatten(F.transform("c", lambda c: c["f"])).alias("v"))
 
 
 def ridge_fits(rows: DataFrame, keys: tuple[str, ...], penalty: float = 1.0) -> DataFrame:
@@ -132,19 +135,23 @@ def ridge_fits(rows: DataFrame, keys: tuple[str, ...], penalty: float = 1.0) ->
 
 
 def backtest(vectors: DataFrame, series: DataFrame, length: int = 24, horizons: int = 24, penalty: float = 1.0, value: str = "s") -> DataFrame:
-    """split, channel, horizon (null: all) and errors of ridge forecasts and of the last value on validation and test windows.
+    """split, channel, horizon (null: all) and errors of ridge forecasts and of the last value on validation and test windows. Each series
+    has its own split and fits; errors are over all series.
 
     A window's forecasts are made at its last step; windows are split in order, and those whose targets reach past the training
     windows aren't fitted on.
     """
-    placed = samples.chronological_split(vectors.select("window_id"), "window_id").select("window_id", "split", (F.col("window_id") + length - 1).alias("idx"))
-    last = placed.filter("split = 'train'").agg(F.max("idx").alias("_last"))
-    known = series.filter(F.col(value).isNotNull()).select("channel", F.col("idx").alias("at"), F.col(value).alias("y"))
+    side = list(signal.series_keys(vectors, series))
+    own = [*side, "window_id"]
+    placed = samples.chronological_split(vectors.select(*own), "window_id").select(*own, "split", (F.col("window_id") + length - 1).alias("idx"))
+    last = placed.filter("split = 'train'").groupBy(*side).agg(F.max("idx").alias("_last"))
+    known = series.filter(F.col(value).isNotNull()).select(*side, "channel", F.col("idx").alias("at"), F.col(value).alias("y"))
     ask = placed.withColumn("horizon", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(horizons).cast("long")))).withColumn("at", F.col("idx") + F.col("horizon"))
-    train = ask.filter("split = 'train'").join(F.broadcast(last)).filter("at <= _last").join(known, "at").join(vectors, "window_id")
-    fits = ridge_fits(train.select("channel", "horizon", "v", "y"), ("channel", "horizon"), penalty)
-    later = ask.filter("split <> 'train'").join(vectors, "window_id").join(F.broadcast(fits), "horizon")  # a row a channel and horizon
-    made = later.select("split", "channel", "idx", "horizon", (F.aggregate(F.zip_with("v", "w", lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x) + F.col("b")).alias("prediction"))
+    train = ask.filter("split = 'train'")
+    train = (train.join(last, side) if side else train.join(F.broadcast(last))).filter("at <= _last").join(known, [*side, "at"]).join(vectors, own)
+    fits = ridge_fits(train.select(*side, "channel", "horizon", "v", "y"), (*side, "channel", "horizon"), penalty)
+    later = ask.filter("split <> 'train'").join(vectors, own).join(fits, [*side, "horizon"])  # of a series, a row a channel and horizon
+    made = later.select("split", *side, "channel", "idx", "horizon", (F.aggregate(F.zip_with("v", "w", lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x) + F.col("b")).alias("prediction"))
     joined = metrics.with_actual(made, series, value)
     out = None
     for name in ("validation", "test"):
@@ -164,12 +171,13 @@ def load_fits(spark, path: str) -> DataFrame:
 
 def segments_as_windows(pieces: DataFrame, series: DataFrame, value: str = "s") -> DataFrame:
     """Pieces of joint dynamics as pattern windows: window_id, start_idx, end_idx, and by channel the deviations and starts as maps."""
-    starts = series.select("channel", F.col("idx").alias("start_idx"), F.col(value).alias("x0"))
-    both = pieces.select("segment_id", "start_idx", "end_idx", "channel", "std").join(starts, ["channel", "start_idx"], "left")
+    side = signal.series_keys(pieces, series)
+    starts = series.select(*side, "channel", F.col("idx").alias("start_idx"), F.col(value).alias("x0"))
+    both = pieces.select(*side, "segment_id", "start_idx", "end_idx", "channel", "std").join(starts, [*side, "channel", "start_idx"], "left")
     entries = F.array_sort(F.collect_list(F.struct("channel", F.coalesce("std", F.lit(0.0)).alias("std"), F.coalesce("x0", F.lit(0.0)).alias("x0"))))
-    out = both.groupBy(F.col("segment_id").alias("window_id"), "start_idx", "end_idx").agg(entries.alias("e"))
+    out = both.groupBy(*side, F.col("segment_id").alias("window_id"), "start_idx", "end_idx").agg(entries.alias("e"))
     maps = [F.map_from_arrays(F.col("e")["channel"], F.col("e")[k]).alias(n) for k, n in (("std", "channel_stds"), ("x0", "channel_x0"))]
-    return out.select("window_id", "start_idx", "end_idx", *maps)
+    return out.select(*side, "window_id", "start_idx", "end_idx", *maps)
 
 
 def discover_patterns(points: DataFrame, strategy: str = "structural", segmentation: str = "extrema") -> tuple[DataFrame, DataFrame]:
