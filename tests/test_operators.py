@@ -184,14 +184,13 @@ def test_clustering_parts(spark):
     d = clustering.pairwise(x)
     k, medoids = clustering.kmedoids(d, 3, seed=3)
     assert len(medoids) == 3 and clustering.silhouette(d, np.repeat([0, 1, 2], 40)) > 0.9
-    got, means, weights = clustering.leaders(x, 2.0)
-    assert len(means) == 3 and [len(set(got[a : a + 40])) for a in (0, 40, 80)] == [1, 1, 1] and weights.tolist() == [40, 40, 40]
-    protos, scores = clustering.leader_clusters(points, least=5, lower=2)
-    assert protos.count() >= 2 and scores
-    weights, means = clustering.merged_small(np.ones(10), rng.normal(size=(10, 2)), 1, 4)
-    assert len(weights) == len(means) == 4 and weights.sum() == 10
-    weights, means = clustering.merged_small(np.array([30.0, 30, 1, 2]), np.array([[0.0], [10], [1], [12]]), 24, 96)
-    assert weights.tolist() == [31, 32] and np.allclose(means[:, 0], [1 / 31, 324 / 32])
+    now = clustering.Leaders(2.0, 3)
+    got = [now.add(r) for r in x]
+    assert now.n == 3 and [len(set(got[a : a + 40])) for a in (0, 40, 80)] == [1, 1, 1] and now.counts[:3].tolist() == [40, 40, 40]
+    to, weights, means = clustering.merged_down(np.arange(10), np.ones(10), rng.normal(size=(10, 2)), 4)
+    assert len(weights) == len(means) == 4 and weights.sum() == 10 and sorted(set(to)) == [0, 1, 2, 3]
+    to, weights, means = clustering.merged_down(np.arange(4), np.array([30.0, 30, 1, 2]), np.array([[0.0], [10], [1], [12]]), 2)
+    assert to.tolist() == [0, 1, 0, 1] and weights.tolist() == [31, 32] and np.allclose(means[:, 0], [1 / 31, 324 / 32])
 
 
 def test_asof_and_split(spark):

@@ -237,19 +237,86 @@ def test_medoids_and_silhouette_of_all_points(spark):
     assert clustering.select_medoids(points.limit(0))[0].count() == 0
 
 
-def test_leaders_of_all_partitions(spark):
+def plain_leader_clusters(x, thresholds, least, lower, upper):
+    """The best threshold's labels and all scores, row by row."""
+    best, scores = None, {}
+    upper = max(2, min(upper, max(2, len(x) // least)))
+    lower = min(max(2, lower), upper)
+    for t in thresholds:
+        means, members = [], []
+        for i, row in enumerate(x):
+            d = [np.linalg.norm(m - row) for m in means]
+            j = int(np.argmin(d)) if d else -1
+            if d and d[j] <= t * (1 + 1e-9):
+                members[j].append(i)
+                means[j] = x[members[j]].mean(0)
+            else:
+                means.append(row)
+                members.append([i])
+        large = [j for j, m in enumerate(members) if len(m) >= least]
+        if large:
+            for j, m in enumerate(members):
+                if j not in large:
+                    for i in m:
+                        members[large[int(np.argmin([np.linalg.norm(means[g] - x[i]) for g in large]))]].append(i)
+                    members[j] = []
+            members = [m for m in members if m]
+        while len(members) > upper:
+            i = int(np.argmin([len(m) for m in members]))
+            c = [x[m].mean(0) for m in members]
+            j = int(np.argmin([np.inf if g == i else np.linalg.norm(c[g] - c[i]) for g in range(len(c))]))
+            members[j] = members[j] + members[i]
+            del members[i]
+        c, size = [x[m].mean(0) for m in members], np.array([len(m) for m in members])
+        score = -np.inf
+        if len(c) > 1:
+            gap = np.mean([min(np.linalg.norm(a - b) for k, b in enumerate(c) if k != i) for i, a in enumerate(c)])
+            off = np.mean([np.linalg.norm(x[i] - c[k]) for k, m in enumerate(members) for i in m])
+            score = gap / max(off, 1e-6) * (0.5 + 0.5 * size.min() / size.mean()) * min(1, len(c) / lower) * min(1, upper / len(c))
+        scores[t] = score
+        if best is None or score > best[0] + 1e-9 * abs(best[0]) or best[0] == -np.inf < score:
+            best = (score, {i: k for k, m in enumerate(members) for i in m}, c)
+    return best[1], best[2], scores
+
+
+@pytest.mark.parametrize("least, upper, spread", [(24, 96, 0.5), (5, 4, 2.0)])
+def test_leader_clusters_against_a_loop(spark, least, upper, spread):
     rng = np.random.default_rng(3)
-    centres = rng.normal(scale=50, size=(30, 5))
-    x = np.concatenate([rng.normal(c, 0.1, size=(40, 5)) for c in centres] + [rng.normal(500, 0.1, size=(1, 5))])
-    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(20)
-    found = clustering.all_leaders(points, 3.0)
-    assert sorted(w for w, _ in found) == [1.0] + [40.0] * 30
-    assert all(np.linalg.norm(centres - m, axis=1).min() < 0.2 for w, m in found if w > 1)
-    assert len(clustering.all_leaders(points, 1e-6, most=100)) <= 100
-    one = clustering.all_leaders(points.coalesce(1), 3.0)
-    _, means, _ = clustering.leaders(x, 3.0)
-    assert np.allclose(sorted(m.tolist() for _, m in one), sorted(means.tolist()))
-    assert clustering.leader_clusters(points.limit(0))[0].count() == 0
+    centres = rng.normal(scale=6, size=(12, 5))
+    x = np.concatenate([rng.normal(c, spread, size=(20, 5)) for c in centres] + [rng.normal(50, 0.1, size=(1, 5))])
+    x = x[rng.permutation(len(x))]
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    shares = (0.1, 0.15, 0.2, 0.25, 0.3)
+    thresholds = sorted({float(np.quantile(d.min(1), q)) for q in shares})
+    want, means, scores = plain_leader_clusters(x, thresholds, least, 12, upper)
+    for parts in (1, 7):
+        labels, table_, got = clustering.leader_clusters(points.repartition(parts), least=least, upper=upper)
+        assert np.allclose(sorted(got), thresholds) and np.allclose([got[t] for t in sorted(got)], [scores[t] for t in thresholds], rtol=1e-6)
+        assert {r.id: r.pattern_id for r in labels.collect()} == want
+        assert np.allclose(np.array([r.v for r in table_.orderBy("pattern_id").collect()]), means)
+
+
+def test_leaders_pass_over_far_means(spark):
+    """The same clusters as comparing every mean, with a small share of the comparisons; as many leaders as the threshold gives."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(scale=30, size=(4000, 6))
+    x[1::2] = x[::2] + rng.normal(scale=0.05, size=(2000, 6))
+    now = clustering.Leaders(1.0, 6)
+    got, means, counts, want, every = [now.add(r) for r in x], np.empty((4000, 6)), np.zeros(4000), [], 0
+    for r in x:
+        k = int(counts.astype(bool).sum())
+        every += k
+        d = ((means[:k] - r) ** 2).sum(1)
+        j = int(d.argmin()) if k and d.min() <= 1 else k
+        means[j] = r if j == k else means[j] + (r - means[j]) / (counts[j] + 1)
+        counts[j] += 1
+        want.append(j)
+    assert got == want and now.n > 1500 and now.compared < every / 10
+    assert clustering.leader_clusters(spark.createDataFrame([], "id long, v array<double>"))[0].count() == 0
+    one = clustering.leader_clusters(spark.createDataFrame([(1, [1.0, 2.0])], "id long, v array<double>"))
+    assert [tuple(r) for r in one[0].collect()] == [(1, 0)] and one[1].count() == 1
 
 
 def test_ridge_backtest_against_numpy(spark):

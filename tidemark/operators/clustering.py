@@ -1,8 +1,8 @@
 """Pattern discovery on vectors: nearest prototypes, Lloyd steps, quality, medoids, leaders.
 
 A table of prototypes has a stated size (k vectors) and is sent to the tasks; points never leave their partitions but as
-sums per cluster. Leaders are found in each partition and merged by weight; medoids and silhouettes follow from clusters'
-means and variances, as distances between points are squared differences of vectors. Only thresholds come from a sample.
+sums per cluster, or in the one ordered pass that leaders need; medoids and silhouettes follow from clusters' means and
+variances, as distances between points are squared differences of vectors. Only thresholds come from a sample.
 """
 
 from __future__ import annotations
@@ -47,26 +47,32 @@ def centroids(points: DataFrame, labels: DataFrame, id_col: str = "id", vector:
     return each.groupBy("pattern_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda r: r["x"]).alias(vector))
 
 
-def first_points(points: DataFrame, k: int, seed: int, id_col: str, vector: str) -> np.ndarray:
-    """k points drawn by a hash of id and seed."""
-    start = points.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).select(vector).limit(k).collect()
+def first_points(points: DataFrame, k: int, seed: int, id_col: str, vector: str, turn: int | None = None) -> np.ndarray:
+    """k points drawn by a hash of id and seed, and of the turn where there is one."""
+    drawn = [F.lit(x) for x in (seed, turn) if x is not None]
+    start = points.orderBy(F.xxhash64(F.col(id_col), *drawn), id_col).select(vector).limit(k).collect()
     return np.array([[float(x) for x in r[0]] for r in start])
 
 
 def kmeans_tables(points: DataFrame, candidates: Sequence[int], rounds: int = 50, seed: int = 42, id_col: str = "id", vector: str = "v") -> dict[int, np.ndarray]:
-    """Prototypes by candidate k. Starts from k points drawn by a hash of id and seed; an empty cluster keeps its place.
+    """Prototypes by candidate k. Starts from k points drawn by a hash of id and seed; an empty cluster moves to a point drawn by a hash
+    of id, seed and round.
 
-    Each round reads the points once for all candidates whose prototypes still move; only prototypes come to the driver.
+    Each round reads the points once for all candidates whose prototypes still move, and once more to draw where clusters are
+    empty; only prototypes come to the driver.
     """
     start = first_points(points, max(candidates), seed, id_col, vector)
     now = {k: start[:k] for k in candidates}
     moving = set(now) if len(start) else set()
-    for _ in range(rounds):
+    for turn in range(rounds):
         if not moving:
             break
         sums = cluster_sums(points, {k: now[k] for k in moving}, vector)
+        empty = {k: [i for i in range(len(now[k])) if i not in sums[k]] for k in moving}
+        most = max(map(len, empty.values()))
+        drawn = first_points(points, most, seed, id_col, vector, turn) if most else None
         for k in sorted(moving):
-            new = np.array([sums[k][i][1] if i in sums[k] else v for i, v in enumerate(now[k])])
+            new = np.array([sums[k][i][1] if i in sums[k] else drawn[empty[k].index(i)] for i in range(len(now[k]))])
             if np.allclose(new, now[k], rtol=0, atol=1e-12):
                 moving.discard(k)
             else:
@@ -298,116 +304,172 @@ def select_medoids(points: DataFrame, candidates: Sequence[int] = range(8, 33, 4
     return as_table(points, list(enumerate(best)), vector), scores
 
 
-def leaders(x: np.ndarray, threshold: float, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(labels, means, weights) of rows taken in order: a row joins the nearest mean within the threshold and moves it, or founds a cluster."""
-    means, counts, labels, n = np.empty((16, x.shape[1])), np.empty(16), np.empty(len(x), dtype=int), 0
-    for i, row in enumerate(x):
-        w = 1.0 if weights is None else weights[i]
-        if n:
-            off = means[:n] - row
-            d = np.einsum("ij,ij->i", off, off)
-            k = int(d.argmin())
-            if d[k] <= threshold * threshold:
-                counts[k] += w
-                means[k] += (row - means[k]) * (w / counts[k])
-                labels[i] = k
-                continue
-        if n == len(means):
-            means, counts = np.concatenate([means, np.empty_like(means)]), np.concatenate([counts, np.empty_like(counts)])
-        means[n], counts[n], labels[i] = row, w, n
-        n += 1
-    return labels, means[:n].copy(), counts[:n].copy()
+class Leaders:
+    """Rows taken in order: a row joins the nearest mean within the threshold (give or take rounding, as thresholds are often distances
+    themselves) and moves it, or founds a cluster.
 
+    Means are passed over by the triangle inequality: a row's distance to a mean is at least the difference of their distances to
+    any pivot, the founders of the first clusters. Only means that this leaves within the threshold are compared in full, so results
+    are those of comparing all.
+    """
 
-def all_leaders(points: DataFrame, threshold: float, most: int = 2048, vector: str = "v", id_col: str = "id") -> list[tuple[float, np.ndarray]]:
-    """Leaders (weight, mean) of all points, at most ``most``: rows of a partition, in the order of ids, become leaders, which are
-    merged as weighted rows, sixteen partitions into one at a time. Where more are left, they are merged again at twice the
-    threshold or twice the median distance between neighbours in a sample of them, whichever is more.
+    PIVOTS = 12
+
+    def __init__(self, threshold: float, size: int):
+        self.threshold, self.n = threshold * (1 + 1e-9), 0
+        self.means, self.counts, self.to_pivots, self.pivots = np.empty((16, size)), np.zeros(16, np.int64), np.empty((16, self.PIVOTS)), np.empty((0, size))
+        self.compared = 0
+
+    def add(self, row: np.ndarray) -> int:
+        own = np.sqrt(((self.pivots - row) ** 2).sum(1))
+        if self.n:
+            k = len(self.pivots)
+            least = np.abs(self.to_pivots[: self.n, :k] - own).max(1)
+            near = np.flatnonzero(least <= self.threshold * (1 + 1e-9) + 1e-9 * (1 + own.max()))
+            self.compared += len(near)
+            if len(near):
+                off = self.means[near] - row
+                d = np.einsum("ij,ij->i", off, off)
+                best = int(d.argmin())
+                if d[best] <= self.threshold * self.threshold:
+                    j = int(near[best])
+                    self.counts[j] += 1
+                    self.means[j] += (row - self.means[j]) / self.counts[j]
+                    self.to_pivots[j, :k] = np.sqrt(((self.pivots - self.means[j]) ** 2).sum(1))
+                    return j
+        if self.n == len(self.means):
+            self.means, self.counts, self.to_pivots = (np.concatenate([x, np.zeros_like(x)]) for x in (self.means, self.counts, self.to_pivots))
+        self.means[self.n], self.counts[self.n] = row, 1
+        self.n += 1
+        if len(self.pivots) < self.PIVOTS:
+            self.pivots = np.concatenate([self.pivots, row[None]])
+            at = len(self.pivots)
+            self.to_pivots[: self.n, at - 1] = np.sqrt(((self.means[: self.n] - row) ** 2).sum(1))
+            own = np.append(own, 0.0)
+        self.to_pivots[self.n - 1, : len(own)] = own
+        return self.n - 1
+
+
+def ordered_leaders(points: DataFrame, thresholds: Sequence[float], id_col: str = "id", vector: str = "v", order: str | None = None) -> DataFrame:
+    """k (the threshold's number), id_col, label, v of every point, and for each leader a row with n, its points, and its mean as v.
+
+    Every point depends on all before it, so the points of one threshold pass through one task in the order (ties: of ids). They
+    stream: the task holds the leaders, not the points. This is the limit of the method: more machines don't shorten a pass, and
+    the leaders of one threshold must fit in one task.
     """
+    import pandas as pd
 
-    def found(frames):
-        import pandas as pd
+    def run(frames):
+        now, at = None, None
+        for f in frames:
+            for k, g in f.groupby("k", sort=True):
+                x = np.stack(g["v"].to_numpy()).astype(float)
+                if k != at:
+                    if now is not None:
+                        yield ended(at, now)
+                    now, at = Leaders(thresholds[k], x.shape[1]), k
+                yield pd.DataFrame({"k": k, "id": g["id"], "label": [now.add(row) for row in x], "n": None, "v": g["v"]})
+        if now is not None:
+            yield ended(at, now)
+
+    def ended(k, now):
+        return pd.DataFrame({"k": k, "id": None, "label": range(now.n), "n": now.counts[: now.n], "v": list(now.means[: now.n])})
+
+    kind = points.schema[id_col].dataType.simpleString()
+    rows = points.select(F.explode(F.array(*[F.lit(i) for i in range(len(thresholds))])).alias("k"), F.col(id_col).alias("id"), F.col(order or id_col).alias("_o"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.repartition(len(thresholds), "k").sortWithinPartitions("k", "_o", "id").select("k", "id", "v")
+    return rows.mapInPandas(run, f"k int, id {kind}, label long, n long, v array<double>")
+
+
+def merged_down(labels: np.ndarray, sizes: np.ndarray, means: np.ndarray, upper: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(new label of each, sizes, means) after the smallest cluster has joined the one nearest to it until ``upper`` are left."""
+    to, alive = np.arange(len(labels)), np.arange(len(labels))
+    sizes, means = sizes.astype(float).copy(), means.astype(float).copy()
+    while len(alive) > upper:
+        i = int(sizes[alive].argmin())
+        gap = np.linalg.norm(means[alive] - means[alive[i]], axis=1)
+        gap[i] = np.inf
+        source, target = alive[i], alive[int(gap.argmin())]
+        means[target] = (means[target] * sizes[target] + means[source] * sizes[source]) / (sizes[target] + sizes[source])
+        sizes[target] += sizes[source]
+        to[to == source] = target
+        alive = np.delete(alive, i)
+    return np.searchsorted(alive, to), sizes[alive], means[alive]
+
+
+def leader_clusters(points: DataFrame, shares: Sequence[float] = (0.1, 0.15, 0.2, 0.25, 0.3), least: int = 24, lower: int = 12, upper: int = 96, sample_size: int = 2048, seed: int = 42, id_col: str = "id", vector: str = "v", order: str | None = None) -> tuple[DataFrame, DataFrame, dict[float, float]]:
+    """(labels, prototypes, score by threshold): leader clustering of all points in the order (default: of ids) at several thresholds,
+    the best kept; labels has id_col and pattern_id, prototypes pattern_id and the mean of its points. Partitions don't matter.
 
-        rows = pd.concat(list(frames) or [pd.DataFrame({"w": [], "v": []})])
-        if len(rows):
-            _, means, weights = leaders(np.stack(rows["v"].to_numpy()).astype(float), threshold, rows["w"].to_numpy(float))
-            yield pd.DataFrame({"w": weights, "v": list(means)})
-
-    schema = "w double, v array<double>"
-    parts = points.select(id_col, F.col(vector).cast("array<double>").alias("v")).sortWithinPartitions(id_col)
-    out, n = parts.select(F.lit(1.0).alias("w"), "v").mapInPandas(found, schema), parts.rdd.getNumPartitions()
-    while n > 1:
-        n = -(-n // 16)
-        out = out.repartition(n, F.xxhash64("v")).sortWithinPartitions(F.desc("w"), "v").mapInPandas(found, schema)
-    while True:
-        kept = out.persist()
-        if (count := kept.count()) <= most:
-            rows = [(r["w"], np.array(r["v"])) for r in kept.orderBy(F.desc("w"), "v").collect()]
-            kept.unpersist()
-            return rows
-        some = kept.select("v").orderBy(F.xxhash64("v")).limit(2048).collect()
-        d = pairwise(np.array([r["v"] for r in some]))
-        np.fill_diagonal(d, np.inf)
-        threshold = 2 * max(threshold, float(np.median(d.min(1))), 1e-9 * count)
-        out = kept.repartition(-(-count // 100_000), F.xxhash64("v")).sortWithinPartitions(F.desc("w"), "v").mapInPandas(found, schema)
-
-
-def leader_clusters(points: DataFrame, shares: Sequence[float] = (0.1, 0.15, 0.2, 0.25, 0.3), least: int = 24, lower: int = 12, upper: int = 96, sample_size: int = 2048, seed: int = 42, id_col: str = "id", vector: str = "v") -> tuple[DataFrame, dict[float, float]]:
-    """(prototypes, score by threshold): leader clustering of all points at several thresholds, the best kept.
-
-    Thresholds are quantiles of nearest-neighbour distances in a sample of ``sample_size``. Small clusters are dealt out to the
-    nearest large ones, the smallest are merged down to ``upper``; the score is separation over mean distance, times balance and a
-    penalty for counts outside lower..upper. All points get their label by nearest().
+    Thresholds are quantiles of nearest-neighbour distances in a sample of ``sample_size``. Points of clusters smaller than ``least``
+    go each to the nearest larger one, if there is one; then the smallest cluster joins its nearest until ``upper`` (fewer for few
+    points) are left; the score is separation over mean distance, times balance and a penalty for counts outside lower..upper.
     """
-    from pyspark import StorageLevel
+    import pandas as pd
+
+    from tidemark.sources.sinks import fresh_path, write_table
 
-    kept = points.select(id_col, F.col(vector).cast("array<double>").alias(vector)).persist(StorageLevel.MEMORY_AND_DISK)
-    _, x = sample(kept, sample_size, seed, id_col, vector)
+    spark = points.sparkSession
+    _, x = sample(points, sample_size, seed, id_col, vector)
+    n_points = points.count()
+    none = points.select(id_col, F.lit(0).alias("pattern_id")).limit(0)
     if not len(x):
-        kept.unpersist()
-        return as_table(points, [], vector), {}
+        return none, as_table(points, [], vector), {}
+    upper = max(2, min(upper, max(2, n_points // max(least, 1))))
+    lower = min(max(2, lower), upper)
     d = pairwise(x)
     np.fill_diagonal(d, np.inf)
     near = d.min(1) if len(x) > 1 else np.zeros(1)
-    best, scores = None, {}
-    for t in sorted({float(np.quantile(near, q)) for q in shares}):
-        found = all_leaders(kept, t, vector=vector, id_col=id_col)
-        weights, means = merged_small(np.array([w for w, _ in found]), np.stack([m for _, m in found]), least, upper)
-        table = as_table(points, list(enumerate(means)), vector)
-        labels = nearest(kept, table, id_col, vector)
-        by = labels.groupBy("pattern_id").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("d")).collect()  # k rows
-        size = np.array([r["n"] for r in by])
-        score = -np.inf
-        if len(by) > 1:
-            gap = pairwise(means[[r["pattern_id"] for r in by]])
-            np.fill_diagonal(gap, np.inf)
-            penalty = min(1.0, len(by) / lower) * min(1.0, upper / len(by))
-            score = gap.min(1).mean() / max(sum(r["d"] for r in by) / size.sum(), 1e-6) * (0.5 + 0.5 * size.min() / size.mean()) * penalty
-        scores[t] = float(score)
-        if best is None or score > best[0]:
-            best = (score, table)
-    kept.unpersist()
-    return best[1], scores
+    thresholds = sorted({float(np.quantile(near, q)) for q in shares})
+    path = fresh_path(spark)
+    write_table(ordered_leaders(points, thresholds, id_col, vector, order), path)  # the ordered passes are made once
+    found = spark.read.parquet(path)
+    rows = found.filter(F.col("n") >= least).select("k", "label", "v").orderBy("k", "label").collect()  # a least-th of the points at most
+    large = {k: (np.array([r["label"] for r in rows if r["k"] == k]), np.array([r["v"] for r in rows if r["k"] == k], float)) for k in range(len(thresholds))}
+
+    def moved(frames):
+        for f in frames:
+            for k, g in f.groupby("k"):
+                labels, means = large[k]
+                now = g["label"].to_numpy().copy()
+                small = np.flatnonzero(~np.isin(now, labels)) if len(labels) else []
+                for i in small:
+                    now[i] = labels[((means - np.asarray(g["v"].iloc[i], float)) ** 2).sum(1).argmin()]
+                yield g.assign(label=now)
 
+    kind = points.schema[id_col].dataType.simpleString()
+    rows = found.filter("n is null").select("k", "id", "label", "v").mapInPandas(moved, f"k int, id {kind}, label long, v array<double>")
 
-def merged_small(weights: np.ndarray, means: np.ndarray, least: int, upper: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, means) after clusters lighter than ``least`` have joined the nearest heavier ones, if any, and the lightest their nearest
-    until ``upper`` are left.
-    """
-    large = weights >= least
-    if large.any() and not large.all():
-        to = ((means[~large][:, None] - means[large][None]) ** 2).sum(2).argmin(1)
-        w, total = weights[large].copy(), means[large] * weights[large][:, None]
-        np.add.at(w, to, weights[~large])
-        np.add.at(total, to, means[~large] * weights[~large][:, None])
-        weights, means = w, total / w[:, None]
-    while len(weights) > upper:
-        i = int(weights.argmin())
-        gap = np.linalg.norm(means - means[i], axis=1)
-        gap[i] = np.inf
-        j = int(gap.argmin())
-        means, weights = means.copy(), weights.copy()
-        means[j] = (means[j] * weights[j] + means[i] * weights[i]) / (weights[j] + weights[i])
-        weights[j] += weights[i]
-        means, weights = np.delete(means, i, 0), np.delete(weights, i)
-    return weights, means
+    def sums(frames):
+        for f in frames:
+            out = [(k, j, len(g), np.stack(g["v"].to_numpy()).astype(float).sum(0)) for (k, j), g in f.groupby(["k", "label"])]
+            yield pd.DataFrame(out, columns=["k", "label", "n", "s"])
+
+    def merged(g):
+        g = g.sort_values("label")
+        new, _, means = merged_down(g["label"].to_numpy(), g["n"].to_numpy(), np.stack(g["s"].to_numpy()) / g["n"].to_numpy()[:, None], upper)
+        return pd.DataFrame({"k": g["k"].to_numpy(), "label": g["label"].to_numpy(), "pattern_id": new, "mean": [means[i] for i in new]})
+
+    each = rows.mapInPandas(sums, "k int, label long, n long, s array<double>").select("k", "label", "n", F.posexplode("s").alias("pos", "s"))
+    each = each.groupBy("k", "label", "pos").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    clusters = each.groupBy("k", "label").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda r: r["s"]).alias("s"))
+    last = fresh_path(spark)
+    write_table(clusters.groupBy("k").applyInPandas(merged, "k int, label long, pattern_id int, mean array<double>"), last)
+    where = spark.read.parquet(last)
+    placed = rows.join(where, ["k", "label"])
+    by = placed.groupBy("k", "pattern_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.sqrt(squared_distance(F.col("v"), F.col("mean")))).alias("d"), F.first("mean").alias("mean")).collect()  # upper rows a threshold
+    scores: dict[float, float] = {}
+    best = None
+    for k, t in enumerate(thresholds):
+        mine = sorted((r for r in by if r["k"] == k), key=lambda r: r["pattern_id"])
+        size, score = np.array([r["n"] for r in mine], float), -np.inf
+        if len(mine) > 1:
+            gap = pairwise(np.array([r["mean"] for r in mine]))
+            np.fill_diagonal(gap, np.inf)
+            penalty = min(1.0, len(mine) / lower) * min(1.0, upper / len(mine))
+            score = gap.min(1).mean() / max(sum(r["d"] for r in mine) / size.sum(), 1e-6) * (0.5 + 0.5 * size.min() / size.mean()) * penalty
+        scores[t] = float(score)
+        if best is None or score > best[0] + 1e-9 * abs(best[0]) or best[0] == -np.inf < score:  # the first of equal ones, rounding aside
+            best = (score, k, as_table(points, [(r["pattern_id"], r["mean"]) for r in mine], vector))
+    labels = placed.filter(F.col("k") == best[1]).select(F.col("id").alias(id_col), "pattern_id")
+    return labels, best[2], scores

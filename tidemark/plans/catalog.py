@@ -540,8 +540,10 @@ def kmeans_clusters(spark, d):
 
 def leader_patterns(spark, d):
     v = vectors(spark, d)
-    table_, _ = clustering.leader_clusters(v)
-    return rounded(clustering.nearest(v, table_))
+    labels, table_, _ = clustering.leader_clusters(v)
+    mean = table_.withColumnRenamed("v", "mean")
+    own = v.join(labels, "id").join(F.broadcast(mean), "pattern_id")  # at most 96 rows
+    return rounded(own.select("id", "pattern_id", F.sqrt(clustering.squared_distance(F.col("v"), F.col("mean"))).alias("distance")))
 
 
 ALL = [

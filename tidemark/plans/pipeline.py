@@ -53,12 +53,12 @@ def window_vectors(intra: DataFrame, inter: DataFrame, hazard: DataFrame, channe
 
 
 def discover(prepared: Prepared, least: int = 24, sample_size: int = 2048) -> tuple[DataFrame, DataFrame]:
-    """(labels, prototypes): robustly scaled vectors, leader clustering of a sample, every window to its nearest prototype."""
+    """(labels, prototypes): robustly scaled vectors of all windows, leader clustering in the order of windows."""
+    keys = signal.series_keys(prepared.vectors)
     scales = metrics.robust_scales(prepared.vectors, "v").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "center", "scale"))), lambda r: F.struct(r["center"].alias("c"), r["scale"].alias("s"))).alias("_s"))
-    scaled = prepared.vectors.join(F.broadcast(scales)).select(F.col("window_id").alias("id"), F.zip_with("v", "_s", lambda x, s: (x - s["c"]) / s["s"]).alias("v"))
-    prototypes, _ = clustering.leader_clusters(scaled, least=least, sample_size=sample_size)
-    labels = clustering.nearest(scaled, prototypes).select(F.col("id").alias("window_id"), "pattern_id")
-    return labels, prototypes
+    scaled = prepared.vectors.join(F.broadcast(scales)).select(F.struct("window_id", *keys).alias("id"), F.zip_with("v", "_s", lambda x, s: (x - s["c"]) / s["s"]).alias("v"))
+    labels, prototypes, _ = clustering.leader_clusters(scaled, least=least, sample_size=sample_size)
+    return labels.select("id.*", "pattern_id"), prototypes
 
 
 def sequence_samples(prepared: Prepared, labels: DataFrame, config: Config = Config()) -> DataFrame:
@@ -185,8 +185,9 @@ def discover_patterns(points: DataFrame, strategy: str = "structural", segmentat
     if segmentation == "new_physics":
         strategy = "kmedoids"
     if strategy == "structural":
-        table, _ = clustering.leader_clusters(points)
-    elif strategy == "kmeans":
+        labels, table, _ = clustering.leader_clusters(points)
+        return labels, table
+    if strategy == "kmeans":
         table = clustering.select_k(points, range(8, 33, 4), rounds=50)[3]
     elif strategy == "kmedoids":
         table, _ = clustering.select_medoids(points)
