@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 
 import pytest
@@ -136,3 +137,33 @@ def test_empty_tables_odd_columns_and_repeated_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.n_chars) for r in H.extract(df).collect()) == [(0, 0), (1, len(WANT)), (1, len(WANT))]
     assert H.extract(df.limit(0)).count() == 0
+
+
+P = "<p>" + "A long sentence of the article that goes on for quite some time and says something. " * 3 + "</p>"
+READER = '<article class="comment-body"><p>' + "What a reader thinks of this at length, and more and more of it. " * 6 + "</p></article>"
+OTHERS = "<ul>" + "".join(f'<li><a href="{i}">Other story {i}</a></li>' for i in range(4)) + "</ul>"
+
+
+def plain(*parts):
+    return " ".join(" ".join(re.sub("<[^>]+>", " ", p).split()) for p in parts)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<div class="entry-content"><h1>Title</h1>' + P * 6 + '</div><div id="comments"><ol class="comment-list">' + f"<li>{READER}</li>" * 5 + "</ol></div>", ["Title", *[P] * 6]),
+        ('<article class="post"><h1>Title</h1>' + P * 2 + '</article><ol class="commentlist">' + f"<li>{READER}</li>" * 9 + "</ol>", ["Title", P, P]),
+        ('<article class="post"><h1>Title</h1>' + P * 2 + "</article>" + READER * 3, ["Title", P, P]),
+        ('<article class="post"><h1>Title</h1>' + P * 2 + '</article><div class="more"><article class="teaser">' + P * 9 + "</article></div>", ["Title", P, P]),
+        ("<main><article><h2>One</h2>" + P * 3 + "</article><article><h2>Two</h2>" + P * 3 + "</article></main>", ["One", P, P, P, "Two", P, P, P]),
+        ("<main><article><h2>One</h2>" + P * 3 + '</article><article><a href="/">Another story, told elsewhere</a></article></main>', ["One", P, P, P]),
+        ('<article class="comments-open has-comments"><h1>Title</h1>' + P + "</article>", ["Title", P]),
+        ("<article><h1>Title</h1>" + P * 2 + "<h3>Read also</h3>" + OTHERS + P + "<h3>The end</h3>" + P + "</article>", ["Title", P, P, P, "The end", P]),
+        ("<article><h1>Title</h1>" + P + '<div class="in-article-ad">Buy now</div>' + P + "</article>", ["Title", P, P]),
+        ("<div><h1>Title</h1><div>By Ann Author</div>" + P * 2 + "<div>A hill, seen from the north</div>" + P * 2 + "</div>", ["Title", "By Ann Author", P, P, "A hill, seen from the north", P, P]),
+        ("<p>Of <math><mi>x</mi></math> and more numbers this long sentence says something.</p>" + P * 2, ["Of x and more numbers this long sentence says something.", P, P]),
+        ('<div class="comments-wrapper"><main><h1>Title</h1>' + P * 2 + "</main></div>", ["Title", P, P]),
+    ],
+)
+def test_comments_teasers_and_short_blocks(page, want):
+    assert H.main_text(f"<html><body>{page}</body></html>") == plain(*want)

@@ -8,12 +8,14 @@ the body is the threshold.
 
 The article is the <article> around that node, or the first node on the path from the body whose text
 stands for a good part in it directly, not in containers of its own. Beside the path, containers belong to it
-too if they reach the threshold, hold prose and few links. Within it, containers below the threshold go if
-they are links alone, and outside an <article> if they hold no prose.
+too if they reach the threshold, hold prose and few links, and so do further <article>s of one parent. Within it,
+containers below the threshold go if they are links alone, with the heading right above them, and outside an <article> if they hold
+no prose and stand before or after all that does.
 
 Left out beforehand are elements that are never article text by their tag (menus, footers, forms, scripts ...), and
 those that a whole token of their class, id or role names as something else. Names are not believed where they would
-take the article with them; ambiguous ones never on paragraphs and their like.
+take the article with them; ambiguous ones never on paragraphs and their like. Those of readers' comments are believed though
+there are <article>s in them, and an <article> named as a comment or a teaser is none.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes"}
 _RAW_END = {t: re.compile(rf"</{t}\s*>?", re.I) for t in RAW}
 #: Tags whose text is never the article's; a <form> or <header> may be wrapped around it.
-NOT_TEXT = RAW | {"head", "nav", "footer", "aside", "button", "select", "option", "datalist", "template", "svg", "math", "object", "canvas", "audio", "video", "dialog", "menu", "input", "label", "fieldset", "map"}
+NOT_TEXT = RAW | {"head", "nav", "footer", "aside", "button", "select", "option", "datalist", "template", "svg", "object", "canvas", "audio", "video", "dialog", "menu", "input", "label", "fieldset", "map"}
 #: Words of names, for parts of a page other than its article. A name counts if all its words are among these and NEUTRAL ones.
 NAMED = set(
     "ad ads adv advert adverts advertisement advertising adsbygoogle adsense sponsor sponsored sidebar nav navbar navigation menu breadcrumb breadcrumbs footer cookie cookies consent gdpr comments "
@@ -52,8 +54,11 @@ NAMED = set(
 NAMED_CONTAINER = set("banner promo promotion promoted aside foot comment respond reply replies discussion notice notification alert overlay subscription related recommended recommendations widget search disclaimer dialog".split())
 #: The same, for containers outside an article: it may have a header of its own.
 NAMED_HEADER = {"header", "masthead", "hero", "topbar"}
+#: Words that say that readers' comments stand there, whatever elements these are made of; and that an <article> is none.
+COMMENTS = set("comments commentlist respond disqus".split())
+NO_ARTICLE = set("comment reply teaser related recommended promo promoted sponsored sponsor ad advert advertisement widget".split()) | COMMENTS
 NEUTRAL = set(
-    "site page main left right top bottom box bar list wrapper wrap container area section block inner outer group row col column item items link links icon icons button buttons primary secondary global "
+    "in inline site page main left right top bottom box bar list wrapper wrap container area section block inner outer group row col column item items link links icon icons button buttons primary secondary global "
     "post article reader user users form thread unit slot zone mobile desktop sticky fixed float body text message policy".split()
 )
 _HEADER_NEUTRAL = {"site", "page", "main", "top", "global", "bar", "wrapper", "wrap", "inner", "container"}
@@ -74,18 +79,19 @@ _P_SCOPE = {"table", "td", "th", "caption", "button", "html", "body", "article",
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "name", "out", "article", "chars", "tags", "link_chars", "link_tags", "density", "total", "plain", "paragraphs", "holds_article")
+    __slots__ = ("tag", "parent", "children", "name", "out", "article", "chars", "tags", "link_chars", "link_tags", "density", "total", "plain", "paragraphs", "holds_article", "holds_title")
 
     def __init__(self, tag: str, parent: Node | None, name: int, article: bool):
         self.tag, self.parent, self.name, self.article = tag, parent, name, article
         self.children: list = []  # nodes and strings in page order
-        self.out = self.holds_article = False
+        self.out = self.holds_article = self.holds_title = False
         self.chars = self.tags = self.link_chars = self.link_tags = self.plain = self.paragraphs = 0
         self.density = self.total = 0.0
 
 
-#: What tag and names say of an element: nothing, not the article unless that is in it, the same unless it is most of the page, never.
-FREE, WEAK, DOUBTFUL, NEVER = 0, 1, 2, 3
+#: What tag and names say of an element: nothing, not the article unless that is in it, the same unless it is most of the page, not the
+#: article unless the page's title or <main> is in it, never.
+FREE, WEAK, DOUBTFUL, COMMENT, NEVER = 0, 1, 2, 3, 4
 
 
 def named(tag: str, value: str, in_article: bool) -> int:
@@ -93,6 +99,12 @@ def named(tag: str, value: str, in_article: bool) -> int:
     found = FREE
     for token in value.split():
         words = {w.lower() for w in _WORD.findall(token) if not w.isdigit()}
+        if tag == "article":
+            if words & NO_ARTICLE and words <= NO_ARTICLE | NEUTRAL:
+                return COMMENT
+            continue
+        if words & COMMENTS and words <= COMMENTS | NAMED_CONTAINER | NEUTRAL and (tag in CONTAINER or tag in ("ul", "ol", "dl")):
+            return COMMENT
         if words and tag in CONTAINER and not in_article and words & NAMED_HEADER and words <= NAMED_HEADER | _HEADER_NEUTRAL:
             found = max(found, DOUBTFUL)
         elif words & NAMED and words <= NAMED | NAMED_CONTAINER | NAMED_HEADER | NEUTRAL:
@@ -110,9 +122,9 @@ def _kind(tag: str, attributes: str, in_article: bool) -> int:
     for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
-            if value and kind != WEAK and tag not in ("html", "body", "article", "main"):
+            if value and kind != COMMENT and tag not in ("html", "body", "main"):
                 said = named(tag, value, in_article)
-                kind = said if said == WEAK else max(kind, said)
+                kind = said if said == COMMENT or said == WEAK else kind if kind == WEAK else max(kind, said)
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return NEVER
     return kind
@@ -239,12 +251,14 @@ def leave_out(root: Node) -> None:
         stack += [(c, linked or x.tag == "a") for c in x.children if isinstance(c, Node) and c.name != NEVER]
     for x, linked in reversed(order):
         x.paragraphs += x.tag == "p"
-        x.holds_article |= x.tag in ("article", "main")
+        x.holds_article |= x.tag == "article" and x.name != COMMENT or x.tag == "main"
+        x.holds_title |= x.tag in ("h1", "main")
         for c in x.children:
             if not isinstance(c, str):
                 x.plain += c.plain
                 x.paragraphs += c.paragraphs
                 x.holds_article |= c.holds_article
+                x.holds_title |= c.holds_title
             elif not linked and x.tag != "a":
                 x.plain += len(c.strip())
     most = next((x.plain for x, _ in order if x.tag == "body"), root.plain) / 2
@@ -254,6 +268,7 @@ def leave_out(root: Node) -> None:
         for c in x.children:
             if isinstance(c, Node):
                 wraps = c.holds_article or c.name == DOUBTFUL and c.plain > most and c.paragraphs > 1
+                wraps = c.holds_title and c.tag != "article" if c.name == COMMENT else wraps
                 c.out = x.out or c.name == NEVER or c.name != FREE and not wraps
                 stack.append(c)
 
@@ -336,7 +351,8 @@ def chosen(root: Node) -> tuple[list[Node], float, Node | None]:
         x = x.parent
     least = min((x.density for x in path), default=0.0)
     if articles:
-        return [[x for x in path if x.tag == "article"][0]], least, None
+        own = [x for x in path if x.tag == "article"][0]
+        return [x for x in own.parent.children if x is own or isinstance(x, Node) and x.tag == "article" and not x.out and is_sister(x, least)], least, None
     top = next((x for x in reversed(path) if stands_in(x)), best)
     while not stands_in(top):
         heavy = [c for c in top.children if isinstance(c, Node) and not c.out and 2 * _plain(c) > _plain(top)]
@@ -349,12 +365,17 @@ def chosen(root: Node) -> tuple[list[Node], float, Node | None]:
         for c in x.parent.children:
             if isinstance(c, Node) and c is not x and not c.out and c.chars:
                 title = c.tag == "h1" and not c.link_chars and place[id(c)] < place[id(x)]
-                if title or c.density >= least and 10 * c.link_chars <= c.chars and longest(c) >= PROSE:
+                if title or is_sister(c, least):
                     found.append(c)
         x = x.parent
     return sorted(found, key=lambda y: place[id(y)]), least, top
 
 
+def is_sister(x: Node, least: float) -> bool:
+    """Whether a container beside the article's belongs to it too: it reaches the threshold, holds prose and few links."""
+    return x.density >= least and 10 * x.link_chars <= x.chars and longest(x) >= PROSE
+
+
 def beside(x: Node, least: float, strict: bool) -> bool:
     """Whether a container in the article is links alone or, under strict, no prose either."""
     if x.density >= least or x.tag not in CONTAINER and x.tag not in ("ul", "ol", "dl"):
@@ -373,6 +394,11 @@ def blocks(node: Node, least: float = 0.0, strict: bool = False) -> list[str]:
             out.append(s)
         held.clear()
 
+    around: set[int] = set()
+    if strict:  # short blocks among titles and paragraphs, such as a byline or a caption, belong to them
+        kids = [c for c in node.children if isinstance(c, Node) and not c.out]
+        prose = [i for i, c in enumerate(kids) if c.tag in ("p", "h1") or longest(c) >= PROSE]
+        around = {id(c) for i, c in enumerate(kids) if not prose or i < prose[0] or i > prose[-1]}
     stack: list = [node]
     while stack:
         x = stack.pop()
@@ -380,20 +406,33 @@ def blocks(node: Node, least: float = 0.0, strict: bool = False) -> list[str]:
             close()
         elif isinstance(x, str):
             held.append(x)
-        elif not x.out and (x is node or not beside(x, least, strict and x.parent is node)):
+        elif not x.out and (x is node or not beside(x, least, id(x) in around)):
             if x.tag in BLOCK:
                 close()
                 stack.append(None)
-            stack += reversed(x.children)
+            stack += reversed(_without_titles_of_links(x, least))
     close()
     return out
 
 
+def _without_titles_of_links(x: Node, least: float) -> list:
+    """The children of x but for a heading right above links alone, which are left out."""
+    gone, after = set(), None
+    for c in reversed(x.children):
+        if isinstance(c, Node) and not c.out and c.chars:
+            if c.tag in ("h2", "h3", "h4", "h5", "h6") and after is not None and beside(after, least, False):
+                gone.add(id(c))
+            after = c
+        elif isinstance(c, str) and c.strip():
+            after = None
+    return [c for c in x.children if id(c) not in gone] if gone else x.children
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     found, least, top = chosen(parse(page))
-    # where most of the text is in paragraphs, containers among them must hold prose
+    # where most of the text is in paragraphs, containers before and after them must hold prose
     strict = top is not None and 2 * sum(_plain(c) for c in top.children if isinstance(c, Node) and c.tag == "p") >= _plain(top)
     return " ".join(b for x in found for b in blocks(x, least, strict and x is top))
 
