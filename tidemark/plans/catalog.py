@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import clustering, decode, events, histories, metrics, pairs, predictors, samples, segments, signal, structure, windows
+from tidemark.functions import sql
+from tidemark.operators import clustering, decode, events, forecasters, histories, metrics, pairs, predictors, samples, segments, signal, structure, windows
 from tidemark.plans import pipeline
 from tidemark.sources import observations, sinks
 from tidemark.streaming import grid as streams
+from tidemark.streaming import segments as stream_segments
 
 COMPOUND = ("purchase", "view")
 
@@ -425,6 +427,26 @@ def streamed_extrema(spark, d):
     return rounded(spark.read.parquet(out).select("channel", F.col("ts").cast("timestamp_ntz").alias("ts"), "sign", "amplitude", "first_diff"), 5)
 
 
+def streamed_once(spark, d):
+    """The hourly stream where every event comes twice: the same hours as from each once."""
+    source, out = f"{d}/events[.]parquet", sinks.fresh_path(spark)
+    events_ = spark.readStream.schema(table(spark, d, "events").schema).parquet(source)
+    query = streams.hourly(events_.unionByName(events_), ids=("event_id",)).writeStream.format("parquet").option("path", out).option("checkpointLocation", sinks.fresh_path(spark)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rounded(spark.read.parquet(out).select("channel", F.col("ts").cast("timestamp_ntz").alias("ts"), "x"))
+
+
+def streamed_segments(spark, d):
+    """Segments that the hourly stream closes, by the typed state of each channel."""
+    hours, out = _streamed_hours(spark, d), sinks.fresh_path(spark)
+    stream = spark.readStream.schema("channel string, ts timestamp, x double").parquet(hours)
+    with stream_segments.state_store(spark):
+        query = stream_segments.closed_segments(stream, 12.0, order="ts").writeStream.format("parquet").option("path", out).option("checkpointLocation", sinks.fresh_path(spark)).trigger(availableNow=True).start()
+        query.awaitTermination()
+    back = spark.read.parquet(out)
+    return rounded(back.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_idx", "end_idx")}))
+
+
 def reindexed_steps(spark, d):
     """The second ten days numbered anew: at most 200 steps a channel."""
     g = grid(spark, d).filter("x is not null and idx >= 240").select("channel", "ts", "x")
@@ -493,6 +515,14 @@ def walk_forward_segments(spark, d):
     return rounded(segments.segmented(sig(spark, d).filter("s is not null"), tolerance=12.0, value="s"))
 
 
+def sql_segments(spark, d):
+    """The walk as a table function in SQL, its equations evaluated at the segments' ends."""
+    sql.register(spark)
+    sig(spark, d).filter("s is not null").select("channel", "idx", F.col("s").alias("x")).createOrReplaceTempView("smoothed_series")
+    out = spark.sql("SELECT *, segment_value(eq_type, L, c, lam, A, B, CAST(duration - 1 AS DOUBLE)) AS last_value FROM walk_segments(TABLE(smoothed_series) PARTITION BY channel ORDER BY (idx), 12.0D, true)")
+    return rounded(out)
+
+
 def walk_forward_report(spark, d):
     return rounded(metrics.segment_report(walk_forward_segments(spark, d)), 4)
 
@@ -533,6 +563,18 @@ def ridge_backtest(spark, d):
     return rounded(pipeline.backtest(pipeline.feature_vectors(windows.intra_features(s), channels(s)), s, horizons=6).withColumn("horizon", F.coalesce("horizon", F.lit(0))))
 
 
+def sequence_forecasts(spark, d):
+    """Errors by step of a recurrent network on the test part of the sequence samples, and of the last window carried on."""
+    s = sig(spark, d)
+    names, path = channels(s), sinks.fresh_path(spark)
+    sinks.write_table(pipeline.feature_vectors(windows.intra_features(s), names), f"{path}/vectors")
+    vectors_ = observations.read_table(spark, f"{path}/vectors")
+    shape = forecasters.Shape(4, 6, 13 * len(names))
+    parts = forecasters.split_blocks(samples.samples(window_table(spark, d), count=shape.target), vectors_, shape, path)
+    model, last = forecasters.Recurrent(shape).fit(parts["train"]), forecasters.LastWindow(shape)
+    return rounded(forecasters.forecast_errors(model.predict(parts["test"]), last.predict(parts["test"])))
+
+
 def kmeans_clusters(spark, d):
     k, _, labels, _ = clustering.select_k(vectors(spark, d), range(8, 33, 4), rounds=50)
     return rounded(labels.withColumn("k", F.lit(k)))
@@ -553,7 +595,7 @@ ALL = [
     extrapolated_errors, p90_scales, robust_scale, vector_norm_stats, time_features, running_duration_k, next24_targets, window_decode, interval_values, anchor_days, scaled_features, scaled_pairs, label_lookup, nearest_prototype,
     lloyd_step, cluster_quality, regime_labels, switch_counts, regime_blocks, hierarchical_windows, walk_forward_segments, walk_forward_report, joint_segments, dynamics_pieces, dynamics_medoids, kmeans_clusters, leader_patterns, top_signatures, label_shares, ridge_backtest,
     observations_csv, history_json_lines, history_flat_csv, stored_extrema, streamed_hours, streamed_extrema, reindexed_steps, window_range, seed_history, padded_segment_targets, equation_counts,
-    boundary_synchrony, decoded_hazards,
+    boundary_synchrony, decoded_hazards, streamed_once, streamed_segments, sql_segments, sequence_forecasts,
 ]
 
 

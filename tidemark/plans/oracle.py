@@ -361,6 +361,7 @@ def oracle_sql() -> dict[str, str]:
     q["stored_extrema"] = f"WITH {EXTREMA} SELECT channel, idx, sign, {r('amplitude')} FROM extrema WHERE sign = 'max'"
     hours = "h AS (SELECT event_type AS channel, date_trunc('hour', ts) AS ts, avg(value) AS x FROM events GROUP BY 1, 2), closed AS (SELECT h.* FROM h, (SELECT max(ts) AS last FROM events) m WHERE h.ts + INTERVAL 3 HOUR <= m.last)"
     q["streamed_hours"] = f"WITH {hours} SELECT channel, ts, {r('x')} FROM closed"
+    q["streamed_once"] = q["streamed_hours"]
     q["streamed_extrema"] = f"""WITH {hours}, y AS (SELECT channel, ts, round(x, 8) AS x FROM closed),
       d AS (SELECT channel, ts, lag(ts, 2) OVER o AS t0, lead(ts) OVER o AS t1, lag(x) OVER o - lag(x, 2) OVER o AS p, x - lag(x) OVER o AS c, lead(x) OVER o - x AS n FROM y WINDOW o AS (PARTITION BY channel ORDER BY ts))
       SELECT channel, ts, CASE WHEN p < c THEN 'max' ELSE 'min' END AS sign, {r("amplitude", 5, "abs(c - (p + n) / 2)")}, {r("first_diff", 5, "c")} FROM d WHERE t1 - t0 = INTERVAL 3 HOUR AND ((p < c AND c >= n) OR (p > c AND c <= n))"""

@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, is_dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -114,10 +114,21 @@ def write_manifest(spark: SparkSession, path: str, config, **more) -> dict:
     return out
 
 
+def write_observed(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), **measures: Column) -> dict:
+    """Write a table and return aggregates of its rows (by default their number), which are made as the rows are written: one pass."""
+    seen = Observation()
+    names = measures or {"rows": F.count(F.lit(1))}
+    write_table(df.observe(seen, *[c.alias(k) for k, c in names.items()]), path, partition_by)
+    return plain(seen.get)
+
+
 def write_bundle(tables: dict[str, DataFrame], folder: str) -> dict[str, int]:
-    """Each table as Parquet under its name; the row counts."""
-    out = {}
-    for name, df in tables.items():
-        write_table(df, f"{folder}/{name}")
-        out[name] = df.sparkSession.read.parquet(f"{folder}/{name}").count()
-    return out
+    """Each table as Parquet under its name; the row counts, taken while writing."""
+    return {name: write_observed(df, f"{folder}/{name}")["rows"] for name, df in tables.items()}
+
+
+def write_samples(samples: DataFrame, path: str) -> dict:
+    """Sequence samples as a table, and their summary beside it: how many, the longest history and the most targets. One pass."""
+    summary = write_observed(samples, path, n_samples=F.count(F.lit(1)), max_history=F.max(F.size("history_ids")), max_target_count=F.max(F.size("target_ids")))
+    write_text(samples.sparkSession, json.dumps(summary, indent=2), f"{path.rstrip('/')}.summary.json")
+    return summary
