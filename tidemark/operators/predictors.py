@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import Regimes
+from tidemark.operators.samples import BUCKET, numbered
 from tidemark.operators.signal import KEYS, ordered
 
 #: The predictors in the order that breaks ties.
@@ -172,22 +173,84 @@ def merged_ranges(ranges: list[tuple[int, int]], least: int) -> list[tuple[int,
     return [tuple(r) for r in out]
 
 
-def labelled(sig: DataFrame, config: Regimes = Regimes(), circular: Sequence[str] = (), keys: Sequence[str] = KEYS) -> DataFrame:
-    """keys, idx and the smoothed label of the best predictor (null if unknown). A run's label can depend on all before it,
-    so a channel of a series is one group; channels and series run in parallel.
+def filled(df: DataFrame, keys: Sequence[str], columns: dict[str, tuple[Column, bool]], order: str = "pos") -> DataFrame:
+    """df with, by name, the last value of a column that isn't null at or before each row (or, if False, the next at or after it).
+
+    Rows are read in order within their _bucket only; of each bucket one row, its last and next values, is ordered across buckets.
+    """
+    own = {True: Window.partitionBy(*keys, "_bucket").orderBy(order), False: Window.partitionBy(*keys, "_bucket").orderBy(F.desc(order))}
+    across = {True: Window.partitionBy(*keys).orderBy("_bucket"), False: Window.partitionBy(*keys).orderBy(F.desc("_bucket"))}
+    ends = [(F.max if back else F.min)(F.when(c.isNotNull(), F.struct(order, c.alias("v")))).alias(f"_end_{name}") for name, (c, back) in columns.items()]
+    carry = df.groupBy(*keys, "_bucket").agg(*ends)
+    carry = carry.select(*keys, "_bucket", *[F.last(f"_end_{name}", True).over(across[back].rowsBetween(Window.unboundedPreceding, -1))["v"].alias(f"_carry_{name}") for name, (_, back) in columns.items()])
+    near = df.withColumns({name: F.last(c, True).over(own[back].rowsBetween(Window.unboundedPreceding, 0)) for name, (c, back) in columns.items()})
+    out = near.join(carry, [*keys, "_bucket"])
+    return out.withColumns({name: F.coalesce(name, f"_carry_{name}") for name in columns}).drop(*[f"_carry_{name}" for name in columns])
+
+
+def smoothed_runs(rows: DataFrame, least: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """rows (keys, pos, _bucket, raw: a label's number or -1, was and next: those of the rows before and after, null at the ends) with
+    label: what without_short_runs() makes of raw.
+
+    Of a stretch without -1, the first rows, up to the end of the run that holds the least-th of them, take that run's label. A later
+    run that is long enough keeps its label; a short one takes that of the last one that did. So labels follow from where runs and
+    stretches begin and end, which is carried along the rows, and no task reads a whole series.
     """
+    pos, raw = F.col("pos"), F.col("raw")
+    begins = F.col("was").isNull() | (F.col("was") != raw)
+    ends = F.col("next").isNull() | (F.col("next") != raw)
+    first = (raw >= 0) & (F.col("was").isNull() | (F.col("was") < 0))
+    last = (raw >= 0) & (F.col("next").isNull() | (F.col("next") < 0))
+    out = filled(rows, keys, {"_run": (F.when(begins, pos), True), "_end": (F.when(ends, pos), False), "_from": (F.when(first, pos), True), "_to": (F.when(last, pos), False)})
+    place = F.least(F.col("_from") + least - 1, F.col("_to"))
+    head = F.when((raw >= 0) & (pos == place), F.struct("raw", F.col("_end").alias("end")))
+    out = filled(out, keys, {"_head": (head, True), "_ahead": (head, False)})
+    out = out.withColumn("_head", F.when(pos < place, F.col("_ahead")).otherwise(F.col("_head")))
+    keeps = (raw >= 0) & (pos == F.col("_run")) & (F.col("_end") - F.col("_run") + 1 >= least) & (pos > F.col("_head.end"))
+    out = filled(out, keys, {"_kept": (F.when(keeps, F.struct("pos", "raw")), True)})
+    later = (pos > F.col("_head.end")) & (F.col("_kept.pos") > F.col("_head.end"))
+    label = F.when(raw < 0, raw).when(later, F.col("_kept.raw")).otherwise(F.col("_head.raw"))
+    return out.withColumn("label", label).drop("_run", "_end", "_from", "_to", "_head", "_ahead", "_kept")
+
+
+def raw_labels(sig: DataFrame, config: Regimes = Regimes(), circular: Sequence[str] = (), keys: Sequence[str] = KEYS, bucket: int = BUCKET) -> DataFrame:
+    """keys, idx, pos, _bucket, raw, was, next: the number of the best predictor of each row and of its neighbours, -1 where unknown. Each
+    range of ``bucket`` rows is labelled by itself, with the rows before it that a history needs.
+    """
+    h = max(config.history, 3)
+    if bucket <= h:
+        raise ValueError(f"a range must be longer than the history of {h}")
+    at = numbered(sig.select(*keys, "idx", "s"), "idx", tuple(keys))
+    if circular:  # angles are unknown from their first gap on
+        gap = at.filter(F.col("s").isNull() | F.isnan("s")).groupBy(*keys).agg(F.min("pos").alias("_gap"))
+        at = at.join(gap, list(keys), "left").withColumn("s", F.when(F.col("_gap").isNull() | (F.col("pos") < F.col("_gap")) | ~F.col("channel").isin(*circular), F.col("s"))).drop("_gap")
+    own, place = F.floor(F.col("pos") / bucket), F.col("pos") % bucket
+    ranges = F.array_compact(F.array(own, F.when(place >= bucket - h - 1, own + 1), F.when((place == 0) & (own > 0), own - 1)))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("idx")
+        g = g.sort_values("pos")
         x = g["s"].to_numpy(float)
         turn = "channel" in g and g["channel"].iloc[0] in circular
-        if turn:
-            x = np.unwrap(x, period=360)
-        v = without_short_runs(best_labels(x, config.history, config.fit, turn), config.min_run)
-        return g[[*keys, "idx"]].assign(label=[PREDICTORS[k] if k >= 0 else None for k in v])
+        labels = best_labels(np.unwrap(x, period=360) if turn else x, config.history, config.fit, turn)
+        pos = g["pos"].to_numpy()
+        out = g[[*keys, "idx", "pos", "_bucket"]].assign(raw=labels, was=pd.array([None, *labels[:-1]], "Int64"), next=pd.array([*labels[1:], None], "Int64"))
+        return out[pos // bucket == g["_bucket"].to_numpy()]
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sig.select(*keys, "idx").schema) + ", pos long, _bucket long, raw int, was int, next int"
+    return at.withColumn("_bucket", F.explode(ranges)).groupBy(*keys, "_bucket").applyInPandas(run, schema)
+
+
+def labelled(sig: DataFrame, config: Regimes = Regimes(), circular: Sequence[str] = (), keys: Sequence[str] = KEYS, bucket: int = BUCKET) -> DataFrame:
+    """keys, idx and the smoothed label of the best predictor (null if unknown). A long series is as many tasks as it has ranges of
+    ``bucket`` rows; the raw labels are written once, as the smoothing reads them several times.
+    """
+    from tidemark.sources.sinks import fresh_path, write_table
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sig.select(*keys, "idx").schema) + ", label string"
-    return sig.select(*keys, "idx", "s").groupBy(*keys).applyInPandas(run, schema)
+    path = fresh_path(sig.sparkSession)
+    write_table(raw_labels(sig, config, circular, keys, bucket), path)
+    out = smoothed_runs(sig.sparkSession.read.parquet(path), config.min_run, keys)
+    names = F.array(*[F.lit(p) for p in PREDICTORS])
+    return out.select(*keys, "idx", F.when(F.col("label") >= 0, F.get(names, F.col("label"))).alias("label"))
 
 
 def switch_counts(labels: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
