@@ -185,6 +185,65 @@ def test_walked_segments_against_a_step_by_step_walk(spark, data):
         assert sorted(got[c]) == want
 
 
+def test_joint_refits_against_loops(spark, data):
+    """Pieces between the ends of all channels' segments; each channel fitted on each."""
+    sig = catalog.sig(spark, data).filter("s is not null and idx < 250")
+    cuts = segments.segmented(sig, tolerance=12.0, harmonic=False, value="s")
+    names = catalog.channels(sig)
+    got = {(r.start_idx, r.channel): (r.segment_id, r.duration, r.x0, r.eq_type, r.n_points, r.rms) for r in segments.joint_refit(samples.boundary_union(cuts), sig, value="s", harmonic=names[:1]).collect()}
+    ends = sorted({x for r in cuts.collect() for x in (r.start_idx, r.end_idx)})
+    y = {}
+    for r in sig.select("channel", "idx", "s").collect():
+        y.setdefault(r.channel, {})[r.idx] = r.s
+    want = 0
+    for k, (a, z) in enumerate(zip(ends, ends[1:], strict=False)):
+        for c in names:
+            v = [y[c][i] for i in range(a, z + 1) if i in y[c]]
+            if v:
+                f = equations.best_fit(np.array(v), equations.HARMONIC_SET if c == names[0] else equations.PLAIN_SET, 10.0 if c == names[0] else 5.0)
+                row = got[a, c]
+                assert row[:2] == (k, z - a) and row[3:5] == (f.eq_type, len(v)) and np.isclose(row[5], f.rms) and row[2] == y[c].get(a, 0.0)
+                want += 1
+    assert want == len(got) > 20
+
+
+def test_fits_against_least_squares():
+    """Equations from running sums: no worse than any of a dense search, and as good for any portions of the points."""
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 10, 24, 60, 200):
+        for y in (np.cumsum(rng.normal(size=n)) + 1000, 20 * np.exp(-0.05 * np.arange(n)) - 7, 3 * np.sin(equations.OMEGA * np.arange(n)) + 0.1 * np.arange(n), np.full(n, 5.0)):
+            y = np.where(rng.random(n) < 0.1, np.nan, y)
+            ok = np.isfinite(y)
+            f, m = equations.best_fit(y), equations.Moments()
+            for a in range(0, n, 7):
+                m.add(y[a : a + 7])
+                m.best()
+            g = m.best()
+            if not ok.any():
+                continue
+            assert f.eq_type == g.eq_type and np.isclose(f.rms, g.rms, atol=1e-7) and f.n_points == ok.sum()
+            off = y[ok] - f.at(np.flatnonzero(ok))
+            assert np.isclose(np.sqrt(np.mean(off**2)), f.rms, atol=1e-6)
+            t = np.flatnonzero(ok).astype(float)
+            least = np.inf
+            for lam in np.concatenate([[0], np.geomspace(1e-6, 5, 300)]) if ok.sum() >= 24 else []:
+                e = np.exp(-lam * t)
+                for base in ([np.ones_like(t), e * np.cos(equations.OMEGA * t), e * np.sin(equations.OMEGA * t)], [np.ones_like(t), t, np.cos(equations.OMEGA * t), np.sin(equations.OMEGA * t)]):
+                    b = np.column_stack(base)
+                    least = min(least, np.sqrt(np.mean((y[ok] - b @ np.linalg.lstsq(b, y[ok], rcond=None)[0]) ** 2)))
+            assert f.rms <= least + 1e-7
+
+
+def test_a_walk_takes_time_in_proportion():
+    y = np.random.default_rng(2).normal(size=8000) * 2
+    took = []
+    for n in (2000, 8000):
+        start = time.process_time()
+        equations.Walk(3.0).feed(y[:n], last=True)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0]
+
+
 def test_dynamics_pieces_against_loops(spark, data):
     sig = catalog.sig(spark, data)
     cuts = {}
