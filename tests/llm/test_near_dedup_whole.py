@@ -18,7 +18,8 @@ def family(n_pairs, n_single, passage=100, tail=14, shared=2):
     return rows
 
 
-def test_links_in_a_dense_family(spark):
+def test_links_in_a_dense_family(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 700)  # several blocks, compared by differences from a centre
     got = near_dedup.near_duplicates(documents(spark, family(700, 1700)), 80, 1).select("doc_id", "component_id").collect()
     want = {i: i - i % 2 if i < 1400 else i for i in range(3100)}
     assert {r["doc_id"]: r["component_id"] for r in got} == want
@@ -61,3 +62,43 @@ def test_shared_counts_against_sets():
     got = near_dedup.shared(sets[:5], sets[5:])
     assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[5:]] for a in sets[:5]]
     assert near_dedup.shared([sets[0][:0]], [sets[0][:0]]).tolist() == [[0]]
+
+
+def test_links_from_differences_equal_those_of_whole_sets():
+    """Any centre, the empty one too, gives the links that full sets give."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(50, 61)], rng.integers(0, 2**63, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(40)]
+    for middle in (near_dedup.centre(sets[:7]), sets[3], sets[0][:0], np.sort(rng.integers(0, 2**63, 30).astype(np.uint64))):
+        rows = [(9, 4, None, middle.tobytes()), *[(9, 4, i, s.tobytes()) for i, s in enumerate(sets)]]
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(4)], ["family", "portion", "id", "shingles"])
+        away = [r for b in near_dedup._differences([batch]) for r in b.to_pylist()]
+        assert [len(r["shingles"]) // 8 for r in away] == [len(np.setxor1d(s, middle)) for s in sets]
+        cols = [[1] * 40, [9] * 40, [i % 2 for i in range(40)], list(range(40)), list(range(40)), [len(s) for s in sets], [r["shingles"] for r in away]]
+        got = {(r["a"], r["b"]) for b in near_dedup._family_links(80)([pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [f"c{i}" for i in range(7)])]) for r in b.to_pylist()}
+        link = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        every = {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 2 != b % 2 and link(sets[a], sets[b])}
+        assert got and got <= every
+
+        def classes(links):
+            top = list(range(40))
+            for _ in range(40):
+                for a, b in links:
+                    top[a] = top[b] = min(top[a], top[b])
+            return top
+
+        assert classes(got) == classes(every)
+
+
+def test_differences_without_a_centre_and_of_two_portions():
+    import numpy as np
+    import pyarrow as pa
+
+    one, two = np.array([1, 2, 3], np.uint64), np.array([2, 3, 4], np.uint64)
+    rows = [(1, 0, None, two.tobytes()), (1, 0, 5, one.tobytes()), (1, 1, 6, one.tobytes())]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(4)], ["family", "portion", "id", "shingles"])
+    got = [(r["id"], np.frombuffer(r["shingles"], np.uint64).tolist()) for b in near_dedup._differences([batch]) for r in b.to_pylist()]
+    assert got == [(5, [1, 4]), (6, [1, 2, 3])]

@@ -19,7 +19,9 @@
    below MISS) are candidates.
 6. Classes with common shingles among their first ones consist of little else. Those that share such a
    shingle make up a family; a family of more than one component is dealt into blocks, and
-   every two blocks are compared on full sets by counts in matrices. Only links that join
+   every two blocks are compared by counts in matrices, exactly: on full sets, or, in families of
+   many blocks, on what the sets differ in from the family's centre (shingles that most sets of a
+   sample hold; the centre bears on the work, not on the result). Only links that join
    components leave a task, and no pairs of a family's largest component are compared.
 7. All candidates that still join two components are confirmed on full sets. None is left out.
 """
@@ -53,7 +55,9 @@ CHUNK = 20_000
 #: Common shingles are counted in one document of SHARE; those found COMMON times there, at most MOST of them, go last.
 SHARE, COMMON, MOST = 16, 4, 200_000
 #: A family's blocks hold about so many classes, and sets of so many shingles; a matrix so many shingles at once.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 1024, 4_000_000, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 4_000_000, 4096
+#: A family's centre is made of about so many of its sets, and sent to them in portions of so many.
+CENTRE, PORTION = 16, 512
 MISS = 1e-12
 #: Shingles of the documents whose prefixes and rare shingles make up one range of keys.
 RANGE = 2_000_000
@@ -318,18 +322,49 @@ def shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def centre(sets: list[np.ndarray]) -> np.ndarray:
+    """The shingles of more than half of the sets, sorted."""
+    every, count = np.unique(np.concatenate(sets), return_counts=True)
+    return every[2 * count > len(sets)]
+
+
+def _centre(f: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"family": f["family"].iloc[:1], "shingles": [centre([np.frombuffer(x, U) for x in f["shingles"]]).tobytes()]})
+
+
+def _differences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets as what they differ in from their family's centre. Rows come sorted by portion, the centre (a null id) first; without one it is empty."""
+    at, middle = None, np.zeros(0, U)
+    for b in (whole.slice(i, 500) for whole in batches for i in range(0, len(whole), 500)):
+        ids, out = [], []
+        for family, portion, key, raw in zip(*(b.column(i) for i in range(4)), strict=True):
+            if at != (now := (family.as_py(), portion.as_py())):
+                at, middle = now, np.zeros(0, U)
+            s = np.frombuffer(raw.as_py(), U)
+            if not key.is_valid:
+                middle = s
+                continue
+            ids.append(key.as_py())
+            out.append(np.setxor1d(s, middle, assume_unique=True).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["id", "shingles"])
+
+
 def _family_links(percent: int):
     """Links between components in each group of two blocks (or within one); rows come sorted by group. Of the links of a group,
-    only those that join what earlier ones haven't joined.
+    only those that join what earlier ones haven't joined. Sets come as differences from one centre, the empty set or another:
+    two sets differ in what one of their differences holds and the other doesn't.
     """
 
-    def links(rows: list[tuple[int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    def links(rows: list[tuple[int, int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
         sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
         one, two = (sides[0] or sides[1], sides[1] or sides[0])
-        both = shared([r[3] for r in one], [r[3] for r in two]).astype(np.int64)
-        n, m = (np.array([len(r[3]) for r in x]) for x in (one, two))
+        same = shared([r[4] for r in one], [r[4] for r in two]).astype(np.int64)
+        n, m = (np.array([r[3] for r in x]) for x in (one, two))
+        far, off = (np.array([len(r[4]) for r in x]) for x in (one, two))
+        total = n[:, None] + m[None]
+        both = (total - far[:, None] - off[None] + 2 * same) // 2
         label, other = (np.array([r[2] for r in x]) for x in (one, two))
-        found = np.argwhere((100 * both >= percent * (n[:, None] + m[None] - both)) & (both > 0) & (label[:, None] != other[None]))
+        found = np.argwhere((100 * both >= percent * (total - both)) & (both > 0) & (label[:, None] != other[None]))
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -349,12 +384,12 @@ def _family_links(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
         for b in batches:
-            for g, side, key, label, raw in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if g != group:
+            for g, family, side, key, label, n, raw in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if (g, family) != group:
                     if held and (out := links(held)):
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
-                    group, held = g, []
-                held.append((side, key, label, np.frombuffer(raw, U)))
+                    group, held = (g, family), []
+                held.append((side, key, label, n, np.frombuffer(raw, U)))
         if held and (out := links(held)):
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
@@ -372,7 +407,7 @@ def family_links(firsts: DataFrame, known: DataFrame, size: int, percent: int, p
     by_label = dense.groupBy("family", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     top = by_label.groupBy("family").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most"), F.max_by(F.struct("c", "s"), F.struct("c", "label")).alias("m"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     n_blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES), F.lit(1))
-    top = top.filter("labels > 1").select("family", "most", n_blocks(F.col("m.c"), F.col("m.s")).alias("wide"), n_blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("narrow"))
+    top = top.filter("labels > 1").select("family", "most", F.col("c").alias("classes"), n_blocks(F.col("m.c"), F.col("m.s")).alias("wide"), n_blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("narrow"))
     rows = written(dense.join(top.hint("merge"), "family"))
     if rows.isEmpty():
         return None
@@ -380,14 +415,26 @@ def family_links(firsts: DataFrame, known: DataFrame, size: int, percent: int, p
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.when(in_most, F.col("wide")).otherwise(F.col("narrow")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("narrow") - 1), lambda o: F.struct(F.when(in_most, o).otherwise(F.least(o, F.col("block"))).alias("x"), F.when(in_most, -F.col("block") - 1).otherwise(F.greatest(o, F.col("block"))).alias("y"), F.when(in_most, 1).when(o < F.col("block"), 1).otherwise(0).alias("side")))
     with_most = F.transform(F.sequence(F.lit(0).cast("long"), F.col("wide") - 1), lambda m: F.struct(F.col("block").alias("x"), (-m - 1).alias("y"), F.lit(0).alias("side")))
-    groups = rows.withColumn("block", block).select("family", "id", "label", F.explode(F.when(in_most, others).otherwise(F.concat(others, with_most))).alias("g"))
-    groups = groups.select(F.xxhash64("family", "g.x", "g.y").alias("group"), F.col("g.side").alias("side"), "id", "label")
+    groups = rows.withColumn("block", block).select("family", "id", "label", "n", F.explode(F.when(in_most, others).otherwise(F.concat(others, with_most))).alias("g"))
+    groups = groups.select(F.xxhash64("family", "g.x", "g.y").alias("group"), "family", F.col("g.side").alias("side"), "id", "label", "n")
     texts = known.join(rows.select("id").hint("merge"), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     sets = written(texts.mapInArrow(_sets(size), "id long, shingles binary"))
-    groups = groups.join(sets.hint("merge"), "id").select("group", "side", "id", "label", "shingles")
-    groups = groups.repartition(partitions, "group").sortWithinPartitions("group")
+    # sets of one block go out once or twice as they are; those of several go to each as what they differ in from the family's centre
+    many = F.col("wide") + F.col("narrow") > 2
+    wide = rows.filter(many).select("id", "family", "classes").join(sets.hint("merge"), "id")
+    in_centre = F.pmod(F.xxhash64("id", F.lit("centre")), F.ceil(F.col("classes") / CENTRE)) == 0
+    centres = wide.filter(in_centre).select("family", "shingles").groupBy("family").applyInPandas(_centre, "family long, shingles binary")
+    portions = F.ceil(F.col("classes") / PORTION)
+    sizes = rows.filter(many).select("family", "classes").distinct()
+    each = centres.join(sizes.hint("merge"), "family").select("family", F.explode(F.sequence(F.lit(0).cast("long"), portions - 1)).alias("portion"), F.lit(None).cast("long").alias("id"), "shingles")
+    own = wide.select("family", F.pmod(F.xxhash64("id", F.lit("portion")), portions).alias("portion"), "id", "shingles")
+    placed = own.unionByName(each).repartition(partitions, "family", "portion").sortWithinPartitions("family", "portion", F.asc_nulls_first("id"))
+    differences = written(placed.mapInArrow(_differences, "id long, shingles binary"))
+    whole = rows.filter(~many).select("id").join(sets.hint("merge"), "id").select("id", "shingles")
+    groups = groups.join(differences.unionByName(whole).hint("merge"), "id").select("group", "family", "side", "id", "label", "n", "shingles")
+    groups = groups.repartition(partitions, "group").sortWithinPartitions("group", "family")
     links = written(groups.mapInArrow(_family_links(percent), "a long, b long"))
-    forget(firsts.sparkSession, [rows, sets])
+    forget(firsts.sparkSession, [rows, sets, differences])
     return links
 
 
