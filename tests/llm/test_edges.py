@@ -45,6 +45,41 @@ def test_items_against_edit_distance_at_every_place():
         assert {k: d for k, d, _ in m.hits(text)} == want
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.05, 0.1, 0.2, 0.3])
+@pytest.mark.parametrize("letters", ["ab", "abcdé𝄞 ", "abcdefghijklmnopqrstuvwxyz "])
+def test_thinned_hits_over_many_stretches(monkeypatch, rate, letters):
+    """Places looked up 16 at a time; items longer than that, repeated items, few letters: every item within its budget is found."""
+    monkeypatch.setattr(decontamination, "STEP", 16)
+    rng = random.Random(f"{rate} {letters}")
+    items = [(k, decontamination.normal("".join(rng.choice(letters) for _ in range(rng.randrange(1, 90))))) for k in range(10)]
+    items += [(100 + k, x) for k, x in items[:3]]
+    m = decontamination.Matcher(items, rate)
+    for _ in range(25):
+        t = ""
+        for _ in range(rng.randrange(1, 4)):
+            part = list(rng.choice(items)[1])
+            for _ in range(rng.randrange(0, 12)):
+                if part:
+                    i = rng.randrange(len(part))
+                    part[i : i + 1] = rng.choice(["", rng.choice(letters), part[i] + rng.choice(letters)])
+            t += "".join(part) + "".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 30])))
+        text = decontamination.normal(t)
+        want = {k: d for k, x in items if x and (d := edit_distance(x, text)) <= decontamination.budget(len(x), rate)}
+        assert {k: d for k, d, _ in m.hits(text)} == want
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    """Items in one block, in several and read once: the same rows; a rate that lets everything match is an error."""
+    docs = documents(spark, [(i, f"text {i} holds the quick brown fox number {i} and then jumps over lazy dog {i % 7}") for i in range(40)] + [(90, None), (91, "")])
+    bench = spark.createDataFrame([(k, f"quick brown fox number {k} and then") for k in range(0, 60, 3)] + [(None, "quick brown fox"), (5, None)], "item_id long, text string")
+    one = sorted(map(tuple, decontamination.contaminated(docs, bench, 0.1).collect()))
+    monkeypatch.setattr(decontamination, "BLOCK_CHARS", 100)
+    assert len(list(decontamination.item_blocks(bench, "item_id", "text"))) > 5
+    assert sorted(map(tuple, decontamination.contaminated(docs, bench, 0.1).collect())) == one and len(one) >= 14
+    with pytest.raises(ValueError):
+        decontamination.Matcher([(1, "a")], 1.0)
+
+
 def test_items_of_marks_alone(spark):
     b = spark.createDataFrame([(1, "́̂"), (2, "́ one two three four five"), (3, None), (4, "")], "item_id long, text string")
     got = decontamination.contaminated(documents(spark, [(1, "so one two three four five"), (2, "́"), (3, None)]), b, 0.05).collect()
