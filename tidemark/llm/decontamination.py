@@ -87,16 +87,16 @@ def codes(text: str) -> np.ndarray:
 
 
 def hashes(points: np.ndarray) -> dict[int, np.ndarray]:
-    """By width 1, 2, 4 ... WIDEST the 64-bit hashes of the runs of that many characters that start at each place."""
-    h = points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(32)
+    """By width 1, 2, 4 ... WIDEST the 64-bit polynomial hashes of the runs of that many characters that start at each place.
+
+    Equal hashes of different runs cost a look, no wrong result: what a hit leads to is confirmed on the text.
+    """
+    h, factor = points * np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
     out, width = {1: h}, 1
     while width < WIDEST and len(h) > width:
-        h = h[:-width] * np.uint64(0xD6E8FEB86659FD93) + h[width:]
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        width *= 2
+        new = h[:-width] * np.uint64(factor)
+        new += h[width:]
+        h, width, factor = new, 2 * width, factor * factor % 2**64
         out[width] = h
     return out
 
