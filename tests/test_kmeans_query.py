@@ -60,3 +60,15 @@ def test_empty_clusters_are_drawn_anew(spark, monkeypatch):
     for k, p in found.items():
         labels = ((x[:, None] - p[None]) ** 2).sum(2).argmin(1)
         assert len(p) == k and len(set(labels)) == k
+
+
+def test_tasks_without_rows(spark):
+    """A Parquet file of one row group that is read by several tasks leaves most of them without rows."""
+    rows = [(i, [float(i // 10 * 5), float(i % 10)]) for i in range(40)]
+    sc, schema = spark.sparkContext, "id long, v array<double>"
+    points = spark.createDataFrame(sc.parallelize(rows, 2).union(sc.parallelize([], 2)), schema)
+    assert 0 in points.rdd.glom().map(len).collect()
+    k, scores, labels, _ = clustering.select_k(points, (2, 4), rounds=20)
+    want = clustering.select_k(spark.createDataFrame(rows, schema).coalesce(1), (2, 4), rounds=20)
+    assert k == want[0] and np.allclose([scores[n] for n in (2, 4)], [want[1][n] for n in (2, 4)])
+    assert {r.id: r.pattern_id for r in labels.collect()} == {r.id: r.pattern_id for r in want[2].collect()}

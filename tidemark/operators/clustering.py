@@ -101,7 +101,7 @@ def select_k(points: DataFrame, candidates: Sequence[int], rounds: int = 10, see
     """(k, quality by k, labels, prototypes) of the best candidate; the smaller k on a tie. Points are read once into memory and disk."""
     from pyspark import StorageLevel
 
-    kept = points.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = points.repartition(id_col).persist(StorageLevel.MEMORY_AND_DISK)  # a file of one row group is one task's rows else
     best, scores = None, {}
     for k, prototypes in kmeans_tables(kept, candidates, rounds, seed, id_col, vector).items():
         table = as_table(points, list(enumerate(prototypes)), vector)
@@ -184,6 +184,8 @@ def cluster_sums(points: DataFrame, tables: dict[int, np.ndarray], vector: str =
                     np.add.at(q, label, (x * x).sum(1))
         for k, (n, s, q) in total.items():
             live = np.flatnonzero(n)
+            if not len(live):  # a task without rows: Arrow makes no arrays of an empty list
+                continue
             yield pd.DataFrame({"k": np.full(len(live), k), "pattern_id": live, "n": n[live].astype(np.int64), "s": list(s[live]), "q": q[live]})
 
     def added(g):
