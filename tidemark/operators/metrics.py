@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.operators.signal import series_keys
 
 
@@ -50,8 +51,10 @@ def segment_report(segments: DataFrame) -> DataFrame:
 
 
 def column_scales(df: DataFrame, columns: list[str], floor: float = 1e-6) -> DataFrame:
-    """The 90th percentile of the absolute values above ``floor`` of each column; 1 where there are none. One pass."""
-    return df.agg(*[F.coalesce(F.percentile(F.when(F.abs(F.col(c)) > floor, F.abs(F.col(c))), F.lit(0.9)), F.lit(1.0)).alias(c) for c in columns])
+    """The 90th percentile of the absolute values above ``floor`` of each column; 1 where there are none."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("key"), F.abs(F.col(c).cast("double")).alias("x")) for i, c in enumerate(columns)])).alias("e")).select("e.*")
+    found = exact_quantiles(each.filter(F.col("x") > floor), [0.9])
+    return found.agg(*[F.coalesce(F.max(F.when(F.col("key") == i, F.col("q")[0])), F.lit(1.0)).alias(c) for i, c in enumerate(columns)])
 
 
 def vector_scales(df: DataFrame, vector: str) -> DataFrame:
@@ -62,8 +65,7 @@ def vector_scales(df: DataFrame, vector: str) -> DataFrame:
 
 def robust_scales(df: DataFrame, vector: str) -> DataFrame:
     """Median and interquartile range (1 if it is tiny) of each place of a vector column: pos, center, scale."""
-    q = F.percentile(F.col("v").cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.select(F.posexplode(vector).alias("pos", "v")).groupBy("pos").agg(q.alias("q"))
+    out = exact_quantiles(df.select(F.posexplode(vector).alias("pos", "v")), [0.25, 0.5, 0.75], "pos", "v")
     span = F.col("q")[2] - F.col("q")[0]
     return out.select("pos", F.col("q")[1].alias("center"), F.when(span > 1e-6, span).otherwise(1.0).alias("scale"))
 
