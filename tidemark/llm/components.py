@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.scratch import written
 
 #: Edges that a task draws together at once.
-CHUNK = 1_000_000
+CHUNK = 250_000
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import repeats
 from tidemark.llm.components import components
-from tidemark.llm.scratch import forget, written
+from tidemark.llm.scratch import forget, small_batches, written
 from tidemark.llm.words import U, Words, blob, mix, slices, unblob
 
 SLOTS, TREES, STEP = 160, 32, 5
@@ -51,11 +51,15 @@ SKETCH = 96
 MARGIN = 0.22
 REGION, FULL, NEAREST, HUBS = 768, 24, 6, 2
 #: Documents whose prefixes go out as one chunk.
-CHUNK = 20_000
+CHUNK = 5_000
+#: Bytes of a batch of rows sent to Python, and text bytes worked on at once there.
+BATCH, SLICE = 4 << 20, 256 << 10
 #: Common shingles are counted in one document of SHARE; those found COMMON times there, at most MOST of them, go last.
 SHARE, COMMON, MOST = 16, 4, 200_000
 #: A family's blocks hold about so many classes, and sets of so many shingles; a matrix so many shingles at once.
-BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 4_000_000, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 4_000_000, 2048
+#: Shingles of two blocks that are sorted at once, and classes whose counts are judged at once.
+AT_ONCE, STRIP = 500_000, 64
 #: A family's centre is made of about so many of its sets, and sent to them in portions of so many.
 CENTRE, PORTION = 16, 512
 MISS = 1e-12
@@ -106,7 +110,7 @@ def signatures(shingles: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _summaries(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, SLICE):
                 w = Words(b.column(1), lower=True)
                 sets, at = shingle_sets(w, size)
                 n = np.diff(at)
@@ -244,7 +248,7 @@ def _candidates(threshold: float):
 def _shingles(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 0):
+            for b in slices(whole, 0, SLICE):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(Words(b.column(0), lower=True), size)[0].view(np.int64))], ["key"])
 
     return run
@@ -262,7 +266,7 @@ def first_shingles(s: np.ndarray, common: np.ndarray, counts: np.ndarray, percen
 def _first(size: int, percent: int, common: np.ndarray, counts: np.ndarray):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, SLICE):
                 sets, at = shingle_sets(Words(b.column(1), lower=True), size)
                 rare: list[bytes | None] = []
                 often: list[list[int] | None] = []
@@ -294,7 +298,7 @@ def _meetings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(size: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, 1):
+            for b in slices(whole, 1, SLICE):
                 sets, at = shingle_sets(Words(b.column(1), lower=True), size)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sets[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())], ["id", "shingles"])
 
@@ -302,12 +306,21 @@ def _sets(size: int):
 
 
 def shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
-    """How many shingles each set of one shares with each of two."""
-    out = np.zeros((len(one), len(two)), np.float32)
-    every = np.concatenate(one + two)
+    """How many shingles each set of one shares with each of two; sets are sorted. Equal parts of the hashes' range are counted one by one."""
+    out, sets = np.zeros((len(one), len(two)), np.float32), one + two
+    parts = 1 + sum(map(len, sets)) // AT_ONCE
+    bounds = np.array([2**64 * p // parts for p in range(1, parts)], dtype=U)
+    cuts = [np.concatenate([[0], np.searchsorted(s, bounds), [len(s)]]) for s in sets]
+    for p in range(parts):
+        _add_shared(out, [s[c[p] : c[p + 1]] for s, c in zip(sets, cuts, strict=True)])
+    return out
+
+
+def _add_shared(out: np.ndarray, sets: list[np.ndarray]) -> None:
+    every = np.concatenate(sets)
     if not len(every):
-        return out
-    row = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in one + two])
+        return
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, column, count = np.unique(every, return_inverse=True, return_counts=True)
     # a shingle of one set alone is shared with none
     place = np.cumsum(count > 1) - 1
@@ -316,10 +329,9 @@ def shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     row, column = row[order], column[order]
     for first in range(0, int(place[-1]) + 1, COLUMNS):
         a, z = np.searchsorted(column, [first, first + COLUMNS])
-        m = np.zeros((len(one) + len(two), COLUMNS), np.float32)
+        m = np.zeros((len(sets), COLUMNS), np.float32)
         m[row[a:z], column[a:z] - first] = 1
-        out += m[: len(one)] @ m[len(one) :].T
-    return out
+        out += m[: len(out)] @ m[len(out) :].T
 
 
 def centre(sets: list[np.ndarray]) -> np.ndarray:
@@ -358,13 +370,10 @@ def _family_links(percent: int):
     def links(rows: list[tuple[int, int, int, int, np.ndarray]]) -> list[tuple[int, int]]:
         sides = [[r for r in rows if r[0] == k] for k in (0, 1)]
         one, two = (sides[0] or sides[1], sides[1] or sides[0])
-        same = shared([r[4] for r in one], [r[4] for r in two]).astype(np.int64)
+        same = shared([r[4] for r in one], [r[4] for r in two])
         n, m = (np.array([r[3] for r in x]) for x in (one, two))
         far, off = (np.array([len(r[4]) for r in x]) for x in (one, two))
-        total = n[:, None] + m[None]
-        both = (total - far[:, None] - off[None] + 2 * same) // 2
         label, other = (np.array([r[2] for r in x]) for x in (one, two))
-        found = np.argwhere((100 * both >= percent * (total - both)) & (both > 0) & (label[:, None] != other[None]))
         root: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -374,11 +383,16 @@ def _family_links(percent: int):
             return x
 
         out = []
-        for i, j in found.tolist():
-            x, y = top(one[i][2]), top(two[j][2])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                out.append((min(one[i][1], two[j][1]), max(one[i][1], two[j][1])))
+        for first in range(0, len(one), STRIP):
+            some = slice(first, first + STRIP)
+            total = n[some, None] + m[None]
+            both = (total - far[some, None] - off[None] + 2 * same[some].astype(np.int64)) // 2
+            found = np.argwhere((100 * both >= percent * (total - both)) & (both > 0) & (label[some, None] != other[None]))
+            for i, j in (found + [first, 0]).tolist():
+                x, y = top(one[i][2]), top(two[j][2])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(one[i][1], two[j][1]), max(one[i][1], two[j][1])))
         return out
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -540,6 +554,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5, id_col: s
     A null id gives a null component and kept true. An empty table gives an empty result. Only
     id_col and text_col are read.
     """
+    with small_batches(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, percent, size, id_col, text_col)
+
+
+def _near_duplicates(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """The jobs of near_duplicates; what is left to run of its result needs no Python."""
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     known = src.filter("id is not null")
     seen = written(src.mapInArrow(_summaries(size), "id long, n_shingles long, low long, high long, sig binary"))

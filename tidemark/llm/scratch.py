@@ -10,6 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _collectors: list[list[str]] = []
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,3 +57,16 @@ def collected(paths: list[str]) -> Iterator[None]:
         yield
     finally:
         _collectors.pop()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, n_bytes: int) -> Iterator[None]:
+    """Jobs run inside send rows to Python in batches of at most about ``n_bytes`` (or one row). Spark's own bound is 64 MB, for
+    which an executor holds buffers beside its heap, and its Python workers as much again.
+    """
+    was = spark.conf.get(BATCH_BYTES, None)
+    spark.conf.set(BATCH_BYTES, str(n_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES) if was is None else spark.conf.set(BATCH_BYTES, was)

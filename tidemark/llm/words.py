@@ -39,7 +39,7 @@ _powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i from 0 to n."""
     if kind not in _powers or len(_powers[kind][0]) <= n:
-        size, base = max(n + 1, 1 << 20), BASE[kind]
+        size, base = max(n + 1, 1 << 18), BASE[kind]
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             a = np.full(size, b, dtype=U)
@@ -97,12 +97,12 @@ class Words:
         return at, range_hashes(self.hashes, at, at + n, "words")
 
 
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch in runs of at most SLICE text bytes (or one row)."""
+def slices(batch: pa.RecordBatch, text: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in runs of at most ``most`` text bytes (or one row)."""
     sizes = np.nan_to_num(np.asarray(pyarrow.compute.binary_length(batch.column(text)).cast(pa.float64()).to_numpy(zero_copy_only=False)), nan=0.0)
     total, at = np.cumsum(sizes), 0
     while at < len(sizes):
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, side="right")))
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
         yield batch.slice(at, end - at)
         at = end
 
